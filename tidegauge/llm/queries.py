@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, packing, simhash
+from tidegauge.llm import bpe, crosspolytope, impact, packing, simhash
 from tidegauge.llm.common import table
 
 
@@ -18,6 +19,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,7 +38,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op7_simhash, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op7_simhash, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
