@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, crosspolytope, impact, packing, simhash
+from tidegauge.llm import bpe, crosspolytope, impact, packing, simhash, toxicity
 from tidegauge.llm.common import table
 
 
@@ -37,8 +37,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op7_simhash, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op7_simhash, op8_best_fit_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
