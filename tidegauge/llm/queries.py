@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, crosspolytope, impact, packing, simhash, toxicity
+from tidegauge.llm import bpe, crosspolytope, impact, packing, pii, simhash, toxicity
 from tidegauge.llm.common import table
 
 
+#: The key of the pseudonyms in these queries; a user passes one of their own.
+KEY = "tidegauge example key"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, KEY, count_col="n_replaced")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op7_simhash, op8_best_fit_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op7_simhash, op8_best_fit_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
