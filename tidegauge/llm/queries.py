@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, crosspolytope, impact, packing, pii, simhash, toxicity
+from tidegauge.llm import automaton, bpe, crosspolytope, impact, packing, pii, rlbwt, simhash, toxicity
 from tidegauge.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = rlbwt.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,8 +55,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = automaton.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op7_simhash, op8_best_fit_packing, op9_toxicity)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_feistel_pseudonyms, op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op6_run_length_dedup, op7_simhash,
+            op8_best_fit_packing, op9_toxicity, op10_automaton_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
