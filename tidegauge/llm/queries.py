@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import automaton, bpe, crosspolytope, impact, packing, pii, rlbwt, simhash, toxicity
+from tidegauge.llm import automaton, bpe, crosspolytope, impact, linededup, packing, pii, rlbwt, simhash, toxicity
 from tidegauge.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.remove_lines(docs)
+
+
 def op4_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -64,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_feistel_pseudonyms, op2_byte_bpe, op4_impact_topk, op5_cross_polytope, op6_run_length_dedup, op7_simhash,
+            op1_feistel_pseudonyms, op2_byte_bpe, op3_line_dedup, op4_impact_topk, op5_cross_polytope, op6_run_length_dedup, op7_simhash,
             op8_best_fit_packing, op9_toxicity, op10_automaton_dedup,
         )
     }
