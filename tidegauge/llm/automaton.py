@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.windows import covered, marked
 
-WIDTH, GRAM = 20, 8
+WIDTH, GRAM = 20, 5
 #: Bytes of text whose automaton is built at once.
 SHARD = 400_000
 MEMO = 500_000

@@ -23,6 +23,8 @@ from tidegauge.llm.common import texts
 CHUNK = 1 << 19
 #: Different contents of one anchor beyond which windows are keyed one by one.
 HOT = 2048
+#: A span has fewer windows than this; its first window and their number are one number in the shuffle.
+MOST = 1 << 12
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -96,21 +98,22 @@ def marked(
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 key, h, start, n = spans(values(text.as_py()), width, gram)
                 if doc is not None and len(key):
-                    cols = [pa.array(key), pa.array(h), pa.array(np.full(len(key), doc)), pa.array(start.astype("i4")), pa.array(n.astype("i4"))]
-                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "h", "doc_id", "start", "n"])
+                    cols = [key, h, np.full(len(key), doc), start * MOST + n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "h", "doc_id", "place"])
 
-    found = docs.mapInArrow(find, "anchor long, h long, doc_id long, start int, n int")
+    found = docs.mapInArrow(find, "anchor long, h long, doc_id long, place long")
     by_key, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "h")
     ranked = (
-        found.withColumn("rank", F.row_number().over(by_content.orderBy("doc_id", "start")))
+        found.withColumn("rank", F.row_number().over(by_content.orderBy("doc_id", "place")))
         .withColumn("copies", F.count("*").over(by_content))
         .withColumn("kinds", F.count_if(F.col("rank") == 1).over(by_key))
     )
-    same = ranked.where(copies).select("doc_id", "start", "n")
-    asked = (
-        ranked.where((F.col("rank") == 1) & (F.col("kinds") > 1))
+    wanted = (F.col("rank") == 1) & (F.col("kinds") > 1)
+    told = F.when(wanted, F.when(F.col("kinds") > HOT, 2).otherwise(1)).otherwise(0)  # look up window by window, as it is, or not
+    spans_of = (
+        ranked.where(copies | wanted)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("anchor", "start", "n", (F.col("kinds") > HOT).alias("hot"))).alias("spans"))
+        .agg(F.collect_list(F.struct("anchor", "place", told.cast("byte").alias("look"), copies.alias("marked"))).alias("spans"))
     )
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,51 +121,58 @@ def marked(
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
+            for doc, text, spans_here in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
                 cut = cutter(text.as_py())
-                for s in wanted:
-                    if s["hot"]:
-                        single = [(cut(i, i + width), i) for i in range(s["start"], s["start"] + s["n"])]
+                for s in spans_here:
+                    start, n = divmod(s["place"], MOST)
+                    if s["marked"]:
+                        rows.append((hash_bytes(doc.to_bytes(8, "big", signed=True)), doc, start, n, None))
+                    if s["look"] == 2:
+                        single = [(cut(i, i + width), i) for i in range(start, start + n)]
                         rows += [(hash_bytes(c), doc, i, 1, c) for c, i in single]
-                        size += width * s["n"]
-                    else:
-                        rows.append((s["anchor"], doc, s["start"], s["n"], cut(s["start"], s["start"] + s["n"] + width - 1)))
+                        size += width * n
+                    elif s["look"]:
+                        rows.append((s["anchor"], doc, start, n, cut(start, start + n + width - 1)))
                         size += len(rows[-1][4])
-                    if size > 1 << 22:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
+                    if size > 1 << 22 or len(rows) > 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                         rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        marks: list[tuple] = []
         size, last = 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
-            got = list(index(held)) if len(held) > 1 else []
+            got = marks + (list(index(held)) if len(held) > 1 else [])
             cols = list(zip(*got)) if got else [[], [], []]
             types = (pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "start", "n"])
 
         for b in batches:
             for key, *row in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if key != last and size > batch_bytes:
+                if key != last and size + 32 * len(marks) > batch_bytes:
                     yield from out()
-                    held, size = [], 0
-                held.append(tuple(row))
-                size += len(row[3])
+                    held, marks, size = [], [], 0
+                if row[3] is None:
+                    marks.append(tuple(row[:3]))
+                else:
+                    held.append(tuple(row))
+                    size += len(row[3])
                 last = key
         yield from out()
 
     shipped = (
-        docs.join(asked, "doc_id").select("doc_id", "text", "spans")
+        docs.join(spans_of, "doc_id").select("doc_id", "text", "spans")
         .mapInArrow(ship, "anchor long, doc_id long, start int, n int, bytes binary")
         .repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     )
     looked = shipped.mapInArrow(look, "doc_id long, start int, n int")
-    marks = same.unionByName(looked).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    marks = looked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
 
 
