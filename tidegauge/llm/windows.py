@@ -104,7 +104,8 @@ def marked(
     found = docs.mapInArrow(find, "anchor long, h long, doc_id long, place long")
     by_key, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "h")
     ranked = (
-        found.withColumn("rank", F.row_number().over(by_content.orderBy("doc_id", "place")))
+        found.repartition("anchor")  # which also holds equal contents together: one shuffle for all windows
+        .withColumn("rank", F.row_number().over(by_content.orderBy("doc_id", "place")))
         .withColumn("copies", F.count("*").over(by_content))
         .withColumn("kinds", F.count_if(F.col("rank") == 1).over(by_key))
     )
@@ -122,6 +123,8 @@ def marked(
             rows: list[tuple] = []
             size = 0
             for doc, text, spans_here in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
+                if not spans_here:
+                    continue
                 cut = cutter(text.as_py())
                 for s in spans_here:
                     start, n = divmod(s["place"], MOST)
@@ -167,7 +170,7 @@ def marked(
         yield from out()
 
     shipped = (
-        docs.join(spans_of, "doc_id").select("doc_id", "text", "spans")
+        docs.join(spans_of, "doc_id", "left").select("doc_id", "text", "spans")  # as below, so that texts are shuffled once
         .mapInArrow(ship, "anchor long, doc_id long, start int, n int, bytes binary")
         .repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     )
