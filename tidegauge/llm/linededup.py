@@ -4,13 +4,12 @@ A line is its sequence of words (runs of other than ASCII white space). It goes
 earlier in the same document) is equal, or, for lines of at least LEAST words, within one word inserted, deleted or
 replaced, which is a similarity of 0.8 or more. Blank lines stay.
 
-Equal lines meet by a 128-bit hash, first in salted groups, so that a line that a third of all rows hold is no single task's.
-Of each distinct line only the first occurrence goes on. Two lines within the bound share at least one half: lines whose
+Equal lines meet by a 128-bit hash, and of each distinct line only the first occurrence goes on. Two lines within the bound share at least one half: lines whose
 halves (by hash and length) occur nowhere else are done. The others emit their neighbourhood: themselves and all variants
 with one word deleted, as hashed keys, but only for deletions that the shared half leaves open. Equal keys are joined, each row with the
 earliest of its key, never with all; the texts of such pairs are fetched and their edit distance is verified.
 
-Defined results: a null text counts as empty, with one blank line; ties can't occur but between rows that repeat a doc_id, which count as that one
+Defined results: a null text counts and comes out as empty; ties can't occur but between rows that repeat a doc_id, which count as that one
 document; rows without doc_id keep all lines; an empty table gives no rows; all columns of the input are kept.
 """
 
@@ -30,8 +29,8 @@ from tidegauge.llm.windows import BASE, INVERSE, mix
 
 #: Shorter lines only go if an earlier one is equal.
 LEAST = 5
-#: Groups of equal lines are first resolved in so many parts.
-SALT = 32
+#: The kind of a code that stands for the whole line; the place of a line that goes already.
+WHOLE, GONE = 4, -2
 MEMO = 500_000
 
 
@@ -57,8 +56,12 @@ def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, _powers(INVERSE, len(hashes))
 
 
-def line_rows(text: str, known: _Hashes) -> tuple[np.ndarray, ...]:
-    """For the lines that aren't blank: number, words, two hashes, and the keys of their halves (two prefixes, two suffixes)."""
+def line_rows(text: str, known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, key, hash) for the lines that aren't blank: WHOLE with the line's key, and its halves' keys if it is long enough.
+
+    A code is the line's number times 8, plus the kind: 0 and 1 are prefixes of n // 2 and (n - 1) // 2 words, 2 and 3
+    suffixes, WHOLE the line.
+    """
     lines = [line.split() for line in text.encode().split(b"\n")]
     numbers = np.flatnonzero(np.fromiter(map(len, lines), "i8", len(lines)))
     lines = [lines[i] for i in numbers.tolist()]
@@ -68,12 +71,27 @@ def line_rows(text: str, known: _Hashes) -> tuple[np.ndarray, ...]:
     end = np.cumsum(n)
     start = end - n
     whole = mix((total[end] - total[start]) * down[start] ^ n.astype("u8"))
-    exact = np.array([xxhash.xxh3_64_intdigest(b" ".join(line)) for line in lines], "u8")
-    keys = []
-    for i, t in enumerate((n // 2, (n - 1) // 2)):
-        keys.append(mix((total[start + t] - total[start]) * down[start] + (2 * t).astype("u8")))
-        keys.append(mix((total[end] - total[end - t]) * down[end - t] + (2 * t + 1).astype("u8")))
-    return numbers, n, whole.view("i8"), exact.view("i8"), *(k.view("i8") for k in keys)
+    exact = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(line)) for line in lines), "u8", len(lines))
+    codes, keys, hashes = [8 * numbers + WHOLE], [whole], [exact]
+    for kind, (t, suffix) in enumerate(((n // 2, False), ((n - 1) // 2, False), (n // 2, True), ((n - 1) // 2, True))):
+        which = np.flatnonzero((n >= LEAST) & ((kind % 2 == 0) | (n % 2 == 0)))  # for odd n both lengths are one
+        t = t[which]
+        if suffix:
+            e = end[which]
+            part = mix((total[e] - total[e - t]) * down[e - t] + (2 * t + 1).astype("u8"))
+        else:
+            s = start[which]
+            part = mix((total[s + t] - total[s]) * down[s] + (2 * t).astype("u8"))
+        codes.append(8 * numbers[which] + kind)
+        keys.append(part)
+        hashes.append(exact[which])
+    return np.concatenate(codes), np.concatenate(keys).view("i8"), np.concatenate(hashes).view("i8")
+
+
+def open_places(n: int, kinds: set[int]) -> tuple[int, int]:
+    """The places at which a line of n words may differ from one that shares these halves."""
+    low = min((0 if k > 1 else (n - k % 2) // 2) for k in kinds)
+    return low, max((n if k < 2 else n - (n - k % 2) // 2) for k in kinds)
 
 
 def neighbourhood(words: list[bytes], low: int, high: int, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -99,101 +117,113 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and lines (array of line numbers from 0) that have an earlier equal or near-equal."""
-    docs = texts(docs)
-    columns = ["doc_id", "line", "n", "h1", "h2", "p1", "s1", "p2", "s2"]
+    """doc_id and lines (array of line numbers from 0) that have an earlier equal or near-equal. docs: doc_id and text.
+
+    One plan without branches: lines that are known to go travel along, so nothing is computed or shuffled twice.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                number, n, *rest = line_rows(text.as_py(), known)
-                if doc is not None and len(number):
-                    cols = [pa.array(np.full(len(number), doc)), pa.array(number.astype("i4")), pa.array(n.astype("i4")), *map(pa.array, rest)]
-                    yield pa.RecordBatch.from_arrays(cols, columns)
-
-    found = docs.mapInArrow(find, "doc_id long, line int, n int, " + ", ".join(f"{c} long" for c in columns[3:]))
-    order = ("doc_id", "line")
-    parts = found.withColumn("_r", F.row_number().over(Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALT))).orderBy(*order)))
-    again = parts.where("_r > 1").select(*order)
-    ranked = parts.where("_r = 1").withColumn("_r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(*order)))
-    again = again.unionByName(ranked.where("_r > 1").select(*order))
-
-    # lines that share a half with another one, and the places at which they may differ
-    half = lambda key, low, high: F.struct(F.col(key).alias("key"), low.cast("int").alias("low"), high.cast("int").alias("high"))
-    t1, t2 = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2)
-    halves = F.array(*(half(f"p{i}", t, F.col("n")) for i, t in ((1, t1), (2, t2))), *(half(f"s{i}", F.lit(0), F.col("n") - t) for i, t in ((1, t1), (2, t2))))
-    shared = (
-        ranked.where(f"_r = 1 and n >= {LEAST}")
-        .select(*order, F.explode(F.array_distinct(halves)).alias("x")).select(*order, "x.*")
-        .withColumn("_n", F.count("*").over(Window.partitionBy("key"))).where("_n > 1")
-        .groupBy(*order).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("line", "low", "high")).alias("lines"))
+                code, key, h = line_rows(text.as_py(), known)
+                if doc is not None and len(code):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, h, np.full(len(code), doc), code)], ["key", "h", "doc_id", "code"])
+
+    # equal lines but the first; and halves that different lines share
+    by_key = Window.partitionBy("key")
+    first = F.row_number().over(Window.partitionBy("key", "h").orderBy("doc_id", "code"))
+    told = (
+        docs.mapInArrow(find, "key long, h long, doc_id long, code long")
+        .repartition("key")
+        .withColumn("_r", first).withColumn("_low", F.min("h").over(by_key)).withColumn("_high", F.max("h").over(by_key))
+        .where(F.when(F.col("code") % 8 == WHOLE, F.col("_r") > 1).otherwise(F.col("_low") < F.col("_high")))
+        .groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
     )
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
-            for doc, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("lines").to_pylist()):
-                lines = text.as_py().encode().split(b"\n")
-                cols: list[list] = [[], [], []]
-                for w in wanted:
-                    place, key = neighbourhood(lines[w["line"]].split(), w["low"], w["high"], known)
-                    for c, x in zip(cols, (np.full(len(key), w["line"], "i4"), place.astype("i4"), key)):
-                        c.append(x)
-                line, place, key = map(np.concatenate, cols)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), doc)), *map(pa.array, (line, place, key))], ["doc_id", "line", "place", "key"])
-
-    me = F.struct(*order)
-    joined = (
-        docs.join(shared, "doc_id").select("doc_id", "text", "lines")
-        .mapInArrow(vary, "doc_id long, line int, place int, key long")
-        .withColumn("me", me)
-        .withColumn("whole", F.min(F.when(F.col("place") < 0, F.col("me"))).over(Window.partitionBy("key")))
-        .withColumn("cut", F.min(F.when(F.col("place") >= 0, F.col("me"))).over(Window.partitionBy("key")))
+            for doc, text, codes in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("codes").to_pylist()):
+                if not codes:
+                    continue
+                gone = {c // 8 for c in codes if c % 8 == WHOLE}
+                halves: dict[int, set[int]] = {}
+                for c in codes:
+                    if c // 8 not in gone:
+                        halves.setdefault(c // 8, set()).add(c % 8)
+                lines = text.as_py().encode().split(b"\n") if halves else []
+                line = [np.array(sorted(gone), "i8")]
+                place, key = [np.full(len(gone), GONE, "i8")], [line[0] * 1000003 + doc % 1000003]
+                for i, kinds in halves.items():
+                    words = lines[i].split()
+                    where, what = neighbourhood(words, *open_places(len(words), kinds), known)
+                    line.append(np.full(len(where), i, "i8"))
+                    place.append(where)
+                    key.append(what)
+                cols = [np.concatenate(key), np.full(sum(map(len, key)), doc), np.concatenate(line) << 32 | (np.concatenate(place) - GONE)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "doc_id", "at"])
+
+    line = F.shiftright("at", 32).cast("int").alias("line")
+    place = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) + GONE).cast("int").alias("place")
+    me = F.struct("doc_id", "line").alias("me")
+    pairs = (
+        docs.join(told, "doc_id", "left").select("doc_id", "text", "codes")
+        .mapInArrow(vary, "key long, doc_id long, at long")
+        .repartition("key")
+        .select("key", "doc_id", line, place).select("key", "place", me)
+        .withColumn("whole", F.min(F.when(F.col("place") == -1, F.col("me"))).over(by_key))
+        .withColumn("cut", F.min(F.when(F.col("place") >= 0, F.col("me"))).over(by_key))
         .withColumn("same", F.min("me").over(Window.partitionBy("key", "place")))
         .select(
             "me",
-            F.explode(F.when(F.col("place") < 0, F.array("cut")).otherwise(F.array("whole", "same"))).alias("other"),
+            F.explode(F.when(F.col("place") == GONE, F.array(F.lit(None))).when(F.col("place") == -1, F.array("cut")).otherwise(F.array("whole", "same"))).alias("other"),
+            (F.col("place") == GONE).alias("gone"),
         )
-        .where("other < me").distinct()
+        .where("gone or other < me").distinct()
     )
 
-    # verify: both lines' texts, then their distance
-    sides = joined.select(F.explode(F.array("me", "other")).alias("x"), "me", "other").select(F.col("x.doc_id").alias("doc_id"), F.col("x.line").alias("line"), "me", "other")
-    wanted = sides.groupBy("doc_id").agg(F.collect_set(F.struct("line", "me", "other")).alias("pairs"))
-    said = docs.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("pairs").alias("p")).select(
-        F.struct("doc_id", F.col("p.line").alias("line")).alias("x"), "p.me", "p.other", F.col("all")[F.col("p.line")].alias("words")
+    # both lines' texts, then their distance
+    sides = pairs.select("me", "other", "gone", F.explode(F.when(F.col("gone"), F.array("me")).otherwise(F.array("me", "other"))).alias("x"))
+    wanted = sides.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.line", "me", "other", "gone")).alias("pairs"))
+    said = (
+        docs.join(wanted, "doc_id", "left").where("pairs is not null")
+        .select("doc_id", F.when(F.exists("pairs", lambda p: ~p["gone"]), F.split("text", "\n")).alias("all"), F.explode("pairs").alias("p"))
+        .select("p.me", "p.other", "p.gone", ((F.col("doc_id") == F.col("p.me.doc_id")) & (F.col("p.line") == F.col("p.me.line"))).alias("mine"),
+                F.when(~F.col("p.gone"), F.get("all", F.col("p.line"))).alias("words"))
     )
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within_one(x.encode().split(), y.encode().split()) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([x is not None and y is not None and within_one(x.encode().split(), y.encode().split()) for x, y in zip(a, b)], dtype=bool)
 
-    both = said.groupBy("me", "other").agg(
-        F.max(F.when(F.col("x") == F.col("me"), F.col("words"))).alias("a"), F.max(F.when(F.col("x") == F.col("other"), F.col("words"))).alias("b")
-    )
-    near = both.where(close("a", "b")).select("me.doc_id", "me.line")
-    return again.unionByName(near).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    both = said.groupBy("me", "other", "gone").agg(F.max(F.when(F.col("mine"), F.col("words"))).alias("a"), F.max(F.when(~F.col("mine"), F.col("words"))).alias("b"))
+    near = both.withColumn("near", close("a", "b")).where("gone or near").select("me.doc_id", "me.line")
+    return near.distinct().groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
 
 
 def remove_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, without dropped lines; n_lines and n_dropped are added."""
+    """The documents, all columns kept, without dropped lines; n_lines and n_dropped are added. A null text becomes empty."""
     if clash := {"n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError(f"the input already has the columns {sorted(clash)}")
-    gone = dropped_lines(docs.select("doc_id", F.col(text_col).alias("text"))).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_gone"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    lean = texts(docs, text_col=text_col)
+    gone = dropped_lines(lean).withColumnRenamed("lines", "_gone")
+    lines = F.split(text_col, "\n")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, lost: pd.Series) -> pd.Series:
-        def keep(t: str | None, x: np.ndarray | None) -> str | None:
-            if t is None or x is None:
+        def keep(t: str, x: np.ndarray | None) -> str:
+            if x is None:
                 return t
             out = set(x.tolist())
             return "\n".join([line for i, line in enumerate(t.split("\n")) if i not in out])
 
         return pd.Series([keep(t, x) for t, x in zip(text, lost)], dtype=object)
 
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    if set(docs.columns) == {"doc_id", text_col}:  # the texts as they are shuffled already
+        joined = lean.withColumnRenamed("text", text_col).join(gone, "doc_id", "left")
+    else:
+        whole = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+        joined = whole.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left")
     kept = [without(F.col(text_col), "_gone").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*kept, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
