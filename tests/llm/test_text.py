@@ -1,0 +1,404 @@
+from __future__ import annotations
+
+import hashlib
+import re
+from array import array
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidegauge.llm import automaton, bpe, linededup, packing, pii, rlbwt, simhash, toxicity, windows
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+SPACE = re.compile("[^\x20\x09-\x0d]+")
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+@pytest.fixture(scope="session")
+def reference():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+@pytest.fixture(scope="session")
+def codec():
+    return bpe.codec(bpe.tokenizer_json(RANKS, public_tokenizers.PATTERN))
+
+
+# ---- 2: byte-level BPE ----
+
+
+def test_bpe_digest(make_docs, corpus, reference):
+    got = rows(bpe.round_trip_digest(make_docs(corpus), RANKS, public_tokenizers.PATTERN))
+    for i, t in enumerate(corpus):
+        ids = reference.encode_ordinary(t or "")
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_bpe_columns_and_offsets(make_docs, corpus):
+    df = make_docs(corpus)
+    out = rows(bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, offsets=True), RANKS, public_tokenizers.PATTERN))
+    for i, t in enumerate(corpus):
+        t = t or ""
+        assert out[i]["decoded_text"] == t and "".join(out[i]["decoded_parts"]) == t
+        for s, e, b in zip(out[i]["char_start"], out[i]["char_end"], out[i]["byte_start"]):
+            assert 0 <= s < e <= len(t) and len(t[:s].encode()) <= b
+    with pytest.raises(ValueError):
+        bpe.encode(df.withColumn("ids", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text())
+def test_bpe_any_text(codec, reference, text):
+    text = text.encode("utf-8", "ignore").decode()
+    ids = codec.encode(text)
+    assert ids == array("I", reference.encode_ordinary(text)).tobytes() and codec.decode(ids) == text.encode()
+
+
+def test_bpe_memo_may_start_afresh(codec, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    text = "several words that fill the memo, and more words"
+    assert codec.encode(text) == array("I", reference.encode_ordinary(text)).tobytes()
+
+
+# ---- 7: SimHash ----
+
+
+def plain_fingerprint(text):
+    w = SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    k = min(3, len(w))
+    shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if w else []
+    counts = Counter(b for s in shingles for b in range(64) if xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1)
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
+
+
+def plain_components(fps):
+    label = dict(enumerate(range(len(fps))))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(fps)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 3 and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label
+
+
+def test_simhash(make_docs, corpus):
+    texts = [*corpus, *corpus[:5]]
+    got = rows(simhash.near_duplicates(make_docs(texts)))
+    fps = [plain_fingerprint(t) for t in texts]
+    label = plain_components(fps)
+    for i in range(len(texts)):
+        assert (got[i]["fingerprint"], got[i]["component_id"]) == (f"{fps[i]:016x}", label[i])
+
+
+def test_simhash_tiles_and_shifts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 16)
+    r = np.random.default_rng(3)
+    base = int(r.integers(0, 1 << 62))
+    fps = list({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.integers(0, 62, (150, 2))} | {int(x) for x in r.integers(0, 1 << 62, 50)})
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long")
+    edges = {tuple(e) for e in simhash.links(df).collect()}
+    from tidegauge.llm.components import forest
+
+    for pairs in (edges, {(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}):
+        a, b = np.array(sorted(pairs)).T
+        roots = dict(zip(*(x.tolist() for x in forest(a, b))))
+        want = [roots.get(i, i) for i in range(len(fps))] if pairs is edges else want == [roots.get(i, i) for i in range(len(fps))]
+    assert want is True
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=2, max_size=200), st.integers(1, 130), st.integers(0, 9))
+def test_bit_slices_agree_with_popcount(fps, shift, radius):
+    fps += [f ^ 5 for f in fps] if len(fps) * 2 > shift else fps
+    if shift >= len(fps):
+        return
+    x = np.array(fps, "u8")
+    p = simhash.planes(x)
+    hit = simhash.within(p, shift, simhash.lanes(np.ones(len(x) - shift, bool), p.shape[1]), radius)
+    bits = np.unpackbits(hit.view("u1"), bitorder="little")[: len(x) - shift].astype(bool)
+    assert (bits == (np.bitwise_count(x[:-shift] ^ x[shift:]) <= radius)).all()
+
+
+def test_empty_tables(make_docs):
+    none = make_docs(["x"]).where("doc_id < 0")
+    assert simhash.near_duplicates(none).count() == 0
+    assert linededup.remove_lines(none).count() == 0
+    assert automaton.remove_repeats(none).count() == 0 and rlbwt.remove_repeats(none).count() == 0
+    assert packing.pack(none, WORDS).count() == 0
+    assert bpe.round_trip_digest(none, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
+
+
+# ---- 6 and 10: repeated substrings ----
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_run_length_index(make_docs, corpus, monkeypatch, hot):
+    monkeypatch.setattr(windows, "HOT", hot)
+    got = rows(rlbwt.remove_repeats(make_docs(corpus)))
+    raw = [(t or "").encode() for t in corpus]
+    seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    for k, b in enumerate(raw):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"]) == (len(b), gone.sum(), spans)
+        assert bytes(got[k]["kept"]) == np.frombuffer(b, "u1")[~gone].tobytes()
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_suffix_automaton(make_docs, corpus, monkeypatch, hot):
+    monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(automaton, "SHARD", 500)
+    got = rows(automaton.remove_repeats(make_docs(corpus)))
+    seen: set = set()
+    for k, t in enumerate(corpus):
+        w = SPACE.findall(t or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            key = tuple(w[i : i + 20])
+            if key in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(key)
+        assert (got[k]["n_words"], got[k]["n_removed"]) == (len(w), sum(gone))
+        assert got[k]["kept"] == " ".join(x for x, g in zip(w, gone) if not g)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", min_size=4, max_size=40), min_size=2, max_size=6))
+def test_statistics_of_the_run_length_index(texts):
+    found = {(d, s + i) for d, s, n in rlbwt.repeated([(k, 0, len(t) - 3, t.encode()) for k, t in enumerate(texts)], 4) for i in range(n)}
+    counts = Counter(t[i : i + 4] for t in texts for i in range(len(t) - 3))
+    assert found == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 3) if counts[t[i : i + 4]] > 1}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=3, max_size=30), min_size=1, max_size=6))
+def test_automaton_finds_earlier_windows(texts):
+    found = {(d, s + i) for d, s, n in automaton.earlier([(k, 0, 0, b" ".join(t)) for k, t in enumerate(texts)], 3) for i in range(n)}
+    want, seen = set(), set()
+    for k, t in enumerate(texts):
+        keys = [tuple(t[i : i + 3]) for i in range(len(t) - 2)]
+        want |= {(k, i) for i, x in enumerate(keys) if x in seen}
+        seen |= set(keys)
+    assert found == want
+
+
+def test_spans_cover_each_window_once():
+    values = windows.mix(np.arange(1, 3001, dtype="u8") % 37 + 1)
+    old = windows.CHUNK
+    try:
+        windows.CHUNK = 500
+        _, _, start, n = windows.spans(values, 20, 5)
+    finally:
+        windows.CHUNK = old
+    assert np.concatenate([np.arange(s, s + c) for s, c in zip(start, n)]).tolist() == list(range(2981))
+
+
+# ---- 3: lines ----
+
+
+def test_lines(make_docs, corpus):
+    texts = [*corpus, "a b c d e f\na b c d e\na b X d e f\n\n\na b c d", "a b c d e f g\nq r s t\nq r s u\n\n", "z\nz\na b c d e f"]
+    got = rows(linededup.remove_lines(make_docs(texts)))
+    near = lambda a, b: a == b or (min(len(a), len(b)) >= 5 and min(len(a), len(b)) + 1 >= max(len(a), len(b)) and distance(a, b) <= 1)
+    before: list = []
+    for k, t in enumerate(texts):
+        kept = []
+        for line in (t or "").split("\n"):
+            w = SPACE.findall(line)
+            if not w or not any(near(w, b) for b in before):
+                kept.append(line)
+            if w:
+                before.append(w)
+        assert got[k]["text"] == "\n".join(kept), k
+        assert got[k]["n_lines"] - got[k]["n_dropped"] == len(kept)
+        assert (got[k]["source"], got[k]["rank"]) == ("s", 1)
+
+
+def distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            before, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, before + (x != y))
+    return d[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abc"), max_size=8))
+def test_within_one_is_the_edit_distance(a, b):
+    assert linededup.within_one(a, b) == (distance(a, b) <= 1)
+
+
+# ---- 8: packing ----
+
+
+def test_packing(make_docs, corpus):
+    texts = [*corpus, "<|endoftext|> İstanbul ﬁ   Σς"]
+    df = make_docs(texts)
+    tok = Tokenizer.from_file(WORDS)
+    got = packing.pack(df, WORDS, capacity=64).collect()
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+    import zlib
+
+    for i, t in enumerate(texts):
+        ids = array("I", [*tok.encode(t or "", add_special_tokens=False).ids, 0]).tobytes()
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in sorted(by_doc[i], key=lambda r: r["piece"])] == [
+            (k, 64 * k, len(p) // 4, zlib.crc32(p)) for k, p in enumerate(ids[j : j + 256] for j in range(0, len(ids), 256))
+        ]
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(bins) <= -(-sum(r["length"] for r in got) // 64) + 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+def test_reduction_keeps_the_optimum(lengths):
+    def least(items):  # exact, by trying all bins for each item
+        best = len(items)
+
+        def put(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for j in {b: j for j, b in enumerate(bins) if b + items[i] <= 12}.values():
+                put(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+            put(i + 1, [*bins, items[i]])
+
+        put(0, [])
+        return best
+
+    fixed, rest = packing.reduce_instance(dict(Counter(lengths)), 12)
+    assert all(sum(b) <= 12 for b, _ in fixed)
+    left = sorted(Counter(rest).elements(), reverse=True)
+    assert Counter(left) + Counter(x for b, n in fixed for _ in range(n) for x in b) == Counter(lengths)
+    assert sum(n for _, n in fixed) + least(left) == least(sorted(lengths, reverse=True))
+
+
+# ---- 1: personal data ----
+
+
+def pseudonyms(make_docs, texts, key="k"):
+    return [r["text"] for r in sorted(pii.pseudonymise(make_docs(texts), key, count_col="n").collect(), key=lambda r: r["doc_id"])]
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(re.sub(r"\D", "", s))]
+    return sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])
+
+
+def test_values_stay_linked_and_formatted(make_docs):
+    out = pseudonyms(make_docs, ["card 4111 1111 1111 1111.", "4111111111111111", "call +1 (017) 555-7713!", "+1-017-555-7713", "on 28.02.2023", "2023-02-28", "DE89 3704 0044 0532 0130 00", "Ann.B7@mail.example.com"])
+    assert re.fullmatch(r"card \d{4} \d{4} \d{4} \d{4}\.", out[0]) and luhn(out[0]) % 10 == 0 and "4111 1111" not in out[0]
+    assert re.sub(r"\D", "", out[0]) == out[1]
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}!", out[2]) and re.sub(r"\D", "", out[2]) == re.sub(r"\D", "", out[3])
+    assert ".".join(reversed(out[5].split("-"))) == out[4].removeprefix("on ") and out[5] != "2023-02-28"
+    iban = re.sub(" ", "", out[6])
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and out[6][:2] == "DE" and out[6] != "DE89 3704 0044 0532 0130 00"
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z]\d@mail\.example\.com", out[7])
+
+
+def test_what_fails_its_check_stays(make_docs):
+    texts = ["on 30.02.2023 at 300.1.1.1", "000-12-3456", "DE88 3704 0044 0532 0130 00", "Version 2.0, 3 of 12", "a@b", "", None, "1" * 60]
+    assert pseudonyms(make_docs, texts) == texts
+
+
+def test_the_key_decides(make_docs):
+    a, b = (pseudonyms(make_docs, ["1.2.3.4"], k)[0] for k in ("k", "other"))
+    assert a != b and a != "1.2.3.4"
+
+
+@pytest.mark.parametrize("make", [lambda i: f"{i // 99 % 3 + 1:03}-{i % 99 + 1:02}-0001", lambda i: f"10.0.{i // 256}.{i % 256}", lambda i: f"{i:012}", lambda i: f"{2000 + i % 50}-{i // 50 % 12 + 1:02}-11", lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}@x.org"])
+def test_different_values_stay_different(make_docs, make):
+    values = sorted({make(i) for i in range(290)})
+    assert len(set(pseudonyms(make_docs, values))) == len(values)
+
+
+def test_pii_plan_is_native(make_docs):
+    plan = pii.pseudonymise(make_docs(["x"]), "k")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan.split("Scan")[0].replace("repartition", ""))
+
+
+# ---- 9: toxicity ----
+
+
+def labelled(spark, n=400):
+    import random
+
+    r = random.Random(1)
+    rows_, labels = [], []
+    for i in range(n):
+        words = ["".join(r.choice("kmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(40)]
+        toxic = i % 4 == 0
+        if toxic:
+            words[r.randrange(40)] = r.choice(["blockhead", "scoundrel"])
+        rows_.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(rows_, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_held_out_and_misspelled(spark):
+    docs, labels = labelled(spark)
+    more = spark.createDataFrame([(1000, "you are a blokchead and a scoundrrel"), (1001, None), (1002, ""), (1003, 'he said "blockhead" was a quote')], "doc_id long, text string")
+    got = rows(toxicity.scored(docs.union(more), labels))
+    wrong = sum(got[i]["predicted"] != int(i % 4 == 0) for i in range(400) if got[i]["held_out"])
+    assert wrong == 0 and got[1000]["predicted"] == 1
+    assert got[1001]["score"] == got[1002]["score"] < 0.5
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_toxicity_without_labels(spark):
+    docs, labels = labelled(spark, 20)
+    assert {r["score"] for r in toxicity.scored(docs, labels.where("toxic = 0")).collect()} == {0.0}
+    assert toxicity.filter_toxic(docs, labels.where("toxic > 5")).count() == 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcd", max_size=10))
+def test_automata_agree_with_edit_distance(word):
+    terms = {"abcab": 2.0, "dcbaabcd": 1.5, "abc*": 3.0, "aaaabbbbc": 4.0}
+    got = toxicity.Lexicon(terms).look(word)
+    if word.startswith("abc"):
+        assert got is not None
+        return
+    exact = [w for t, w in terms.items() if t == word]
+    near = [t for t in terms if not t.endswith("*") and distance(word, t) <= toxicity.edits(t)]
+    assert (got is not None) == bool(exact or near)
+
+
+def test_context_separates_quotation_from_abuse():
+    memo = toxicity.Memo(toxicity.Lexicon({"blockhead": 3.0}))
+    abuse, quote = (toxicity.features(t, memo)[-1] for t in ("you are a blockhead", 'they wrote "blockhead" there'))
+    assert abuse > quote > 0
