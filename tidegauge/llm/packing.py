@@ -129,6 +129,12 @@ class _Stock:
         if not self.left[length]:
             self.order.remove(length)
 
+    def give(self, length: int) -> None:
+        """Put one piece back."""
+        if not self.left[length]:
+            self.order.insert(bisect_right(self.order, length), length)
+        self.left[length] += 1
+
     def smallest(self, k: int, above: int = 0) -> list[int]:
         """The k smallest pieces longer than `above`."""
         out: list[int] = []
@@ -158,9 +164,7 @@ def _dominating(stock: _Stock, length: int, capacity: int) -> tuple[int, ...] |
     stock.take(best, 1)
     second = stock.fitting(room - best)
     low = stock.smallest(2, above=second)
-    stock.left[best] += 1
-    if best not in stock.order:
-        stock.order.insert(bisect_right(stock.order, best), best)
+    stock.give(best)
     # at most two partners fit: (best, second) covers every pair unless two pieces longer than second fit together
     if second and (len(low) < 2 or sum(low) > room):
         return (best, second)
@@ -170,25 +174,24 @@ def _dominating(stock: _Stock, length: int, capacity: int) -> tuple[int, ...] |
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """(bins that dominate, as (lengths, how many)), and what is left to pack."""
-    stock, fixed, rest = _Stock(counts), [], Counter()
-    while stock.order:
-        length = stock.order[-1]
-        stock.take(length, 1)
-        partners = _dominating(stock, length, capacity)
-        if partners is None:
-            rest[length] += 1 + stock.left[length]
-            if stock.left[length]:
-                stock.take(length, stock.left[length])
-            continue
-        need = Counter((length, *partners))
-        stock.left[length] += 1
-        if length not in stock.order:
-            stock.order.append(length)
-        many = min(stock.left[x] // k for x, k in need.items())
-        for x, k in need.items():
-            stock.take(x, k * many)
-        fixed.append(((length, *partners), many))
-    return fixed, dict(rest)
+    stock, fixed = _Stock(counts), []
+    shrunk = True
+    while shrunk:  # what is fixed leaves fewer alternatives, so lengths that weren't proved before may be now
+        shrunk = False
+        for length in sorted(stock.order, reverse=True):
+            while stock.left[length]:
+                stock.take(length, 1)
+                partners = _dominating(stock, length, capacity)
+                stock.give(length)
+                if partners is None:
+                    break
+                need = Counter((length, *partners))
+                many = min(stock.left[x] // k for x, k in need.items())
+                for x, k in need.items():
+                    stock.take(x, k * many)
+                fixed.append(((length, *partners), many))
+                shrunk = True
+    return fixed, {x: stock.left[x] for x in stock.order}
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
