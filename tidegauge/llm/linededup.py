@@ -32,6 +32,11 @@ LEAST = 5
 #: The kind of a code that stands for the whole line; the place of a line that goes already.
 WHOLE, GONE = 4, -2
 MEMO = 500_000
+#: Bytes of lines that are hashed, and rows that are sent, in one go.
+SEGMENT, ROWS = 1 << 18, 1 << 15
+#: ASCII white space, and a value for each byte.
+BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+SYMBOL = mix(np.arange(1, 257, dtype="u8") * np.uint64(0xD1342543DE82EF95))
 
 
 class _Hashes(dict):
@@ -44,48 +49,91 @@ class _Hashes(dict):
         return h
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n + 1, base)
-    p[0] = 1
-    return np.cumprod(p, dtype="u8")
+    """The first n + 1 powers; those for a segment are kept."""
+    if int(base) not in _POWERS or len(_POWERS[int(base)]) <= n:
+        p = np.full(max(n, 2 * SEGMENT) + 1, base)
+        p[0] = 1
+        p = np.cumprod(p, dtype="u8")
+        if n > 2 * SEGMENT:
+            return p
+        _POWERS[int(base)] = p
+    return _POWERS[int(base)][: n + 1]
 
 
 def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the words' hashes in a polynomial, and the powers that shift a part to its start."""
+    """Prefix sums of the hashes in a polynomial, and the powers that shift a part to its start."""
     total = np.concatenate([np.zeros(1, "u8"), np.cumsum(hashes * _powers(BASE, len(hashes))[:-1], dtype="u8")])
     return total, _powers(INVERSE, len(hashes))
 
 
-def line_rows(text: str, known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, key, hash) for the lines that aren't blank: WHOLE with the line's key, and its halves' keys if it is long enough.
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (doc_id, number of the first line, lines) of about SEGMENT bytes; only a single line may be longer."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for b in batches:
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            raw, at, line = text.as_py().encode(), 0, 0
+            while doc is not None and at <= len(raw):
+                stop = len(raw) if len(raw) - at <= SEGMENT else raw.find(b"\n", at + SEGMENT)
+                part = raw[at : stop if stop >= 0 else len(raw)]
+                held.append((doc, line, part))
+                size += len(part)
+                at += len(part) + 1
+                line += part.count(b"\n") + 1
+                if size >= SEGMENT:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def line_rows(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """(key, hash, doc_id, code) for the lines that aren't blank: WHOLE with the line's key, and its halves' keys if it is long enough.
 
     A code is the line's number times 8, plus the kind: 0 and 1 are prefixes of n // 2 and (n - 1) // 2 words, 2 and 3
-    suffixes, WHOLE the line.
+    suffixes, WHOLE the line. All lines of the parts are hashed at once: bytes to words, words to lines and halves.
     """
-    lines = [line.split() for line in text.encode().split(b"\n")]
-    numbers = np.flatnonzero(np.fromiter(map(len, lines), "i8", len(lines)))
-    lines = [lines[i] for i in numbers.tolist()]
-    n = np.fromiter(map(len, lines), "i8", len(lines))
-    flat = [w for line in lines for w in line]
-    total, down = _sums(np.fromiter(map(known.__getitem__, flat), "u8", len(flat)))
-    end = np.cumsum(n)
+    joined = b"\n".join([p[2] for p in parts]) + b"\n"
+    data = np.frombuffer(joined, "u1")
+    breaks = np.flatnonzero(data == 10)
+    many = np.fromiter((p[2].count(b"\n") + 1 for p in parts), "i8", len(parts))
+    doc = np.repeat(np.fromiter((p[0] for p in parts), "i8", len(parts)), many)
+    number = np.arange(len(breaks)) + np.repeat(np.fromiter((p[1] for p in parts), "i8", len(parts)) - np.cumsum(many) + many, many)
+
+    inside = ~BLANK[data]
+    edge = np.diff(inside.view("i1"), prepend=np.int8(0))
+    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    total, down = _sums(SYMBOL[data])
+    words = mix((total[stop] - total[begin]) * down[begin])
+    end = np.searchsorted(begin, breaks)  # words up to each line's end
+    n = np.diff(end, prepend=0)
+    full = np.flatnonzero(n)
+    doc, number, end, n = doc[full], number[full], end[full], n[full]
     start = end - n
+    total, down = _sums(words)
     whole = mix((total[end] - total[start]) * down[start] ^ n.astype("u8"))
-    exact = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(line)) for line in lines), "u8", len(lines))
-    codes, keys, hashes = [8 * numbers + WHOLE], [whole], [exact]
+    lines = [line.split() for line in joined.split(b"\n")]
+    exact = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(line)) for line in lines if line), "u8", len(full))
+    which = [np.arange(len(full))]
+    codes, keys = [8 * number + WHOLE], [whole]
     for kind, (t, suffix) in enumerate(((n // 2, False), ((n - 1) // 2, False), (n // 2, True), ((n - 1) // 2, True))):
-        which = np.flatnonzero((n >= LEAST) & ((kind % 2 == 0) | (n % 2 == 0)))  # for odd n both lengths are one
-        t = t[which]
+        long = np.flatnonzero((n >= LEAST) & ((kind % 2 == 0) | (n % 2 == 0)))  # for odd n both lengths are one
+        t = t[long]
         if suffix:
-            e = end[which]
+            e = end[long]
             part = mix((total[e] - total[e - t]) * down[e - t] + (2 * t + 1).astype("u8"))
         else:
-            s = start[which]
+            s = start[long]
             part = mix((total[s + t] - total[s]) * down[s] + (2 * t).astype("u8"))
-        codes.append(8 * numbers[which] + kind)
+        which.append(long)
+        codes.append(8 * number[long] + kind)
         keys.append(part)
-        hashes.append(exact[which])
-    return np.concatenate(codes), np.concatenate(keys).view("i8"), np.concatenate(hashes).view("i8")
+    at = np.concatenate(which)
+    return np.concatenate(keys).view("i8"), exact[at].view("i8"), doc[at], np.concatenate(codes)
 
 
 def open_places(n: int, kinds: set[int]) -> tuple[int, int]:
@@ -123,12 +171,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                code, key, h = line_rows(text.as_py(), known)
-                if doc is not None and len(code):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, h, np.full(len(code), doc), code)], ["key", "h", "doc_id", "code"])
+        for parts in segments(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in line_rows(parts)], ["key", "h", "doc_id", "code"])
 
     # equal lines but the first; and halves that different lines share
     by_key = Window.partitionBy("key")
@@ -143,6 +187,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["key", "doc_id", "at"])
+
         for b in batches:
             for doc, text, codes in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("codes").to_pylist()):
                 if not codes:
@@ -161,8 +211,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                     line.append(np.full(len(where), i, "i8"))
                     place.append(where)
                     key.append(what)
-                cols = [np.concatenate(key), np.full(sum(map(len, key)), doc), np.concatenate(line) << 32 | (np.concatenate(place) - GONE)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "doc_id", "at"])
+                keys = np.concatenate(key)
+                held.append((keys, np.full(len(keys), doc), np.concatenate(line) << 32 | (np.concatenate(place) - GONE)))
+                n += len(keys)
+                if n >= ROWS:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
 
     line = F.shiftright("at", 32).cast("int").alias("line")
     place = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) + GONE).cast("int").alias("place")
