@@ -1,3 +1,5 @@
+import subprocess
+import sys
 from datetime import datetime, timezone
 
 import pytest
@@ -44,3 +46,8 @@ def test_bad_bar_counts(bad):
 def test_bars_cover_the_duration(n, unit, interval):
     bars = I.bars(f"{n}{unit}", interval)
     assert bars * I.interval_seconds(interval) >= I.duration_seconds(f"{n}{unit}") > (bars - 1) * I.interval_seconds(interval) or bars == 1
+
+
+def test_the_entry_module_needs_no_session_to_import():
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=Path(__file__).parents[1])
+    assert said.returncode == 0, said.stderr

@@ -10,7 +10,11 @@ from tidegauge.functions.scalars import bad_ohlc, log_price
 from tidegauge.sources.candles import KEY, closed_only, normalise
 
 ISSUE = ("severity", "check", "message", "symbol", "count")
-OHLC = bad_ohlc(F.col("open"), F.col("high"), F.col("low"), F.col("close"))
+
+
+def broken() -> Column:
+    """Whether a candle's prices contradict each other."""
+    return bad_ohlc(F.col("open"), F.col("high"), F.col("low"), F.col("close"))
 
 
 def _by_symbol():
@@ -59,7 +63,7 @@ def validate(candles: DataFrame, interval: str, symbols: list[str] | None = None
         issue(data.where(F.col("interval") != interval), "error", "interval", f"candles must all use selected interval {interval}"),
         issue(data.where(~F.col("is_closed")), "error", "unclosed", "unclosed candles cannot enter research data"),
         issue(duplicates(closed), "error", "duplicates", "duplicate candle timestamps detected"),
-        issue(closed.where(OHLC), "error", "ohlc", "invalid OHLC candle logic"),
+        issue(closed.where(broken()), "error", "ohlc", "invalid OHLC candle logic"),
         issue(closed.where("volume < 0"), "error", "volume", "negative volume detected"),
         issue(gaps(closed, interval_seconds(interval)), "warning", "missing", "missing candle gap detected", True),
         issue(return_outliers(closed, z), "warning", "outlier", "large return outlier detected", True),
@@ -91,7 +95,7 @@ def accumulation(candles: DataFrame, interval: str) -> DataFrame:
         F.count("*").alias("rows"), F.min("open_time").alias("first_open_time"), F.max("open_time").alias("latest_open_time"),
         F.count_if("is_closed").alias("closed_rows"), F.count_if(~F.col("is_closed")).alias("unclosed_rows"),
         F.coalesce(F.sum("_gap"), F.lit(0)).cast("long").alias("missing_gap_count"), F.sum("_dup").cast("long").alias("duplicate_rows"),
-        F.count_if(OHLC).alias("ohlc_issue_rows"), F.count_distinct("open_time").alias("_times"),
+        F.count_if(broken()).alias("ohlc_issue_rows"), F.count_distinct("open_time").alias("_times"),
     )
     span = F.floor((epoch(F.col("latest_open_time")) - epoch(F.col("first_open_time"))) / (seconds * 1_000_000)) + 1
     expected = F.when(F.col("_times") >= 2, span.cast("long"))

@@ -97,7 +97,7 @@ BAD = "(high < greatest(open, close, low) OR low > least(open, close, high) OR l
 
 @query("ohlc_violations", f'WITH {CANDLES}, {BROKEN} SELECT symbol, open_time, "open", high, low, "close" FROM k WHERE {BAD}')
 def ohlc_violations(spark, d):
-    return _broken(hourly(spark, d)).where(quality.OHLC).select("symbol", "open_time", "open", "high", "low", "close")
+    return _broken(hourly(spark, d)).where(quality.broken()).select("symbol", "open_time", "open", "high", "low", "close")
 
 
 GAPS = "SELECT symbol, open_time, previous_open_time FROM (SELECT symbol, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS previous_open_time FROM {0}) WHERE open_time - previous_open_time > INTERVAL 1 HOUR"
