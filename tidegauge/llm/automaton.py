@@ -16,16 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.linededup import word_hashes
 from tidegauge.llm.windows import covered, marked
 
 WIDTH, GRAM = 20, 5
 #: Bytes of text whose automaton is built at once.
 SHARD = 400_000
-MEMO = 500_000
 
 
 class Automaton:
@@ -107,24 +106,8 @@ def earlier(rows: list[tuple[int, int, int, bytes]], width: int = WIDTH) -> Iter
             sam.add(words)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
 def _symbols():
-    known = _Hashes().__getitem__
-
-    def values(text: str) -> np.ndarray:
-        words = text.encode().split()
-        return np.fromiter(map(known, words), "u8", len(words))
-
-    return values
+    return lambda text: word_hashes(np.frombuffer(text.encode(), "u1"))[1]
 
 
 def _content():

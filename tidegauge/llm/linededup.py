@@ -70,6 +70,14 @@ def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, _powers(INVERSE, len(hashes))
 
 
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the bytes starts, and a hash of each."""
+    edge = np.diff((~BLANK[data]).view("i1"), prepend=np.int8(0), append=np.int8(0))
+    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    total, down = _sums(SYMBOL[data])
+    return begin, mix((total[stop] - total[begin]) * down[begin])
+
+
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (doc_id, number of the first line, lines) of about SEGMENT bytes; only a single line may be longer."""
     held: list[tuple[int, int, bytes]] = []
@@ -104,11 +112,7 @@ def line_rows(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.fromiter((p[0] for p in parts), "i8", len(parts)), many)
     number = np.arange(len(breaks)) + np.repeat(np.fromiter((p[1] for p in parts), "i8", len(parts)) - np.cumsum(many) + many, many)
 
-    inside = ~BLANK[data]
-    edge = np.diff(inside.view("i1"), prepend=np.int8(0))
-    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total, down = _sums(SYMBOL[data])
-    words = mix((total[stop] - total[begin]) * down[begin])
+    begin, words = word_hashes(data)
     end = np.searchsorted(begin, breaks)  # words up to each line's end
     n = np.diff(end, prepend=0)
     full = np.flatnonzero(n)

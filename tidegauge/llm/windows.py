@@ -23,6 +23,8 @@ from tidegauge.llm.common import texts
 CHUNK = 1 << 19
 #: Different contents of one anchor beyond which windows are keyed one by one.
 HOT = 2048
+#: Spans that are sent in one go.
+ROWS = 1 << 15
 #: A span has fewer windows than this; its first window and their number are one number in the shuffle.
 MOST = 1 << 12
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,12 +96,25 @@ def marked(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = symbols()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["anchor", "h", "doc_id", "place"])
+
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if doc is None:
+                    continue
                 key, h, start, n = spans(values(text.as_py()), width, gram)
-                if doc is not None and len(key):
-                    cols = [key, h, np.full(len(key), doc), start * MOST + n]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "h", "doc_id", "place"])
+                if len(key):
+                    held.append((key, h, np.full(len(key), doc), start * MOST + n))
+                    size += len(key)
+                if size >= ROWS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     found = docs.mapInArrow(find, "anchor long, h long, doc_id long, place long")
     by_key, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "h")
