@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,7 @@ SAYING = frozenset("said says wrote writes quoted quote called calls shouted rep
 ADDRESS = frozenset("you your yours you're yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes".split())
 #: Characters that stand for letters.
 LEET = str.maketrans("01345$@", "oieassa")
+QUOTE = re.compile(f"[{QUOTES}]")
 LETTERS = re.compile(r"[^\W\d_]+")
 CORE = re.compile(r"[\w$@]+(?:['’][\w$@]+)*")
 
@@ -164,12 +167,13 @@ def features(text: str, memo: Memo) -> list[float]:
     hits = [(i, h) for i, h in enumerate(map(memo.__getitem__, words)) if h]
     if not hits:
         return [0.0] * FEATURES
-    opened = np.cumsum([sum(w.count(c) for c in QUOTES) for w in words])
+    marks = [m.start() for m in QUOTE.finditer(" ".join(words))]
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0)) if marks else []
     at = [i for i, _ in hits]
     plain = wrong = quoted = context = 0.0
     for i, (right, misspelled) in hits:
         near = [w.strip(".,;:!?\"'“”„«»").lower() for w in words[max(0, i - WINDOW) : i + WINDOW + 1]]
-        inside = (opened[i - 1] if i else 0) % 2 == 1 or any(c in words[i] for c in QUOTES)
+        inside = bool(marks) and (bisect_left(marks, starts[i]) % 2 == 1 or any(c in words[i] for c in QUOTES))
         said = any(w in SAYING for w in near)
         address = any(w in ADDRESS for w in near)
         others = sum(abs(i - j) <= WINDOW for j in at) - 1
