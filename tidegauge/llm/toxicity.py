@@ -37,6 +37,8 @@ SAMPLE = 20_000
 TERMS = 1000
 #: A term's document frequency in toxic texts, as a share of them, and the least log-ratio of its shares.
 LEAST_SHARE, LEAST_RATIO = 0.01, 2.5
+#: What must remain of the log-ratio less twice its standard error, so that words seen in a few toxic texts by chance are no terms.
+LEAST_BOUND = 1.5
 #: Words before and after a hit that make its context.
 WINDOW = 8
 MEMO, STATES = 600_000, 100_000
@@ -230,9 +232,10 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     if "" not in clean:
         return {}
     ratio = {t: math.log((n + 0.5) / (most + 1)) - math.log((clean.get(t, 0) + 0.5) / (clean[""] + 1)) for t, n in frequent.items()}
+    error = {t: math.sqrt(1 / (n + 0.5) + 1 / (clean.get(t, 0) + 0.5)) for t, n in frequent.items()}
     kept: dict[str, float] = {}
     for t in sorted(ratio, key=lambda t: (-frequent[t], -len(t), t)):
-        if ratio[t] < LEAST_RATIO or len(kept) >= TERMS:
+        if ratio[t] < LEAST_RATIO or ratio[t] - 2 * error[t] < LEAST_BOUND or len(kept) >= TERMS:
             continue
         stem = t.rstrip("*")
         if any(stem.startswith(k[:-1]) for k in kept if k.endswith("*")):
