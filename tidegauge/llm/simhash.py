@@ -37,16 +37,25 @@ HOT = 4096
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
+def shingles(text: str, width: int = WIDTH) -> np.ndarray:
+    """The XXH64 values of the text's word shingles, in their order; of all words if they are fewer."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII white spaces
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[: len(words) - k].tolist(), ends[k:].tolist())], "<u8")
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts[: len(words) - k].tolist(), ends[k:].tolist())], "<u8")
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    return majority(shingles(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the values."""
     counts = np.zeros(64, "i8")
     for i in range(0, len(h), CHUNK):
         part = h[i : i + CHUNK]
@@ -66,10 +75,13 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of machine words: bit j of word w of row b is bit b of fingerprint 64 w + j. One spare word."""
+    """A row of machine words per bit: bit j of word w of row b is bit b of fingerprint 64 w + j. One spare word.
+
+    A fingerprint is a number of 64 bits, or a row of several."""
     n = len(fps)
-    bits = np.unpackbits(fps.astype("<u8").view("u1").reshape(n, 8), axis=1, bitorder="little").T
-    out = np.zeros((64, (n // 64 + 2) * 8), "u1")
+    width = 8 * (fps.shape[1] if fps.ndim > 1 else 1)
+    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view("u1").reshape(n, width), axis=1, bitorder="little").T
+    out = np.zeros((8 * width, (n // 64 + 2) * 8), "u1")
     packed = np.packbits(bits, axis=1, bitorder="little")
     out[:, : packed.shape[1]] = packed
     return out.view("<u8")
@@ -90,7 +102,7 @@ def within(p: np.ndarray, shift: int, allowed: np.ndarray, radius: int) -> np.nd
     alive = allowed[at]
     depth = radius.bit_length()
     counters = [np.zeros(len(at), "<u8") for _ in range(depth)]
-    for b in range(64):
+    for b in range(len(p)):
         other = p[b, at + ws] >> bs
         if bs:
             other |= p[b, np.minimum(at + ws + 1, p.shape[1] - 1)] << np.uint64(64 - int(bs))
