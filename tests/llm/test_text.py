@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from array import array
 from collections import Counter, defaultdict
@@ -398,6 +399,16 @@ def test_automata_agree_with_edit_distance(word):
     assert (got is not None) == bool(exact or near)
 
 
+def test_beginnings_are_found_in_a_dense_lexicon():
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcde") for _ in range(n))
+    terms = {word(12): 1.0 for _ in range(600)} | {word(n) + "*": 2.0 for n in (4, 5, 6) for _ in range(20)}
+    lexicon = toxicity.Lexicon(terms)
+    for t in terms:
+        if t.endswith("*"):
+            assert lexicon.look(t[:-1] + "xyz") == (2.0, 0.0)
+
+
 def test_context_separates_quotation_from_abuse():
     memo = toxicity.Memo(toxicity.Lexicon({"blockhead": 3.0}))
     abuse, quote = (toxicity.features(t, memo)[-1] for t in ("you are a blockhead", 'they wrote "blockhead" there'))

@@ -88,6 +88,7 @@ class Lexicon:
     def _fresh(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
+        self.begun: list[float | None] = []  # the weight of the beginning that a state has reached without edits
         self.next: dict[tuple[int, str], int] = {}
         self.start = self._state({0: 0})
 
@@ -105,6 +106,8 @@ class Lexicon:
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(key)
+            exact = (self.term[node] for node, e in key if e == 0)
+            self.begun.append(next((self.weights[t] for t in exact if t and t.endswith("*")), None))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -132,9 +135,8 @@ class Lexicon:
             at = to
             if not self.states[at]:
                 return None
-            for node, e in self.states[at] if len(self.states[at]) < 9 else ():
-                if e == 0 and (t := self.term[node]) and t.endswith("*"):
-                    return (self.weights[t], 0.0)
+            if (begun := self.begun[at]) is not None:
+                return (begun, 0.0)
         best = min(
             ((e, -self.weights[t]) for node, e in self.states[at] if (t := self.term[node]) and not t.endswith("*") and e <= edits(t)),
             default=None,
