@@ -70,6 +70,24 @@ def test_nearest_neighbours(spark, cell):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("cell", [16384, 100])
+def test_queries_are_dealt_in_blocks(spark, monkeypatch, cell):
+    monkeypatch.setattr(crosspolytope, "SLICE", 50)
+    monkeypatch.setattr(crosspolytope, "KEPT", 8)
+    df, _ = table(spark, 300)
+    other = spark.createDataFrame([(1000 + i, [float(i), 1.0], 0, 0.0) for i in range(40)], SCHEMA)  # another dimension
+    found = lambda block: sorted(map(tuple, crosspolytope.nearest(df.union(other), F.col("vec_id") % 10 == 0, cell=cell, block=block).collect()))
+    got = found(7)
+    assert got == found(1 << 20)
+    assert {(q < 1000) == (v < 1000) for q, _, v, _ in got} == {True}
+
+
+def test_blocks_are_bounded():
+    plan = crosspolytope.deal([(64, 0, b, n) for b, n in enumerate([100, 50000, 20])], 16384)
+    many = crosspolytope.blocks(plan, {(64, 0, 0): 3000, (64, 0, 1): 30000, (64, 0, 2): 10}, {64: 100_000}, 1000)
+    assert [many[plan[64, 0, b][0]] for b in range(3)] == [3, 30, 1]
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(10, 24))
     np.testing.assert_allclose(np.linalg.norm(crosspolytope.rotate(x, 1), axis=1), np.linalg.norm(x, axis=1))
