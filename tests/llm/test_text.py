@@ -236,6 +236,25 @@ def test_lines(make_docs, corpus):
         assert (got[k]["source"], got[k]["rank"]) == ("s", 1)
 
 
+@pytest.mark.parametrize("op, width, gram, once", [(automaton, 20, 5, True), (rlbwt, 200, 64, False)])
+def test_a_common_passage_is_no_batch(make_docs, monkeypatch, op, width, gram, once):
+    """A passage of 60 documents between different surroundings; HOT 4: no index gets more than a few rows."""
+    monkeypatch.setattr(windows, "HOT", 4)
+    r = random.Random(12)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = words(45)
+    docs = make_docs([f"{words(30)} {passage} {words(30)}" for _ in range(60)])
+
+    def index(rows):
+        assert len(rows) <= 2 * 4, len(rows)
+        return op.earlier(rows, width) if once else op.repeated(rows, width)
+
+    copies = F.col("rank") > 1 if once else F.col("copies") > 1
+    found = windows.marked(docs, width, gram, op._symbols, op._content, index, copies, 1, once).collect()
+    n = {r["doc_id"]: int(windows.covered(10**4, width, r["marks"]).sum()) for r in found}
+    assert n[0] == (0 if once else n[1]) and all(n[i] >= (45 if once else len(passage)) for i in range(1, 60))
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -6,8 +6,8 @@ statistic reaches WIDTH words, the window has an earlier occurrence, and its wor
 by the shard, never by the corpus, so it isn't broadcast to all tasks: it stays where the spans that need it are dealt.
 
 Defined results: a null text counts as empty; texts of fewer words than a window lose nothing; earlier means a smaller
-doc_id, or the same document and an earlier start; rows that repeat a doc_id count as that one document; rows without doc_id keep
-all words; an empty table gives no rows; extra columns are not carried.
+doc_id, or the same document and an earlier start; rows that repeat a doc_id and its text count as that one document, and all come out alike;
+different texts under one doc_id are documents of their own, in the order of a hash of them; rows without doc_id keep all words; an empty table gives no rows; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _content():
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, kept (the words that stay, joined by a space), n_words and n_removed."""
-    found = marked(docs, width, gram, _symbols, _content, lambda rows: earlier(rows, width), F.col("rank") > 1, SHARD)
+    found = marked(docs, width, gram, _symbols, _content, lambda rows: earlier(rows, width), F.col("rank") > 1, SHARD, once=True)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

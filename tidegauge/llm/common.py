@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters with Unicode's White_Space property, as a regex class body.
@@ -22,6 +22,22 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """doc_id and hashes, in order, of the texts of each doc_id that has several different ones. docs: doc_id and text."""
+    hashes = F.sort_array(F.collect_set(F.xxhash64("text"))).alias("hashes")
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(hashes).where(F.size("hashes") > 1)
+
+
+def version(text: Column | str, hashes: Column | str = "hashes") -> Column:
+    """Which of its doc_id's different texts this is, from 0."""
+    return F.coalesce(F.array_position(hashes, F.xxhash64(text)) - 1, F.lit(0)).cast("long")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and v, its version."""
+    return docs.join(versions(docs), "doc_id", "left").select("doc_id", "text", version("text").alias("v"))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
     sc = df.sparkSession.sparkContext

@@ -135,7 +135,7 @@ def _content():
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, kept (the bytes that stay), n_bytes, n_removed and n_spans (runs of removed bytes)."""
-    found = marked(docs, width, gram, _symbols, _content, lambda rows: repeated(rows, width), F.col("copies") > 1, SHARD)
+    found = marked(docs, width, gram, _symbols, _content, lambda rows: repeated(rows, width), F.col("copies") > 1, SHARD, once=False)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

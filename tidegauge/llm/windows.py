@@ -4,8 +4,9 @@ A window is `width` consecutive symbols (bytes or words). Its anchor is the leas
 the last of them if tied; equal windows have equal anchors at the same place. Consecutive windows with one anchor make a
 span. Spans are shuffled as (anchor, content hash, place) only; anchors that occur once go. Of spans with equal content only the first
 is looked up in an index, its copies share what is found. Only the texts of those first spans are shipped, keyed by anchor, and sorted; a task
-takes whole anchors until a batch is full. Anchors with more than HOT different contents are keyed by each window's own content instead, so no batch
-holds a common passage's many surroundings.
+takes whole anchors until a batch is full. An anchor in such a batch has at most HOT different contents. Of those with more, no
+index is built: their windows are counted by a 128-bit hash of each, aggregated before the shuffle and joined back, so a passage that most
+documents hold between different surroundings is a skewed join, which adaptive execution splits, and never one task's rows.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import texts
+from tidegauge.llm.common import numbered, texts
 
 #: Symbols that are hashed in one go; longer texts overlap by a window.
 CHUNK = 1 << 19
-#: Different contents of one anchor beyond which windows are keyed one by one.
+#: Different contents of one anchor beyond which windows are counted one by one.
 HOT = 2048
 #: Spans that are sent in one go.
 ROWS = 1 << 15
 #: A span has fewer windows than this; its first window and their number are one number in the shuffle.
 MOST = 1 << 12
+#: A window's place is its first symbol, after the bits of the text's version (see common.numbered).
+PLACE = 31
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -85,14 +88,16 @@ def marked(
     index: Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]],
     copies: Column,
     batch_bytes: int,
+    once: bool,
 ) -> DataFrame:
     """doc_id, text and marks (array of struct(start, n)): the windows that `index` finds, or that `copies` selects.
 
     symbols() makes a function from a text to a value per symbol; content() one from a text to a function that cuts
     out symbols; index() takes (doc_id, start, number of windows, content) and gives (doc_id, start, number); copies
-    is a condition on rank and n, a span's place among and the number of the spans of equal content.
+    is a condition on rank and copies, a span's place among and the number of the spans of equal content. With `once`, windows at the
+    same place of rows that repeat a doc_id and its text are one, and the earliest of equal windows stays; else all equal ones are found.
     """
-    docs = texts(docs)
+    docs = numbered(texts(docs))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = symbols()
@@ -103,12 +108,14 @@ def marked(
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["anchor", "h", "doc_id", "place"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, text, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                if v >> 62 - PLACE - 12:
+                    raise ValueError(f"doc_id {doc} has too many different texts")
                 if doc is None:
                     continue
                 key, h, start, n = spans(values(text.as_py()), width, gram)
                 if len(key):
-                    held.append((key, h, np.full(len(key), doc), start * MOST + n))
+                    held.append((key, h, np.full(len(key), doc), (start + (v << PLACE)) * MOST + n))
                     size += len(key)
                 if size >= ROWS:
                     yield out()
@@ -120,11 +127,12 @@ def marked(
     by_key, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "h")
     ranked = (
         found.repartition("anchor")  # which also holds equal contents together: one shuffle for all windows
-        .withColumn("rank", F.row_number().over(by_content.orderBy("doc_id", "place")))
+        .withColumn("row", F.row_number().over(by_content.orderBy("doc_id", "place")))
+        .withColumn("rank", F.dense_rank().over(by_content.orderBy("doc_id", "place")))
         .withColumn("copies", F.count("*").over(by_content))
-        .withColumn("kinds", F.count_if(F.col("rank") == 1).over(by_key))
+        .withColumn("kinds", F.count_if(F.col("row") == 1).over(by_key))
     )
-    wanted = (F.col("rank") == 1) & (F.col("kinds") > 1)
+    wanted = (F.col("row") == 1) & (F.col("kinds") > 1)
     told = F.when(wanted, F.when(F.col("kinds") > HOT, 2).otherwise(1)).otherwise(0)  # look up window by window, as it is, or not
     spans_of = (
         ranked.where(copies | wanted)
@@ -137,20 +145,19 @@ def marked(
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text, spans_here in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
+            for doc, text, v, spans_here in zip(*(b.column(c).to_pylist() if c != "text" else b.column(c) for c in ("doc_id", "text", "v", "spans"))):
                 if not spans_here:
                     continue
-                cut = cutter(text.as_py())
+                cut, before = cutter(text.as_py()), v << PLACE
                 for s in spans_here:
-                    start, n = divmod(s["place"], MOST)
+                    place, n = divmod(s["place"], MOST)
+                    if place >> PLACE != v:
+                        continue
+                    start = place - before
                     if s["marked"]:
-                        rows.append((hash_bytes(doc.to_bytes(8, "big", signed=True)), doc, start, n, None))
-                    if s["look"] == 2:
-                        single = [(cut(i, i + width), i) for i in range(start, start + n)]
-                        rows += [(hash_bytes(c), doc, i, 1, c) for c, i in single]
-                        size += width * n
-                    elif s["look"]:
-                        rows.append((s["anchor"], doc, start, n, cut(start, start + n + width - 1)))
+                        rows.append((hash_bytes(doc.to_bytes(8, "big", signed=True)), doc, place, n, None))
+                    if s["look"] == 1:
+                        rows.append((s["anchor"], doc, place, n, cut(start, start + n + width - 1)))
                         size += len(rows[-1][4])
                     if size > 1 << 22 or len(rows) > 1 << 16:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -158,7 +165,30 @@ def marked(
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        cutter, hashes, ids, starts = content(), [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64())], ["window", "doc_id", "start"])
+
+        for b in batches:
+            for doc, text, v, spans_here in zip(*(b.column(c).to_pylist() if c != "text" else b.column(c) for c in ("doc_id", "text", "v", "spans"))):
+                cut, before = cutter(text.as_py()), v << PLACE
+                for s in spans_here:
+                    place, n = divmod(s["place"], MOST)
+                    if s["look"] == 2 and place >> PLACE == v:
+                        hashes += [xxhash.xxh3_128_digest(cut(i, i + width)) for i in range(place - before, place - before + n)]
+                        ids += [doc] * n
+                        starts += range(place, place + n)
+                    if len(ids) >= ROWS:
+                        yield out()
+                        hashes, ids, starts = [], [], []
+        if ids:
+            yield out()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -168,7 +198,7 @@ def marked(
         def out() -> Iterator[pa.RecordBatch]:
             got = marks + (list(index(held)) if len(held) > 1 else [])
             cols = list(zip(*got)) if got else [[], [], []]
-            types = (pa.int64(), pa.int32(), pa.int32())
+            types = (pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "start", "n"])
 
         for b in batches:
@@ -178,20 +208,30 @@ def marked(
                     held, marks, size = [], [], 0
                 if row[3] is None:
                     marks.append(tuple(row[:3]))
+                elif once and held and key == last and held[-1][:2] == tuple(row[:2]):
+                    continue
                 else:
                     held.append(tuple(row))
                     size += len(row[3])
                 last = key
         yield from out()
 
+    with_spans = docs.join(spans_of, "doc_id", "left").select("doc_id", "text", "v", "spans")
     shipped = (
-        docs.join(spans_of, "doc_id", "left").select("doc_id", "text", "spans")  # as below, so that texts are shuffled once
-        .mapInArrow(ship, "anchor long, doc_id long, start int, n int, bytes binary")
+        with_spans  # as below, so that texts are shuffled once
+        .mapInArrow(ship, "anchor long, doc_id long, start long, n int, bytes binary")
         .repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     )
-    looked = shipped.mapInArrow(look, "doc_id long, start int, n int")
-    marks = looked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
+    looked = shipped.mapInArrow(look, "doc_id long, start long, n int")
+    hot = with_spans.where(F.exists("spans", lambda s: s["look"] == 2)).mapInArrow(single, "window binary, doc_id long, start long")
+    me = F.struct("doc_id", "start")
+    several = hot.groupBy("window").agg(F.count("*").alias("many"), F.min(me).alias("first")).where("many > 1")
+    again = hot.join(several, "window").where(me != F.col("first") if once else F.lit(True)).select("doc_id", "start", F.lit(1).alias("n"))
+    marks = looked.union(again).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    before = F.shiftleft("v", PLACE)
+    own = F.filter("marks", lambda m: F.shiftright(m["start"], PLACE) == F.col("v"))
+    own = F.transform(own, lambda m: F.struct((m["start"] - before).alias("start"), m["n"].alias("n")))
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", own.alias("marks"))
 
 
 def hash_bytes(b: bytes) -> int:
