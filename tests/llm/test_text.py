@@ -236,6 +236,23 @@ def test_lines(make_docs, corpus):
         assert (got[k]["source"], got[k]["rank"]) == ("s", 1)
 
 
+def test_rows_that_repeat_a_doc_id(make_docs):
+    r = random.Random(11)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    a, b, c, d = (line() for _ in range(4))
+    docs = make_docs([(5, f"{a}\n{b}"), (5, f"{a}\n{b}"), (7, f"{c}\n{a}"), (7, f"{d}\n{line()}"), (7, f"{c}\n{a}"), (9, d)])
+    first = {r["text"].split("\n")[1] for r in docs.where("doc_id = 7").collect()} - {a}
+    want = sorted([(5, f"{a}\n{b}"), (5, f"{a}\n{b}"), (7, c), (7, c), (7, f"{d}\n{first.pop()}"), (9, "")])
+    for cols in (docs.columns, ["doc_id", "text"]):
+        got = linededup.remove_lines(docs.select(cols)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == want
+        assert sorted(r["n_dropped"] for r in got) == [0, 0, 0, 1, 1, 1]
+    kept = sorted((r["doc_id"], r["kept"]) for r in automaton.remove_repeats(docs).collect())
+    assert kept == [(i, " ".join(t.split())) for i, t in want]
+    gone = sorted((r["doc_id"], r["n_removed"] > 0) for r in rlbwt.remove_repeats(docs).collect())
+    assert gone == [(5, True), (5, True), (7, True), (7, True), (7, True), (9, True)]
+
+
 @pytest.mark.parametrize("op, width, gram, once", [(automaton, 20, 5, True), (rlbwt, 200, 64, False)])
 def test_a_common_passage_is_no_batch(make_docs, monkeypatch, op, width, gram, once):
     """A passage of 60 documents between different surroundings; HOT 4: no index gets more than a few rows."""

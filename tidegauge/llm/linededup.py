@@ -9,8 +9,8 @@ halves (by hash and length) occur nowhere else are done. The others emit their n
 with one word deleted, as hashed keys, but only for deletions that the shared half leaves open. Equal keys are joined, each row with the
 earliest of its key, never with all; the texts of such pairs are fetched and their edit distance is verified.
 
-Defined results: a null text counts and comes out as empty; ties can't occur but between rows that repeat a doc_id, which count as that one
-document; rows without doc_id keep all lines; an empty table gives no rows; all columns of the input are kept.
+Defined results: a null text counts and comes out as empty; rows that repeat a doc_id and its text count as that one document, and all come
+out alike; different texts under one doc_id are documents of their own, in the order of a hash of them; rows without doc_id keep all lines; an empty table gives no rows; all columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import texts
+from tidegauge.llm.common import numbered, texts, version, versions
 from tidegauge.llm.windows import BASE, INVERSE, mix
 
 #: Shorter lines only go if an earlier one is equal.
@@ -79,12 +79,14 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (doc_id, number of the first line, lines) of about SEGMENT bytes; only a single line may be longer."""
+    """Lists of (doc_id, number of the first line, lines) of about SEGMENT bytes; only a single line may be longer.
+
+    Lines are numbered from the text's version times 2 ** 32."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-            raw, at, line = text.as_py().encode(), 0, 0
+        for doc, text, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            raw, at, line = text.as_py().encode(), 0, v << 32
             while doc is not None and at <= len(raw):
                 stop = len(raw) if len(raw) - at <= SEGMENT else raw.find(b"\n", at + SEGMENT)
                 part = raw[at : stop if stop >= 0 else len(raw)]
@@ -169,7 +171,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and lines (array of line numbers from 0) that have an earlier equal or near-equal. docs: doc_id and text.
+    """doc_id and lines (array of line numbers, see segments) that have an earlier equal or near-equal. docs: doc_id, text and v.
 
     One plan without branches: lines that are known to go travel along, so nothing is computed or shuffled twice.
     """
@@ -178,9 +180,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         for parts in segments(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in line_rows(parts)], ["key", "h", "doc_id", "code"])
 
-    # equal lines but the first; and halves that different lines share
+    # equal lines but the first place of them; and halves that different lines share
     by_key = Window.partitionBy("key")
-    first = F.row_number().over(Window.partitionBy("key", "h").orderBy("doc_id", "code"))
+    first = F.dense_rank().over(Window.partitionBy("key", "h").orderBy("doc_id", "code"))
     told = (
         docs.mapInArrow(find, "key long, h long, doc_id long, code long")
         .repartition("key")
@@ -195,10 +197,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         n = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["key", "doc_id", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["key", "doc_id", "at", "v"])
 
         for b in batches:
-            for doc, text, codes in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("codes").to_pylist()):
+            for doc, text, v, codes in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("v").to_pylist(), b.column("codes").to_pylist()):
+                codes = [c - (v << 35) for c in codes or () if c >> 35 == v]
                 if not codes:
                     continue
                 gone = {c // 8 for c in codes if c % 8 == WHOLE}
@@ -216,7 +219,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                     place.append(where)
                     key.append(what)
                 keys = np.concatenate(key)
-                held.append((keys, np.full(len(keys), doc), np.concatenate(line) << 32 | (np.concatenate(place) - GONE)))
+                held.append((keys, np.full(len(keys), doc), np.concatenate(line) << 32 | (np.concatenate(place) - GONE), np.full(len(keys), v)))
                 n += len(keys)
                 if n >= ROWS:
                     yield out()
@@ -224,12 +227,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    line = F.shiftright("at", 32).cast("int").alias("line")
+    line = F.shiftleft("v", 32).bitwiseOR(F.shiftright("at", 32)).alias("line")
     place = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) + GONE).cast("int").alias("place")
     me = F.struct("doc_id", "line").alias("me")
     pairs = (
-        docs.join(told, "doc_id", "left").select("doc_id", "text", "codes")
-        .mapInArrow(vary, "key long, doc_id long, at long")
+        docs.join(told, "doc_id", "left").select("doc_id", "text", "v", "codes")
+        .mapInArrow(vary, "key long, doc_id long, at long, v long")
         .repartition("key")
         .select("key", "doc_id", line, place).select("key", "place", me)
         .withColumn("whole", F.min(F.when(F.col("place") == -1, F.col("me"))).over(by_key))
@@ -248,9 +251,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     wanted = sides.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.line", "me", "other", "gone")).alias("pairs"))
     said = (
         docs.join(wanted, "doc_id", "left").where("pairs is not null")
-        .select("doc_id", F.when(F.exists("pairs", lambda p: ~p["gone"]), F.split("text", "\n")).alias("all"), F.explode("pairs").alias("p"))
+        .select("doc_id", "v", F.when(F.exists("pairs", lambda p: ~p["gone"]), F.split("text", "\n")).alias("all"), F.explode("pairs").alias("p"))
+        .where(F.shiftright("p.line", 32) == F.col("v"))
         .select("p.me", "p.other", "p.gone", ((F.col("doc_id") == F.col("p.me.doc_id")) & (F.col("p.line") == F.col("p.me.line"))).alias("mine"),
-                F.when(~F.col("p.gone"), F.get("all", F.col("p.line"))).alias("words"))
+                F.when(~F.col("p.gone"), F.get("all", F.col("p.line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("words"))
     )
 
     @F.pandas_udf("boolean")
@@ -266,8 +270,8 @@ def remove_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, without dropped lines; n_lines and n_dropped are added. A null text becomes empty."""
     if clash := {"n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError(f"the input already has the columns {sorted(clash)}")
-    lean = texts(docs, text_col=text_col)
-    gone = dropped_lines(lean).withColumnRenamed("lines", "_gone")
+    lean = numbered(texts(docs, text_col=text_col))
+    gone = dropped_lines(lean).withColumnRenamed("lines", "_all")
     lines = F.split(text_col, "\n")
 
     @F.pandas_udf("string")
@@ -281,9 +285,12 @@ def remove_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pd.Series([keep(t, x) for t, x in zip(text, lost)], dtype=object)
 
     if set(docs.columns) == {"doc_id", text_col}:  # the texts as they are shuffled already
-        joined = lean.withColumnRenamed("text", text_col).join(gone, "doc_id", "left")
+        joined = lean.withColumnsRenamed({"text": text_col, "v": "_v"}).join(gone, "doc_id", "left")
     else:
         whole = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-        joined = whole.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left")
+        gone = gone.join(versions(texts(docs, text_col=text_col)), "doc_id", "left").withColumnsRenamed({"doc_id": "_doc", "hashes": "_hashes"})
+        joined = whole.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("_v", version(text_col, "_hashes"))
+    own = F.filter("_all", lambda x: F.shiftright(x, 32) == F.col("_v"))
+    joined = joined.withColumn("_gone", F.transform(own, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
     kept = [without(F.col(text_col), "_gone").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*kept, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
