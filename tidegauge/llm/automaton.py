@@ -1,7 +1,7 @@
 """Repeated passages of words, found with suffix automata; the first occurrence stays.
 
 The corpus is dealt into reference shards (see windows.py), in which every window meets its equals. A task builds the suffix automaton
-of a shard's spans, in document order, and streams each span through it before it is added: where the matching
+of a shard's partly equal spans (wholly equal ones, and hot anchors, are told by hash, see windows.py), in document order, and streams each span through it before it is added: where the matching
 statistic reaches WIDTH words, the window has an earlier occurrence, and its words are removed. A shard's automaton is bounded
 by the shard, never by the corpus, so it isn't broadcast to all tasks: it stays where the spans that need it are dealt.
 

@@ -1,7 +1,7 @@
 """Repeated byte strings, found with a run-length compressed Burrows-Wheeler transform.
 
-The corpus is dealt into shards (see windows.py), in which every window of WIDTH bytes meets its equals. For a shard's spans, each
-closed by a symbol of its own, a task sorts suffixes (prefix doubling, refining only what is still
+The corpus is dealt into shards (see windows.py), in which every window of WIDTH bytes meets its equals. Wholly equal spans, and hot anchors, are told by
+hash there; for a shard's other spans, each closed by a symbol of its own, a task sorts suffixes (prefix doubling, refining only what is still
 tied), takes the transform, and keeps its runs: the suffix positions at run starts and run ends, and how far each
 of these agrees with its neighbour. Streaming through the text then gives every position's matching statistic: at a sampled
 position the sample, elsewhere one less than at the position before, since inside a run neighbours move together. A

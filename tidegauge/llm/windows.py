@@ -3,7 +3,7 @@
 A window is `width` consecutive symbols (bytes or words). Its anchor is the least hashed run of `gram` symbols in it,
 the last of them if tied; equal windows have equal anchors at the same place. Consecutive windows with one anchor make a
 span. Spans are shuffled as (anchor, content hash, place) only; anchors that occur once go. Of spans with equal content only the first
-is looked up in an index, its copies share what is found. Only the texts of those first spans are shipped, keyed by anchor, and sorted; a task
+is looked up in an index; its copies are marked by their 64-bit content hash alone, a hash join that no index sees. Only the texts of those first spans are shipped, keyed by anchor, and sorted; a task
 takes whole anchors until a batch is full. An anchor in such a batch has at most HOT different contents. Of those with more, no
 index is built: their windows are counted by a 128-bit hash of each, aggregated before the shuffle and joined back, so a passage that most
 documents hold between different surroundings is a skewed join, which adaptive execution splits, and never one task's rows.
