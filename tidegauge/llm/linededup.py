@@ -2,7 +2,7 @@
 
 A line is its sequence of words (runs of other than ASCII white space). It goes if an earlier line (smaller doc_id, or
 earlier in the same document) is equal, or, for lines of at least LEAST words, within one word inserted, deleted or
-replaced, which is a similarity of 0.8 or more. Blank lines stay.
+replaced. The bound is one word whatever the length: lines at two or more edits stay, however long and alike they are. Blank lines stay.
 
 Equal lines meet by a 128-bit hash, and of each distinct line only the first occurrence goes on. Two lines within the bound share at least one half: lines whose
 halves (by hash and length) occur nowhere else are done. The others emit their neighbourhood: themselves and all variants
