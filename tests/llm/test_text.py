@@ -266,8 +266,7 @@ def test_a_common_passage_is_no_batch(make_docs, monkeypatch, op, width, gram, o
         assert len(rows) <= 2 * 4, len(rows)
         return op.earlier(rows, width) if once else op.repeated(rows, width)
 
-    copies = F.col("rank") > 1 if once else F.col("copies") > 1
-    found = windows.marked(docs, width, gram, op._symbols, op._content, index, copies, 1, once).collect()
+    found = windows.marked(docs, width, gram, op._symbols, op._content, index, 1, once).collect()
     n = {r["doc_id"]: int(windows.covered(10**4, width, r["marks"]).sum()) for r in found}
     assert n[0] == (0 if once else n[1]) and all(n[i] >= (45 if once else len(passage)) for i in range(1, 60))
 

@@ -1,17 +1,21 @@
 """Repeated passages of words, found with suffix automata; the first occurrence stays.
 
 The corpus is dealt into reference shards (see windows.py), in which every window meets its equals. A task builds the suffix automaton
-of a shard's partly equal spans (wholly equal ones, and hot anchors, are told by hash, see windows.py), in document order, and streams each span through it before it is added: where the matching
-statistic reaches WIDTH words, the window has an earlier occurrence, and its words are removed. A shard's automaton is bounded
-by the shard, never by the corpus, so it isn't broadcast to all tasks: it stays where the spans that need it are dealt.
+of a shard's different spans in document order, and streams each span through it before it is added: where the matching
+statistic reaches WIDTH words, the window has an earlier occurrence, and its words are removed. Equal spans of a shard are one, compared
+byte by byte; those of hot anchors are told by hash. A shard's automaton is bounded by the shard, never by the corpus. All of them
+together are as large as the corpus, which no broadcast bounds, and streaming every document through every shard is quadratic: so
+documents don't meet all automata; their spans are dealt to the one that holds their anchor.
 
 Defined results: a null text counts as empty; texts of fewer words than a window lose nothing; earlier means a smaller
-doc_id, or the same document and an earlier start; rows that repeat a doc_id and its text count as that one document, and all come out alike;
-different texts under one doc_id are documents of their own, in the order of a hash of them; rows without doc_id keep all words; an empty table gives no rows; extra columns are not carried.
+doc_id, or the same document and an earlier start; rows that repeat a doc_id and its text count as that one document, and all
+come out alike; different texts under one doc_id are documents of their own, in the order of a hash of them; rows without doc_id keep
+all words; words of more than LONG bytes are compared by a digest of 256 bits; an empty table gives no rows; extra columns are not carried.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ from tidegauge.llm.windows import covered, marked
 WIDTH, GRAM = 20, 5
 #: Bytes of text whose automaton is built at once.
 SHARD = 400_000
+#: Longer words are compared by their digest, so that no span is large.
+LONG = 256
 
 
 class Automaton:
@@ -112,7 +118,7 @@ def _symbols():
 
 def _content():
     def cutter(text: str):
-        words = text.encode().split()
+        words = [w if len(w) <= LONG else hashlib.sha256(w).digest().hex().encode() for w in text.encode().split()]
         return lambda i, j: b" ".join(words[i:j])
 
     return cutter
@@ -120,7 +126,7 @@ def _content():
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, kept (the words that stay, joined by a space), n_words and n_removed."""
-    found = marked(docs, width, gram, _symbols, _content, lambda rows: earlier(rows, width), F.col("rank") > 1, SHARD, once=True)
+    found = marked(docs, width, gram, _symbols, _content, lambda rows: earlier(rows, width), SHARD, once=True)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters with Unicode's White_Space property, as a regex class body.
@@ -22,29 +25,56 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def versions(docs: DataFrame) -> DataFrame:
-    """doc_id and hashes, in order, of the texts of each doc_id that has several different ones. docs: doc_id and text."""
-    hashes = F.sort_array(F.collect_set(F.xxhash64("text"))).alias("hashes")
-    return docs.where("doc_id is not null").groupBy("doc_id").agg(hashes).where(F.size("hashes") > 1)
+def marked_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and v, a hash of the text: rows that repeat a doc_id with another text differ in v."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("v"))
 
 
-def version(text: Column | str, hashes: Column | str = "hashes") -> Column:
-    """Which of its doc_id's different texts this is, from 0."""
-    return F.coalesce(F.array_position(hashes, F.xxhash64(text)) - 1, F.lit(0)).cast("long")
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them from clashing with a column of df."""
+    taken = {c.lower() for c in df.columns}
+    head = "_"
+    while any((head + n).lower() in taken for n in names):
+        head += "_"
+    return [head + n for n in names]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text and v, its version."""
-    return docs.join(versions(docs), "doc_id", "left").select("doc_id", "text", version("text").alias("v"))
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, as Spark has made it from spark.checkpoint.dir."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegauge-"))  # one process has one temporary folder
+    return sc.getCheckpointDir()
+
+
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs here are deleted at its end: its result is kept elsewhere."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegauge-"))
-    return df.checkpoint()
+    _shared_folder(df.sparkSession)
+    with _shuffles_freed(df.sparkSession):
+        return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in that folder: smaller than a checkpoint, and Spark knows its size."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    with _shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

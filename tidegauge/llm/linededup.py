@@ -4,13 +4,19 @@ A line is its sequence of words (runs of other than ASCII white space). It goes
 earlier in the same document) is equal, or, for lines of at least LEAST words, within one word inserted, deleted or
 replaced. The bound is one word whatever the length: lines at two or more edits stay, however long and alike they are. Blank lines stay.
 
-Equal lines meet by a 128-bit hash, and of each distinct line only the first occurrence goes on. Two lines within the bound share at least one half: lines whose
-halves (by hash and length) occur nowhere else are done. The others emit their neighbourhood: themselves and all variants
-with one word deleted, as hashed keys, but only for deletions that the shared half leaves open. Equal keys are joined, each row with the
-earliest of its key, never with all; the texts of such pairs are fetched and their edit distance is verified.
-
-Defined results: a null text counts and comes out as empty; rows that repeat a doc_id and its text count as that one document, and all come
-out alike; different texts under one doc_id are documents of their own, in the order of a hash of them; rows without doc_id keep all lines; an empty table gives no rows; all columns of the input are kept.
+Equal lines meet by a 128-bit hash, and of each distinct line only the first occurrence goes on. Two lines within the bound share
+at least one half: lines whose halves (by hash and length) occur nowhere else are done. The others emit their neighbourhood:
+themselves and all variants with one word deleted, as hashed keys, but only for deletions that the shared half leaves open.
+Equal keys are joined, each row with the earliest of its key, never with all; the texts of such pairs are fetched and their edit
+distance is verified.
+
+A line, a half or a variant may be in a third of all rows. Each task therefore combines its rows before they are shuffled, in bounded
+memos: a line that it has seen at an earlier place goes at once, of the lines that share a half it sends two, and a variant
+that is within one word of an earlier line it holds goes at once. So a key gets a few rows from each task, not one from each document.
+
+Defined results: a null text counts and comes out as empty; rows that repeat a doc_id and its text count as that one document, and
+all come out alike; different texts under one doc_id are documents of their own, in the order of a hash of them; rows without
+doc_id keep all lines; an empty table gives no rows; all columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -24,14 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import numbered, texts, version, versions
+from tidegauge.llm.common import marked_texts, private, texts
 from tidegauge.llm.windows import BASE, INVERSE, mix
 
 #: Shorter lines only go if an earlier one is equal.
 LEAST = 5
-#: The kind of a code that stands for the whole line; the place of a line that goes already.
-WHOLE, GONE = 4, -2
+#: The kind of a code that stands for the whole line, and what is added to kinds that a task has decided; the place of a line that goes already.
+WHOLE, DECIDED, GONE = 4, 8, -2
 MEMO = 500_000
+#: Keys that a task remembers to combine its rows; and into how many groups the pairs that want one document's lines are dealt.
+KEPT, DEAL = 200_000, 16
 #: Bytes of lines that are hashed, and rows that are sent, in one go.
 SEGMENT, ROWS = 1 << 18, 1 << 15
 #: ASCII white space, and a value for each byte.
@@ -78,19 +86,17 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, mix((total[stop] - total[begin]) * down[begin])
 
 
-def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (doc_id, number of the first line, lines) of about SEGMENT bytes; only a single line may be longer.
-
-    Lines are numbered from the text's version times 2 ** 32."""
-    held: list[tuple[int, int, bytes]] = []
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Lists of (doc_id, v, number of the first line, lines) of about SEGMENT bytes; only a single line may be longer."""
+    held: list[tuple[int, int, int, bytes]] = []
     size = 0
     for b in batches:
         for doc, text, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-            raw, at, line = text.as_py().encode(), 0, v << 32
+            raw, at, line = text.as_py().encode(), 0, 0
             while doc is not None and at <= len(raw):
                 stop = len(raw) if len(raw) - at <= SEGMENT else raw.find(b"\n", at + SEGMENT)
                 part = raw[at : stop if stop >= 0 else len(raw)]
-                held.append((doc, line, part))
+                held.append((doc, v, line, part))
                 size += len(part)
                 at += len(part) + 1
                 line += part.count(b"\n") + 1
@@ -101,31 +107,31 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
         yield held
 
 
-def line_rows(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """(key, hash, doc_id, code) for the lines that aren't blank: WHOLE with the line's key, and its halves' keys if it is long enough.
+def line_rows(parts: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """(key, hash, doc_id, v, code) for the lines that aren't blank: WHOLE with the line's key, and its halves' keys if it is long enough.
 
-    A code is the line's number times 8, plus the kind: 0 and 1 are prefixes of n // 2 and (n - 1) // 2 words, 2 and 3
+    A code is the line's number times 16, plus the kind: 0 and 1 are prefixes of n // 2 and (n - 1) // 2 words, 2 and 3
     suffixes, WHOLE the line. All lines of the parts are hashed at once: bytes to words, words to lines and halves.
     """
-    joined = b"\n".join([p[2] for p in parts]) + b"\n"
+    joined = b"\n".join([p[3] for p in parts]) + b"\n"
     data = np.frombuffer(joined, "u1")
     breaks = np.flatnonzero(data == 10)
-    many = np.fromiter((p[2].count(b"\n") + 1 for p in parts), "i8", len(parts))
-    doc = np.repeat(np.fromiter((p[0] for p in parts), "i8", len(parts)), many)
-    number = np.arange(len(breaks)) + np.repeat(np.fromiter((p[1] for p in parts), "i8", len(parts)) - np.cumsum(many) + many, many)
+    many = np.fromiter((p[3].count(b"\n") + 1 for p in parts), "i8", len(parts))
+    doc, v, before = (np.repeat(np.fromiter((p[i] for p in parts), "i8", len(parts)), many) for i in range(3))
+    number = np.arange(len(breaks)) + before - np.repeat(np.cumsum(many) - many, many)
 
     begin, words = word_hashes(data)
     end = np.searchsorted(begin, breaks)  # words up to each line's end
     n = np.diff(end, prepend=0)
     full = np.flatnonzero(n)
-    doc, number, end, n = doc[full], number[full], end[full], n[full]
+    doc, v, number, end, n = doc[full], v[full], number[full], end[full], n[full]
     start = end - n
     total, down = _sums(words)
     whole = mix((total[end] - total[start]) * down[start] ^ n.astype("u8"))
     lines = [line.split() for line in joined.split(b"\n")]
     exact = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(line)) for line in lines if line), "u8", len(full))
     which = [np.arange(len(full))]
-    codes, keys = [8 * number + WHOLE], [whole]
+    codes, keys = [16 * number + WHOLE], [whole]
     for kind, (t, suffix) in enumerate(((n // 2, False), ((n - 1) // 2, False), (n // 2, True), ((n - 1) // 2, True))):
         long = np.flatnonzero((n >= LEAST) & ((kind % 2 == 0) | (n % 2 == 0)))  # for odd n both lengths are one
         t = t[long]
@@ -136,10 +142,57 @@ def line_rows(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
             s = start[long]
             part = mix((total[s + t] - total[s]) * down[s] + (2 * t).astype("u8"))
         which.append(long)
-        codes.append(8 * number[long] + kind)
+        codes.append(16 * number[long] + kind)
         keys.append(part)
     at = np.concatenate(which)
-    return np.concatenate(keys).view("i8"), exact[at].view("i8"), doc[at], np.concatenate(codes)
+    return np.concatenate(keys).view("i8"), exact[at].view("i8"), doc[at], v[at], np.concatenate(codes)
+
+
+class Combiner:
+    """Decides what a task's own rows decide. Its memos are bounded: forgotten keys are only sent more often."""
+
+    def __init__(self) -> None:
+        self.lines: dict[tuple[int, int], tuple[int, int, int]] = {}  # key and hash: the earliest place
+        self.halves: dict[int, tuple[int, bool]] = {}  # key: a hash, and whether another was sent as well
+
+    def combine(self, key: np.ndarray, h: np.ndarray, doc: np.ndarray, v: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The rows of line_rows without halves of lines that go. Decided rows are marked, and keyed by their document."""
+        lines, halves = self.lines, self.halves
+        keep, decided, gone = [], [], set()
+        for i, (k, x, d, w, c) in enumerate(zip(key.tolist(), h.tolist(), doc.tolist(), v.tolist(), code.tolist())):
+            if c % 16 == WHOLE:
+                me, first = (d, w, c), lines.get((k, x))
+                if first is None or me < first:
+                    if len(lines) >= KEPT:
+                        lines.clear()
+                    lines[k, x] = me
+                else:
+                    gone.add((d, w, c // 16))
+                    if first == me:  # the row again
+                        continue
+                    decided.append(i)
+            elif gone and (d, w, c // 16) in gone:
+                continue
+            else:
+                other, shared = halves.get(k, (None, False))
+                if shared:
+                    decided.append(i)
+                elif other is None or other != x:
+                    if len(halves) >= KEPT:
+                        halves.clear()
+                    halves[k] = (x, other is not None)
+            keep.append(i)
+        if decided:
+            at = np.array(decided)
+            code[at] += DECIDED
+            key[at] = mix(doc[at].view("u8")).view("i8")
+            h[at] = 0
+        return tuple(c[keep] for c in (key, h, doc, v, code))
+
+
+def signed(k: int) -> int:
+    """The number's lowest 64 bits."""
+    return (k + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def open_places(n: int, kinds: set[int]) -> tuple[int, int]:
@@ -170,71 +223,111 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+class Variants:
+    """The neighbourhoods of a task's lines: what must be sent, and which lines go by an earlier line of the same task."""
+
+    def __init__(self) -> None:
+        self.known = _Hashes()
+        self.seen: dict[tuple[int, int] | int, tuple[tuple[int, int, int], list[bytes]]] = {}
+
+    def rows(self, me: tuple[int, int, int], words: list[bytes], kinds: set[int]) -> tuple[list[int], list[int]]:
+        """(places, keys) of the line me = (doc_id, v, number); the place GONE if it goes.
+
+        Remembered are the whole line by (key, -1), and each variant by (key, place) and, whatever its place, by key. A variant of which an
+        earlier one with the same place was sent needn't be sent if its line goes: it can't be the earliest.
+        """
+        place, key = neighbourhood(words, *open_places(len(words), kinds), self.known)
+        place, key, seen = place.tolist(), key.tolist(), self.seen
+        gone = False
+        if (found := seen.get(key[0])) and found[0] < me and within_one(found[1], words):
+            gone = True
+        sent = [True] * len(key)
+        for i in range(1, len(key)):
+            same = seen.get((key[i], place[i]))
+            if same and same[0] < me:
+                sent[i] = False
+                gone = gone or within_one(same[1], words)
+            if not gone and (found := seen.get((key[i], -1))) and found[0] < me:
+                gone = within_one(found[1], words)
+        if len(seen) >= KEPT:
+            seen.clear()
+        mine = (me, words)
+        for i, (p, k) in enumerate(zip(place, key)):
+            if sent[i] or not gone:
+                for name in ((k, p), k) if p >= 0 else ((k, p),):
+                    if name not in seen or me < seen[name][0]:
+                        seen[name] = mine
+        if not gone:
+            return place, key
+        out = [i for i in range(len(key)) if sent[i]]
+        return [GONE] + [place[i] for i in out], [signed(me[0] * 1000003 ^ me[2])] + [key[i] for i in out]
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and lines (array of line numbers, see segments) that have an earlier equal or near-equal. docs: doc_id, text and v.
+    """doc_id, v and lines (array of line numbers) that have an earlier equal or near-equal. docs: doc_id, text and v.
 
     One plan without branches: lines that are known to go travel along, so nothing is computed or shuffled twice.
     """
+    names = ["key", "h", "doc_id", "v", "code"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        combiner = Combiner()
         for parts in segments(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in line_rows(parts)], ["key", "h", "doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in combiner.combine(*line_rows(parts))], names)
 
     # equal lines but the first place of them; and halves that different lines share
     by_key = Window.partitionBy("key")
-    first = F.dense_rank().over(Window.partitionBy("key", "h").orderBy("doc_id", "code"))
+    first = F.dense_rank().over(Window.partitionBy("key", "h").orderBy("doc_id", "v", "code"))
+    kind = F.col("code") % 16
     told = (
-        docs.mapInArrow(find, "key long, h long, doc_id long, code long")
+        docs.mapInArrow(find, "key long, h long, doc_id long, v long, code long")
         .repartition("key")
         .withColumn("_r", first).withColumn("_low", F.min("h").over(by_key)).withColumn("_high", F.max("h").over(by_key))
-        .where(F.when(F.col("code") % 8 == WHOLE, F.col("_r") > 1).otherwise(F.col("_low") < F.col("_high")))
-        .groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+        .where(F.when(kind >= DECIDED, True).when(kind == WHOLE, F.col("_r") > 1).otherwise(F.col("_low") < F.col("_high")))
+        .groupBy("doc_id", "v").agg(F.collect_list("code").alias("codes"))
     )
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
+        variants = Variants()
+        keys: list[int] = []
+        docs_, vs, ats = [], [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["key", "doc_id", "at", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, docs_, vs, ats)], ["key", "doc_id", "v", "at"])
 
         for b in batches:
             for doc, text, v, codes in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("v").to_pylist(), b.column("codes").to_pylist()):
-                codes = [c - (v << 35) for c in codes or () if c >> 35 == v]
                 if not codes:
                     continue
-                gone = {c // 8 for c in codes if c % 8 == WHOLE}
+                gone = {c // 16 for c in codes if c % DECIDED == WHOLE}
                 halves: dict[int, set[int]] = {}
                 for c in codes:
-                    if c // 8 not in gone:
-                        halves.setdefault(c // 8, set()).add(c % 8)
+                    if c // 16 not in gone:
+                        halves.setdefault(c // 16, set()).add(c % DECIDED)
                 lines = text.as_py().encode().split(b"\n") if halves else []
-                line = [np.array(sorted(gone), "i8")]
-                place, key = [np.full(len(gone), GONE, "i8")], [line[0] * 1000003 + doc % 1000003]
+                for i in gone:
+                    keys.append(signed(doc * 1000003 ^ i))
+                    ats.append(i << 32)
                 for i, kinds in halves.items():
-                    words = lines[i].split()
-                    where, what = neighbourhood(words, *open_places(len(words), kinds), known)
-                    line.append(np.full(len(where), i, "i8"))
-                    place.append(where)
-                    key.append(what)
-                keys = np.concatenate(key)
-                held.append((keys, np.full(len(keys), doc), np.concatenate(line) << 32 | (np.concatenate(place) - GONE), np.full(len(keys), v)))
-                n += len(keys)
-                if n >= ROWS:
+                    place, key = variants.rows((doc, v, i), lines[i].split(), kinds)
+                    keys += key
+                    ats += [i << 32 | p - GONE for p in place]
+                docs_ += [doc] * (len(keys) - len(docs_))
+                vs += [v] * (len(keys) - len(vs))
+                if len(keys) >= ROWS:
                     yield out()
-                    held, n = [], 0
-        if held:
+                    keys, docs_, vs, ats = [], [], [], []
+        if keys:
             yield out()
 
-    line = F.shiftleft("v", 32).bitwiseOR(F.shiftright("at", 32)).alias("line")
+    line = F.shiftright("at", 32).alias("line")
     place = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) + GONE).cast("int").alias("place")
-    me = F.struct("doc_id", "line").alias("me")
+    me = F.struct("doc_id", "v", "line").alias("me")
     pairs = (
-        docs.join(told, "doc_id", "left").select("doc_id", "text", "v", "codes")
-        .mapInArrow(vary, "key long, doc_id long, at long, v long")
+        docs.join(told, ["doc_id", "v"], "left").select("doc_id", "text", "v", "codes")
+        .mapInArrow(vary, "key long, doc_id long, v long, at long")
         .repartition("key")
-        .select("key", "doc_id", line, place).select("key", "place", me)
+        .select("key", "doc_id", "v", line, place).select("key", "place", me)
         .withColumn("whole", F.min(F.when(F.col("place") == -1, F.col("me"))).over(by_key))
         .withColumn("cut", F.min(F.when(F.col("place") >= 0, F.col("me"))).over(by_key))
         .withColumn("same", F.min("me").over(Window.partitionBy("key", "place")))
@@ -246,15 +339,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         .where("gone or other < me").distinct()
     )
 
-    # both lines' texts, then their distance
+    # both lines' texts, then their distance; a line that many pairs want is dealt over several rows
     sides = pairs.select("me", "other", "gone", F.explode(F.when(F.col("gone"), F.array("me")).otherwise(F.array("me", "other"))).alias("x"))
-    wanted = sides.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.line", "me", "other", "gone")).alias("pairs"))
+    dealt = F.when(F.col("x") == F.col("me"), 0).otherwise(1 + F.pmod(F.xxhash64("me"), F.lit(DEAL))).alias("deal")
+    wanted = sides.groupBy("x.doc_id", "x.v", dealt).agg(F.collect_list(F.struct("x.line", "me", "other", "gone")).alias("pairs"))
+    lines = F.when(F.exists("pairs", lambda p: ~p["gone"]), F.split("text", "\n")).alias("all")
     said = (
-        docs.join(wanted, "doc_id", "left").where("pairs is not null")
-        .select("doc_id", "v", F.when(F.exists("pairs", lambda p: ~p["gone"]), F.split("text", "\n")).alias("all"), F.explode("pairs").alias("p"))
-        .where(F.shiftright("p.line", 32) == F.col("v"))
-        .select("p.me", "p.other", "p.gone", ((F.col("doc_id") == F.col("p.me.doc_id")) & (F.col("p.line") == F.col("p.me.line"))).alias("mine"),
-                F.when(~F.col("p.gone"), F.get("all", F.col("p.line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("words"))
+        docs.join(wanted, ["doc_id", "v"], "left")  # outer, as the other joins: then one shuffle of the texts serves all of them
+        .select("doc_id", "v", lines, F.explode_outer("pairs").alias("p")).where("p is not null")
+        .select("p.me", "p.other", "p.gone", (F.struct("doc_id", "v", "p.line") == F.col("p.me")).alias("mine"),
+                F.when(~F.col("p.gone"), F.get("all", F.col("p.line").cast("int"))).alias("words"))
     )
 
     @F.pandas_udf("boolean")
@@ -262,17 +356,18 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         return pd.Series([x is not None and y is not None and within_one(x.encode().split(), y.encode().split()) for x, y in zip(a, b)], dtype=bool)
 
     both = said.groupBy("me", "other", "gone").agg(F.max(F.when(F.col("mine"), F.col("words"))).alias("a"), F.max(F.when(~F.col("mine"), F.col("words"))).alias("b"))
-    near = both.withColumn("near", close("a", "b")).where("gone or near").select("me.doc_id", "me.line")
-    return near.distinct().groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    near = both.withColumn("near", close("a", "b")).where("gone or near").select("me.doc_id", "me.v", "me.line")
+    return near.distinct().groupBy("doc_id", "v").agg(F.collect_list("line").alias("lines"))
 
 
 def remove_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, without dropped lines; n_lines and n_dropped are added. A null text becomes empty."""
     if clash := {"n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError(f"the input already has the columns {sorted(clash)}")
-    lean = numbered(texts(docs, text_col=text_col))
-    gone = dropped_lines(lean).withColumnRenamed("lines", "_all")
+    lean = marked_texts(texts(docs, text_col=text_col))
     lines = F.split(text_col, "\n")
+    doc, v, gone = private(docs, "doc", "v", "gone")
+    dropped = dropped_lines(lean).toDF(doc, v, gone)
 
     @F.pandas_udf("string")
     def without(text: pd.Series, lost: pd.Series) -> pd.Series:
@@ -285,12 +380,9 @@ def remove_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pd.Series([keep(t, x) for t, x in zip(text, lost)], dtype=object)
 
     if set(docs.columns) == {"doc_id", text_col}:  # the texts as they are shuffled already
-        joined = lean.withColumnsRenamed({"text": text_col, "v": "_v"}).join(gone, "doc_id", "left")
+        joined = lean.join(dropped, (F.col("doc_id") == F.col(doc)) & (lean["v"] == F.col(v)), "left").drop(lean["v"]).withColumnRenamed("text", text_col)
     else:
         whole = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-        gone = gone.join(versions(texts(docs, text_col=text_col)), "doc_id", "left").withColumnsRenamed({"doc_id": "_doc", "hashes": "_hashes"})
-        joined = whole.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("_v", version(text_col, "_hashes"))
-    own = F.filter("_all", lambda x: F.shiftright(x, 32) == F.col("_v"))
-    joined = joined.withColumn("_gone", F.transform(own, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
-    kept = [without(F.col(text_col), "_gone").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        joined = whole.join(dropped, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(text_col) == F.col(v)), "left")
+    kept = [without(F.col(text_col), F.col(gone)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*kept, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))

@@ -1,9 +1,10 @@
 """Repeated byte strings, found with a run-length compressed Burrows-Wheeler transform.
 
-The corpus is dealt into shards (see windows.py), in which every window of WIDTH bytes meets its equals. Wholly equal spans, and hot anchors, are told by
-hash there; for a shard's other spans, each closed by a symbol of its own, a task sorts suffixes (prefix doubling, refining only what is still
-tied), takes the transform, and keeps its runs: the suffix positions at run starts and run ends, and how far each
-of these agrees with its neighbour. Streaming through the text then gives every position's matching statistic: at a sampled
+The corpus is dealt into shards (see windows.py), in which every window of WIDTH bytes meets its equals. Equal spans of a shard are one,
+compared byte by byte; those of hot anchors are told by hash. Of a shard's different spans, each closed by a symbol of its own, a task
+sorts the suffixes (prefix doubling, refining only what is still tied), takes the transform, and keeps its runs: the suffix positions
+at run starts and run ends, and how far each of these agrees with its neighbour. Building needs memory for the whole shard, which is
+bounded; what is kept, and streamed from, is the runs. Streaming through the text then gives every position's matching statistic: at a sampled
 position the sample, elsewhere one less than at the position before, since inside a run neighbours move together. A
 window whose statistic reaches WIDTH occurs elsewhere, and its bytes are marked. Copies cost one run each, so repetitive shards stay small.
 
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidegauge.llm.windows import covered, marked, mix
 
@@ -135,7 +135,7 @@ def _content():
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, kept (the bytes that stay), n_bytes, n_removed and n_spans (runs of removed bytes)."""
-    found = marked(docs, width, gram, _symbols, _content, lambda rows: repeated(rows, width), F.col("copies") > 1, SHARD, once=False)
+    found = marked(docs, width, gram, _symbols, _content, lambda rows: repeated(rows, width), SHARD, once=False)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,11 +2,14 @@
 
 A window is `width` consecutive symbols (bytes or words). Its anchor is the least hashed run of `gram` symbols in it,
 the last of them if tied; equal windows have equal anchors at the same place. Consecutive windows with one anchor make a
-span. Spans are shuffled as (anchor, content hash, place) only; anchors that occur once go. Of spans with equal content only the first
-is looked up in an index; its copies are marked by their 64-bit content hash alone, a hash join that no index sees. Only the texts of those first spans are shipped, keyed by anchor, and sorted; a task
-takes whole anchors until a batch is full. An anchor in such a batch has at most HOT different contents. Of those with more, no
-index is built: their windows are counted by a 128-bit hash of each, aggregated before the shuffle and joined back, so a passage that most
-documents hold between different surroundings is a skewed join, which adaptive execution splits, and never one task's rows.
+span. Anchors are counted, pre-aggregated by each task, and the spans of those that occur once go. The texts of the
+others are shipped, keyed by anchor; a task takes whole anchors until a batch is full, holds each distinct text once, and
+indexes those: a shard. Equal texts of a shard are compared byte by byte, all other windows are found by the index.
+
+An anchor with more than HOT spans, say of a passage that a third of all documents hold, is never one task's. Its spans are aggregated by
+a 64-bit hash of their content, before the shuffle, and joined back, a skewed join that adaptive execution splits; copies are told by that hash.
+The first span of each content is shipped as above. If there are more than HOT contents, as where a passage has
+different surroundings everywhere, no index is built: their windows are counted by a 128-bit hash of each, likewise.
 """
 
 from __future__ import annotations
@@ -15,21 +18,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import numbered, texts
+from tidegauge.llm.common import marked_texts, texts, written
 
 #: Symbols that are hashed in one go; longer texts overlap by a window.
 CHUNK = 1 << 19
-#: Different contents of one anchor beyond which windows are counted one by one.
+#: Spans of one anchor beyond which they are aggregated, and contents beyond which windows are counted one by one.
 HOT = 2048
 #: Spans that are sent in one go.
 ROWS = 1 << 15
 #: A span has fewer windows than this; its first window and their number are one number in the shuffle.
 MOST = 1 << 12
-#: A window's place is its first symbol, after the bits of the text's version (see common.numbered).
-PLACE = 31
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -79,6 +80,15 @@ def spans(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
+
+
+SPAN = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("v", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
+WINDOW = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("v", pa.int64()), ("start", pa.int64())])
+MARK = pa.schema([("doc_id", pa.int64()), ("v", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+
+
 def marked(
     docs: DataFrame,
     width: int,
@@ -86,18 +96,36 @@ def marked(
     symbols: Callable[[], Callable[[str], np.ndarray]],
     content: Callable[[], Callable[[str], Callable[[int, int], bytes]]],
     index: Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]],
-    copies: Column,
     batch_bytes: int,
     once: bool,
 ) -> DataFrame:
-    """doc_id, text and marks (array of struct(start, n)): the windows that `index` finds, or that `copies` selects.
+    """doc_id, text and marks (array of struct(start, n)): the windows that also occur elsewhere or, with `once`, earlier.
 
     symbols() makes a function from a text to a value per symbol; content() one from a text to a function that cuts
-    out symbols; index() takes (doc_id, start, number of windows, content) and gives (doc_id, start, number); copies
-    is a condition on rank and copies, a span's place among and the number of the spans of equal content. With `once`, windows at the
-    same place of rows that repeat a doc_id and its text are one, and the earliest of equal windows stays; else all equal ones are found.
+    out symbols; index() takes (number, 0, number of windows, content) of different contents, in order, and gives (number, first window,
+    number of windows) of what it finds. With `once`, windows at the same place of rows that repeat a doc_id and its text are one.
     """
-    docs = numbered(texts(docs))
+    docs = marked_texts(texts(docs))
+    row, me = ["doc_id", "v"], F.struct("doc_id", "v", "place")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = symbols()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(held), return_counts=True)], ["anchor", "n"])
+
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if doc is not None:
+                    held.append(spans(values(text.as_py()), width, gram)[0])
+                    size += len(held[-1])
+                if size >= 8 * ROWS:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = symbols()
@@ -105,17 +133,15 @@ def marked(
         size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["anchor", "h", "doc_id", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["anchor", "h", "doc_id", "v", "place"])
 
         for b in batches:
             for doc, text, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                if v >> 62 - PLACE - 12:
-                    raise ValueError(f"doc_id {doc} has too many different texts")
                 if doc is None:
                     continue
                 key, h, start, n = spans(values(text.as_py()), width, gram)
                 if len(key):
-                    held.append((key, h, np.full(len(key), doc), (start + (v << PLACE)) * MOST + n))
+                    held.append((key, h, np.full(len(key), doc), np.full(len(key), v), start * MOST + n))
                     size += len(key)
                 if size >= ROWS:
                     yield out()
@@ -123,121 +149,99 @@ def marked(
         if held:
             yield out()
 
-    found = docs.mapInArrow(find, "anchor long, h long, doc_id long, place long")
-    by_key, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "h")
-    ranked = (
-        found.repartition("anchor")  # which also holds equal contents together: one shuffle for all windows
-        .withColumn("row", F.row_number().over(by_content.orderBy("doc_id", "place")))
-        .withColumn("rank", F.dense_rank().over(by_content.orderBy("doc_id", "place")))
-        .withColumn("copies", F.count("*").over(by_content))
-        .withColumn("kinds", F.count_if(F.col("row") == 1).over(by_key))
-    )
-    wanted = (F.col("row") == 1) & (F.col("kinds") > 1)
-    told = F.when(wanted, F.when(F.col("kinds") > HOT, 2).otherwise(1)).otherwise(0)  # look up window by window, as it is, or not
-    spans_of = (
-        ranked.where(copies | wanted)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("anchor", "place", told.cast("byte").alias("look"), copies.alias("marked"))).alias("spans"))
-    )
+    several = docs.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
+    repeats = written(docs.mapInArrow(find, "anchor long, h long, doc_id long, v long, place long").join(several, "anchor"))
+
+    # hot anchors: contents, then what is to be done with each span: copied, looked up as it is (1) or window by window (2), or not
+    hot = repeats.where("hot")
+    contents = hot.groupBy("anchor", "h").agg(F.min(me).alias("first"), F.count("*").alias("copies"))
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    told = hot.join(contents.join(kinds, "anchor"), ["anchor", "h"])
+    copied = told.where(me != F.col("first") if once else F.col("copies") > 1).select(*row, F.floor(F.col("place") / MOST).alias("start"), (F.col("place") % MOST).cast("int").alias("n"))
+    firsts = told.where((me == F.col("first")) & (F.col("kinds") > 1))
+    whole = repeats.where("not hot").union(firsts.where(F.col("kinds") <= HOT).select(repeats.columns))
+
+    def with_spans(chosen: DataFrame) -> DataFrame:
+        """The texts of which spans are chosen. The joins are outer, as the last one, so that one shuffle of the texts serves all."""
+        lists = chosen.groupBy(*row).agg(F.collect_set(F.struct("anchor", "place")).alias("spans"))
+        return docs.join(lists, row, "left").select(*row, "text", F.explode_outer(F.array("spans")).alias("spans")).where("spans is not null")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, names = content(), ["anchor", "doc_id", "start", "n", "bytes"]
+        cutter = content()
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text, v, spans_here in zip(*(b.column(c).to_pylist() if c != "text" else b.column(c) for c in ("doc_id", "text", "v", "spans"))):
-                if not spans_here:
-                    continue
-                cut, before = cutter(text.as_py()), v << PLACE
-                for s in spans_here:
-                    place, n = divmod(s["place"], MOST)
-                    if place >> PLACE != v:
-                        continue
-                    start = place - before
-                    if s["marked"]:
-                        rows.append((hash_bytes(doc.to_bytes(8, "big", signed=True)), doc, place, n, None))
-                    if s["look"] == 1:
-                        rows.append((s["anchor"], doc, place, n, cut(start, start + n + width - 1)))
-                        size += len(rows[-1][4])
+            for doc, v, text, chosen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                cut = cutter(text.as_py())
+                for s in chosen:
+                    start, n = divmod(s["place"], MOST)
+                    rows.append((s["anchor"], doc, v, start, n, cut(start, start + n + width - 1)))
+                    size += len(rows[-1][5])
                     if size > 1 << 22 or len(rows) > 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        yield _batch(rows, SPAN)
                         rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
+                yield _batch(rows, SPAN)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        cutter, hashes, ids, starts = content(), [], [], []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64())], ["window", "doc_id", "start"])
-
+        cutter, rows = content(), []
         for b in batches:
-            for doc, text, v, spans_here in zip(*(b.column(c).to_pylist() if c != "text" else b.column(c) for c in ("doc_id", "text", "v", "spans"))):
-                cut, before = cutter(text.as_py()), v << PLACE
-                for s in spans_here:
-                    place, n = divmod(s["place"], MOST)
-                    if s["look"] == 2 and place >> PLACE == v:
-                        hashes += [xxhash.xxh3_128_digest(cut(i, i + width)) for i in range(place - before, place - before + n)]
-                        ids += [doc] * n
-                        starts += range(place, place + n)
-                    if len(ids) >= ROWS:
-                        yield out()
-                        hashes, ids, starts = [], [], []
-        if ids:
-            yield out()
+            for doc, v, text, chosen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                cut = cutter(text.as_py())
+                for s in chosen:
+                    start, n = divmod(s["place"], MOST)
+                    rows += [(xxhash.xxh3_128_digest(cut(i, i + width)), doc, v, i) for i in range(start, start + n)]
+                    if len(rows) >= ROWS:
+                        yield _batch(rows, WINDOW)
+                        rows = []
+        if rows:
+            yield _batch(rows, WINDOW)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        marks: list[tuple] = []
+        held: dict[bytes, list[tuple[int, int, int, int]]] = {}
         size, last = 0, None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            got = marks + (list(index(held)) if len(held) > 1 else [])
-            cols = list(zip(*got)) if got else [[], [], []]
-            types = (pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "start", "n"])
+        def out() -> pa.RecordBatch:
+            marks: list[tuple[int, int, int, int]] = []
+            shard = sorted((min(places), text) for text, places in held.items())
+            for text, places in held.items():
+                if once and len(places) > 1:
+                    first = min(places)
+                    marks += [p for p in places if p != first]
+                elif len(places) > 1:
+                    marks += places
+            if len(shard) > 1:
+                for i, at, n in index([(i, 0, p[3], text) for i, (p, text) in enumerate(shard)]):
+                    doc, v, start, _ = shard[i][0]
+                    marks.append((doc, v, start + at, n))
+            return _batch(marks, MARK)
 
         for b in batches:
-            for key, *row in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if key != last and size + 32 * len(marks) > batch_bytes:
-                    yield from out()
-                    held, marks, size = [], [], 0
-                if row[3] is None:
-                    marks.append(tuple(row[:3]))
-                elif once and held and key == last and held[-1][:2] == tuple(row[:2]):
-                    continue
-                else:
-                    held.append(tuple(row))
-                    size += len(row[3])
+            for key, doc, v, start, n, text in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if key != last and size > batch_bytes:
+                    yield out()
+                    held, size = {}, 0
+                if text not in held:
+                    held[text] = []
+                    size += len(text)
+                held[text].append((doc, v, start, n))
+                size += 32
                 last = key
-        yield from out()
-
-    with_spans = docs.join(spans_of, "doc_id", "left").select("doc_id", "text", "v", "spans")
-    shipped = (
-        with_spans  # as below, so that texts are shuffled once
-        .mapInArrow(ship, "anchor long, doc_id long, start long, n int, bytes binary")
-        .repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    )
-    looked = shipped.mapInArrow(look, "doc_id long, start long, n int")
-    hot = with_spans.where(F.exists("spans", lambda s: s["look"] == 2)).mapInArrow(single, "window binary, doc_id long, start long")
-    me = F.struct("doc_id", "start")
-    several = hot.groupBy("window").agg(F.count("*").alias("many"), F.min(me).alias("first")).where("many > 1")
-    again = hot.join(several, "window").where(me != F.col("first") if once else F.lit(True)).select("doc_id", "start", F.lit(1).alias("n"))
-    marks = looked.union(again).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    before = F.shiftleft("v", PLACE)
-    own = F.filter("marks", lambda m: F.shiftright(m["start"], PLACE) == F.col("v"))
-    own = F.transform(own, lambda m: F.struct((m["start"] - before).alias("start"), m["n"].alias("n")))
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", own.alias("marks"))
-
-
-def hash_bytes(b: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(b) - (1 << 63)
+        yield out()
+
+    schema = "doc_id long, v long, start long, n int"
+    shipped = with_spans(whole).mapInArrow(ship, "anchor long, doc_id long, v long, start long, n int, bytes binary")
+    marks = shipped.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(look, schema)
+    if not hot.isEmpty():  # else the branches below have no rows
+        windows = with_spans(firsts.where(F.col("kinds") > HOT)).mapInArrow(single, "window binary, doc_id long, v long, start long")
+        at = F.struct("doc_id", "v", "start")
+        many = windows.groupBy("window").agg(F.count("*").alias("many"), F.min(at).alias("first")).where("many > 1")
+        again = windows.join(many, "window").where(at != F.col("first") if once else F.lit(True)).select(*row, "start", F.lit(1).alias("n"))
+        marks = marks.union(copied).union(again)
+    lists = marks.groupBy(*row).agg(F.collect_set(F.struct("start", "n")).alias("marks"))
+    return docs.join(lists, row, "left").select("doc_id", "text", "marks")
 
 
 def covered(n: int, width: int, marks: list | None) -> np.ndarray:
