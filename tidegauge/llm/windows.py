@@ -149,17 +149,11 @@ def marked(
         if held:
             yield out()
 
-    several = docs.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
+    # what is joined back is written first: then both sides of a join are shuffled for it alone, and adaptive execution can split hot keys
+    several = docs.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    several = written(several.select("anchor", (F.col("n") > HOT).alias("hot")))
     repeats = written(docs.mapInArrow(find, "anchor long, h long, doc_id long, v long, place long").join(several, "anchor"))
-
-    # hot anchors: contents, then what is to be done with each span: copied, looked up as it is (1) or window by window (2), or not
     hot = repeats.where("hot")
-    contents = hot.groupBy("anchor", "h").agg(F.min(me).alias("first"), F.count("*").alias("copies"))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    told = hot.join(contents.join(kinds, "anchor"), ["anchor", "h"])
-    copied = told.where(me != F.col("first") if once else F.col("copies") > 1).select(*row, F.floor(F.col("place") / MOST).alias("start"), (F.col("place") % MOST).cast("int").alias("n"))
-    firsts = told.where((me == F.col("first")) & (F.col("kinds") > 1))
-    whole = repeats.where("not hot").union(firsts.where(F.col("kinds") <= HOT).select(repeats.columns))
 
     def with_spans(chosen: DataFrame) -> DataFrame:
         """The texts of which spans are chosen. The joins are outer, as the last one, so that one shuffle of the texts serves all."""
@@ -231,15 +225,25 @@ def marked(
                 last = key
         yield out()
 
-    schema = "doc_id long, v long, start long, n int"
-    shipped = with_spans(whole).mapInArrow(ship, "anchor long, doc_id long, v long, start long, n int, bytes binary")
-    marks = shipped.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(look, schema)
-    if not hot.isEmpty():  # else the branches below have no rows
-        windows = with_spans(firsts.where(F.col("kinds") > HOT)).mapInArrow(single, "window binary, doc_id long, v long, start long")
+    def looked(chosen: DataFrame) -> DataFrame:
+        shipped = with_spans(chosen).mapInArrow(ship, "anchor long, doc_id long, v long, start long, n int, bytes binary")
+        return shipped.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(look, "doc_id long, v long, start long, n int")
+
+    if hot.isEmpty():
+        marks = looked(repeats)
+    else:  # the same, and hot anchors: spans are copies, or the first of a content; firsts are looked up whole, or window by window
+        contents = hot.groupBy("anchor", "h").agg(F.min(me).alias("first"), F.count("*").alias("copies"))
+        kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+        told = repeats.join(written(contents.join(kinds, "anchor")), ["anchor", "h"], "left")
+        copied = told.where("hot").where(me != F.col("first") if once else F.col("copies") > 1)
+        copied = copied.select(*row, F.floor(F.col("place") / MOST).alias("start"), (F.col("place") % MOST).cast("int").alias("n"))
+        firsts = (me == F.col("first")) & (F.col("kinds") > 1)
+        whole = told.where(~F.col("hot") | (firsts & (F.col("kinds") <= HOT)))
+        windows = with_spans(told.where(F.col("hot") & firsts & (F.col("kinds") > HOT))).mapInArrow(single, "window binary, doc_id long, v long, start long")
         at = F.struct("doc_id", "v", "start")
-        many = windows.groupBy("window").agg(F.count("*").alias("many"), F.min(at).alias("first")).where("many > 1")
+        many = written(windows.groupBy("window").agg(F.count("*").alias("many"), F.min(at).alias("first")).where("many > 1"))
         again = windows.join(many, "window").where(at != F.col("first") if once else F.lit(True)).select(*row, "start", F.lit(1).alias("n"))
-        marks = marks.union(copied).union(again)
+        marks = looked(whole).union(copied).union(again)
     lists = marks.groupBy(*row).agg(F.collect_set(F.struct("start", "n")).alias("marks"))
     return docs.join(lists, row, "left").select("doc_id", "text", "marks")
 
