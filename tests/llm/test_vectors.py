@@ -51,11 +51,12 @@ def test_few_candidates(spark):
     assert crosspolytope.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("cell", [16384, 20])
-def test_nearest_neighbours(spark, cell):
+@pytest.mark.parametrize("shard, block", [(16384, 2048), (150, 3)])
+def test_nearest_neighbours(spark, shard, block):
     df, x = table(spark, 600)
     zero = spark.createDataFrame([(5000, [0.0] * 16, 0, 0.0)], SCHEMA)
-    got = crosspolytope.nearest(df.union(zero), F.col("vec_id") % 50 == 0, cell=cell).collect()
+    other = spark.createDataFrame([(6000 + i, [float(i), 1.0], 0, 0.0) for i in range(40)], SCHEMA)  # another dimension
+    got = crosspolytope.nearest(df.union(zero).union(other), F.col("vec_id") % 50 == 0, shard=shard, block=block).collect()
     norm = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = total = 0
     for q in range(0, len(x), 50):
@@ -68,24 +69,54 @@ def test_nearest_neighbours(spark, cell):
         hit += len({i for i, _ in exact} & {r["vec_id"] for r in mine})
         total += 5
     assert hit / total >= 0.9
-
-
-@pytest.mark.parametrize("cell", [16384, 100])
-def test_queries_are_dealt_in_blocks(spark, monkeypatch, cell):
-    monkeypatch.setattr(crosspolytope, "SLICE", 50)
-    monkeypatch.setattr(crosspolytope, "KEPT", 8)
-    df, _ = table(spark, 300)
-    other = spark.createDataFrame([(1000 + i, [float(i), 1.0], 0, 0.0) for i in range(40)], SCHEMA)  # another dimension
-    found = lambda block: sorted(map(tuple, crosspolytope.nearest(df.union(other), F.col("vec_id") % 10 == 0, cell=cell, block=block).collect()))
-    got = found(7)
-    assert got == found(1 << 20)
-    assert {(q < 1000) == (v < 1000) for q, _, v, _ in got} == {True}
-
-
-def test_blocks_are_bounded():
-    plan = crosspolytope.deal([(64, 0, b, n) for b, n in enumerate([100, 50000, 20])], 16384)
-    many = crosspolytope.blocks(plan, {(64, 0, 0): 3000, (64, 0, 1): 30000, (64, 0, 2): 10}, {64: 100_000}, 1000)
-    assert [many[plan[64, 0, b][0]] for b in range(3)] == [3, 30, 1]
+    assert {(r["query_id"] < 6000) == (r["vec_id"] < 6000) for r in got} == {True}
+
+
+@pytest.mark.parametrize("n, planted, least, share", [(2000, 0, 0.9, 0.2), (2000, 5, 0.98, 0.2)])
+def test_recall_and_scores_against_brute_force(n, planted, least, share):
+    """64 dimensions. Random vectors have no near neighbours (the fifth best cosine is about 0.35); planted ones about 0.8."""
+    r = np.random.default_rng(6)
+    x = crosspolytope.unit(r.normal(size=(n, 64)))
+    asked = np.arange(0, n, 20)
+    for q in asked if planted else ():
+        x[q + 1 : q + 1 + planted] = crosspolytope.unit(x[q] + 0.09 * r.normal(size=(planted, 64)))
+    scores = x[asked] @ x.T
+    want = np.argpartition(-scores, 6, axis=1)[:, :6]
+    got = list(crosspolytope.Shard(x, crosspolytope.TABLES).search(x[asked], crosspolytope.PROBES, 6))
+    recall = np.mean([len(set(w.tolist()) & set(at.tolist())) / 6 for w, (at, _, _) in zip(want, got)])
+    scored = np.mean([k for _, _, k in got]) / n
+    print(recall, scored)
+    assert recall >= least and scored <= share
+
+
+def test_rows_that_repeat_a_query(spark):
+    """A repeated query row is one query; its answer is whole, and never itself."""
+    df, x = table(spark, 60)
+    again = spark.createDataFrame([(0, x[0].tolist(), 0, 0.0), (0, x[0].tolist(), 0, 0.0)], SCHEMA)
+    for search in (impact.top_k, crosspolytope.nearest):
+        plain, twice = (sorted(map(tuple, search(d, F.col("vec_id") == 0).collect())) for d in (df, df.union(again)))
+        assert plain == twice and [r[1] for r in plain] == [1, 2, 3, 4, 5] and len({r[2] for r in plain}) == 5
+
+
+def test_all_of_few_candidates_and_all_ties(spark):
+    few = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(8)], 0, 0.0) for i in range(4)], SCHEMA)
+    assert sorted((r["query_id"], r["vec_id"]) for r in crosspolytope.nearest(few, F.col("vec_id") < 2).collect()) == [(0, 1), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3)]
+    ties = spark.createDataFrame([(i, [2.0**i, 2.0**i, 0.0], 0, 0.0) for i in range(30)], SCHEMA)  # one direction, thirty classes
+    assert [r["vec_id"] for r in crosspolytope.nearest(ties, F.col("vec_id") == 7).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_components_of_any_size(spark):
+    wide = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [0.0, -3e300])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in crosspolytope.nearest(wide, F.col("vec_id") == 0).collect()}
+    assert got == pytest.approx({1: 1.0, 2: 0.5**0.5, 3: -(0.5**0.5)}, abs=1e-15)
+
+
+def test_bounds_of_large_integers_are_exact():
+    r = np.random.default_rng(8)
+    x = r.integers(-(2**29), 2**29, (500, 8))
+    index = impact.Index(np.arange(500), x)
+    for q in range(0, 500, 61):
+        assert index.search(q, x[q], 5) == [(i, int(s)) for i, s in expected(x @ x[q], np.arange(500), q, 5)]
 
 
 def test_rotation_keeps_lengths():

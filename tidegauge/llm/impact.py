@@ -10,12 +10,14 @@ rows per query, and a ranking over them is the result.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as candidates or
 queries; a query meets only vectors of its own dimension; rows that repeat a vec_id are separate candidates, but never for queries
-of that id; ties go to the smaller vec_id; fewer candidates than k give all of them; extra columns are not carried.
+of that id, and one query, by the smallest of their vectors; ties go to the smaller vec_id; fewer candidates than k give all of them; extra columns are not carried.
 A score that doesn't fit a long is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +40,20 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -
     )
 
 
+def grid(
+    candidates: DataFrame, asked: DataFrame, id_col: str, n: int, q: int, wide: int, high: int,
+    cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+) -> DataFrame:
+    """cell(block of candidates, block of queries) for each pair of blocks of one dimension (dim), about `wide` and `high` rows of n and q."""
+    across, down = -(-n // wide) or 1, -(-q // high) or 1
+    block = lambda k, salt: F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    cands = candidates.withColumn("col", block(across, 1)).withColumn("row", every(down))
+    queries = asked.withColumn("row", block(down, 2)).withColumn("col", every(across))
+    keys = ["dim", "col", "row"]
+    return cands.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(cell, schema)
+
+
 class Index:
     """The posting segments of one block of integer vectors."""
 
@@ -68,7 +84,8 @@ class Index:
         top = np.full(len(q), np.iinfo("i8").min)
         np.maximum.at(top, self.dims, impact)
         own = self.ids == query_id
-        gained, seen = np.zeros(self.n), np.zeros(self.n)
+        exact = float(np.abs(impact).max()) * len(q) < 2.0**52  # sums of doubles then are sums of integers
+        gained, seen = np.zeros(self.n, "f8" if exact else object), np.zeros(self.n, "i8")
         best: dict[int, int] = {}
         start, left = 0, np.flatnonzero(~own)
         for share in TRIES:
@@ -78,7 +95,10 @@ class Index:
             part = order[start:end]
             if len(part):
                 at = np.concatenate([self.postings[s] for s in part])
-                gained += np.bincount(at, np.repeat(impact[part], self.sizes[part]), self.n)
+                if exact:
+                    gained += np.bincount(at, np.repeat(impact[part], self.sizes[part]), self.n)
+                else:
+                    np.add.at(gained, at, np.repeat(impact[part], self.sizes[part]).astype(object))
                 seen += np.bincount(at, minlength=self.n)
             start = end
             next_impact = impact[order[end]]
@@ -86,7 +106,8 @@ class Index:
             opened = np.zeros(len(q), bool)
             opened[self.dims[order[:end]]] = True
             open_dims |= opened
-            bound = gained + float(top[~open_dims].sum()) + (open_dims.sum() - seen) * float(next_impact)
+            closed, open_ = top[~open_dims].astype(object).sum() if not exact else top[~open_dims].sum(), int(open_dims.sum()) - seen
+            bound = gained + closed + (open_ * next_impact if exact else open_.astype(object) * int(next_impact))
             hopeful = left[np.argpartition(-bound[left], min(4 * k, len(left) - 1))[: 4 * k]] if len(left) > 4 * k else left
             for i, s in zip(hopeful.tolist(), self.exact(hopeful, q)):
                 best[i] = s
@@ -113,13 +134,10 @@ def _integers(vecs: pd.Series, scale: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best for each row that `queries` (on vec_id and vec) selects."""
-    rows = usable(vectors).withColumn("dim", F.size("vec"))
+    rows = usable(vectors)
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
-    across, down = -(-sizes["n"] // CANDIDATES) or 1, -(-sizes["q"] // QUERIES) or 1
-    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cands = rows.withColumn("col", block(across, 1)).withColumn("row", every(down))
-    asked = rows.where(queries).withColumn("row", block(down, 2)).withColumn("col", every(across))
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    with_dim = lambda df: df.withColumn("dim", F.size("vec"))
 
     def cell(c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -129,9 +147,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = SCALE) -
                 found += [(query_id, i, s) for i, s in index.search(query_id, q, k)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    keys = ["dim", "col", "row"]
-    best = (
-        cands.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score long")
-    )
+    best = grid(with_dim(rows), with_dim(asked), "vec_id", sizes["n"], sizes["q"], CANDIDATES, QUERIES, cell, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
