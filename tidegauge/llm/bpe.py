@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WHITE_SPACE, texts
+from tidegauge.llm.common import WHITE_SPACE, private, texts
 
 #: At most so many distinct pieces, none longer than MEMO_CHARS, are remembered in a worker; then it starts afresh.
 MEMO, MEMO_CHARS = 600_000, 64
@@ -173,7 +173,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         names = ["ids", "byte_start", "char_start", "char_end"] if offsets else ["ids"]
         return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
-    return docs.withColumn("_t", tokens(F.col(text_col))).select(docs["*"], "_t.*")
+    (new,) = private(docs, "t")
+    return docs.withColumn(new, tokens(F.col(text_col))).select(*(F.col(f"`{c}`") for c in docs.columns), f"{new}.*")
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -195,7 +196,8 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
         names = ["decoded", "decoded_text", "decoded_parts"]
         return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
-    return df.withColumn("_d", back(F.col(ids_col))).select(df["*"], "_d.*")
+    (new,) = private(df, "d")
+    return df.withColumn(new, back(F.col(ids_col))).select(*(F.col(f"`{c}`") for c in df.columns), f"{new}.*")
 
 
 def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -12,7 +12,7 @@ into tiles, and each pair of tiles is searched, so no task holds it whole and no
 Which pairs are proposed is left to chance: recall is measured by tests/llm/test_nearcopies.py. No link is wrong.
 
 Defined results: a null text counts as empty; texts without words are one class, alike to no other; texts of fewer words than a
-shingle have one shingle of all words; rows whose doc_id is null go; extra columns stay.
+shingle have one shingle of all words; rows whose doc_id is null stay; rows that repeat a doc_id go or stay together; extra columns stay.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import settle, texts
+from tidegauge.llm.common import private, settle, texts
 from tidegauge.llm.components import components, forest
 from tidegauge.llm.simhash import CHUNK, HOT, linked, majority, shingles
 from tidegauge.llm.windows import mix
@@ -210,15 +210,17 @@ def verified(docs: DataFrame, members: DataFrame, width: int, least: float) -> D
 
 
 def first_of_group(docs: DataFrame, width: int, least: float = 0.8) -> DataFrame:
-    """The documents (all columns) that are the smallest of their component; rows whose doc_id is null go."""
+    """The documents (all columns) that are the smallest of their component; rows whose doc_id is null stay."""
     of = settle(classes(docs, width))
     distinct = settle(of.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n")).where("id is not null"))
     proposed = components(candidates(distinct))
     inside = proposed.union(proposed.select("component", "component").distinct()).toDF("cls", "component")
     members = settle(distinct.join(inside, "cls").select("cls", "id", "n", "component"))
     grouped = components(verified(docs, members, width, least))
-    keep = (
+    kept, any_id = private(docs, "kept", "id")
+    first = (
         distinct.join(grouped.withColumnRenamed("id", "cls"), "cls", "left")
-        .groupBy(F.coalesce("component", "cls")).agg(F.min("id").alias("_keep")).select("_keep").distinct()
+        .groupBy(F.coalesce("component", "cls")).agg(F.min("id").alias(kept)).select(kept).distinct()
     )
-    return docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    gone = of.select(F.col("doc_id").alias(any_id)).where(f"{any_id} is not null").distinct().join(first, F.col(any_id) == F.col(kept), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(any_id), "left_anti")

@@ -1,36 +1,45 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-One pattern finds e-mail addresses, IBANs, IPv4 addresses, social security numbers, dates, phone numbers, card and
-account numbers and hexadecimal keys. What passes its kind's check (a real date, octets up to 255, a length, ...) is replaced
-by a keyed permutation of itself within its format: an alternating Feistel network of ROUNDS rounds, whose round
+One pattern finds e-mail addresses, IBANs, IPv4 addresses, social security numbers, dates, phone numbers, card numbers,
+access keys with a well-known beginning, and hexadecimal keys that are given as the value of a token, key, secret or password.
+What passes its kind's check (Luhn's for cards, a real date, octets up to 255, 7 to 15 digits for phones, ...) is replaced by a keyed permutation of itself within its format: an alternating Feistel network of ROUNDS rounds, whose round
 function is SHA-256 over key, kind, width, round and the other half. Halves are numbers in mixed radix (10 for digits,
 26 for letters, 16 for hexadecimal), so digits stay digits, letters keep their case, and separators stay in place. Equal
-values get equal pseudonyms in all documents, however they are separated; different values get different ones. A
-card number keeps passing or failing Luhn's check as before, an IBAN gets new check digits, a date stays a date.
+values get equal pseudonyms in all documents, however they are separated; different values get different ones. A card number
+keeps passing Luhn's check, an IBAN gets new check digits, a date stays a date of its era (about 200 years, 1900 to 2099 is
+one). Of an address the name and the domain, but for its last label, are permuted apart, so that addresses of one domain stay linked.
+
+The key may be a column: of key_file(), the plan and the event log show where it is read, not what it is; a string is a literal in both.
 
 Each row is rewritten by itself: no shuffle, no state. Defined results: a null text stays null, an empty one empty;
-values that fail their check stay; dates outside 1900-01-01 to 2099-08-05 stay; all other columns are kept.
+values that fail their check stay, so order numbers and commit ids do; dates are those of the years 1 to 9999; repeated rows come out alike; all other columns are kept.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import private
+
 ROUNDS = 8
 #: Characters that are permuted together; longer values are permuted in such runs.
 RUN = 24
-#: Dates: 270 x 270 days from this one on.
+#: Dates: eras of 270 x 270 days, one of which starts here. The first and the last era of the calendar are cut, to 135 x 277 and 32 x 1327 days.
 FIRST_DAY, SIDE = "1900-01-01", 270
+CUT_ERAS = {-10: (135, 277), 40: (32, 1327)}
 
 # The formats, in the order in which they are tried.
 _L, _R = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": _L + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _R,
-    "key": _L + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _R,
+    "access": _L + r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})" + _R,
+    "key": r"(?<=(?:token|key|secret|password|passwd|pwd|auth|bearer|credential)s?[\"' ]{0,3}[=:]{1,2}[ ]{0,3}[\"']?)(?:[0-9a-fA-F]{32,128})" + _R,
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _R,
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R,
@@ -38,6 +47,8 @@ FORMATS = {
     "number": _L + r"[0-9](?:[ -]?[0-9]){11,18}" + _R,
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMATS.values())
+#: What a found value looks like by itself, without what must stand before it.
+SHAPES = FORMATS | {"key": "[0-9a-fA-F]{32,128}"}
 ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz"}
 
 
@@ -169,13 +180,14 @@ def luhn(digits: Column) -> Column:
 
 
 def _number(m: Column, secret: Column) -> Column:
-    """All digits but the last are permuted; the last keeps Luhn's sum modulo 10."""
+    """All digits but the last are permuted; the last is Luhn's check digit. What fails Luhn's check stays."""
 
     def checked(new: Column) -> Column:
-        last = F.pmod(luhn(F.regexp_replace(m, "[^0-9]", "")) - luhn(F.concat(F.regexp_replace(new, "[^0-9]", ""), F.lit("0"))), F.lit(10))
+        last = F.pmod(-luhn(F.concat(F.regexp_replace(new, "[^0-9]", ""), F.lit("0"))), F.lit(10))
         return F.concat(new, last.cast("int").cast("string"))
 
-    return let(permuted(m.substr(F.lit(1), F.length(m) - 1), secret), checked)
+    valid = luhn(F.regexp_replace(m, "[^0-9]", "")) == 0
+    return F.when(valid, let(permuted(m.substr(F.lit(1), F.length(m) - 1), secret), checked)).otherwise(m)
 
 
 def _iban(m: Column, secret: Column) -> Column:
@@ -232,53 +244,77 @@ def _ssn(m: Column, secret: Column) -> Column:
     return F.when(valid, let(feistel(index, serial - 1, F.lit(898 * 99), F.lit(9999), secret), text)).otherwise(m)
 
 
+# How dates are written, and the layouts of each, in the order in which they are tried.
+LAYOUTS = (
+    ("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{4}/", "yyyy/MM/dd"),
+    (r"^[0-9]{2}\.[0-9]{2}\.", "dd.MM.yyyy"), (r"^[0-9]{1,2}\.", "d.M.yyyy"),
+    ("^[0-9]{2}/[0-9]{2}/[0-9]{4}", "dd/MM/yyyy"), ("^[0-9]{2}/[0-9]{2}/[0-9]{4}", "MM/dd/yyyy"),
+    ("^[0-9]{1,2}/[0-9]{1,2}/", "d/M/yyyy"), ("^[0-9]{1,2}/[0-9]{1,2}/", "M/d/yyyy"),
+)
+
+
 def _date(m: Column, secret: Column) -> Column:
-    out = m
     first = F.lit(FIRST_DAY).cast("date")
 
-    def written(layout: str) -> Callable[[Column], Column]:
-        return lambda f: F.date_format(F.date_add(first, (f["l"] * SIDE + f["r"]).cast("int")), layout)
-
-    for shape, layouts in reversed((
-        ("^[0-9]{4}-", ("yyyy-MM-dd",)),
-        ("^[0-9]{4}/", ("yyyy/MM/dd",)),
-        (r"^[0-9]{2}\.[0-9]{2}\.", ("dd.MM.yyyy",)),
-        (r"^[0-9]{1,2}\.", ("d.M.yyyy",)),
-        ("^[0-9]{2}/[0-9]{2}/[0-9]{4}", ("dd/MM/yyyy", "MM/dd/yyyy")),
-        ("^[0-9]{1,2}/[0-9]{1,2}/", ("d/M/yyyy", "M/d/yyyy")),
-    )):
-        for layout in reversed(layouts):
-            day = F.datediff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), first)
-            new = let(
-                feistel(F.floor(day / SIDE), F.pmod(day, F.lit(SIDE)), F.lit(SIDE), F.lit(SIDE), secret),
-                written(layout),
-            )
-            out = F.when(m.rlike(shape) & day.between(0, SIDE * SIDE - 1), new).otherwise(out)
-    return out
+    def read(shape: str, layout: str) -> Column:
+        day = F.datediff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), first)
+        return F.when(m.rlike(shape), let(day, lambda d: F.when(d.isNotNull(), F.struct(d.alias("day"), F.lit(layout).alias("layout")))))
 
+    def turned(x: Column) -> Column:
+        day, era = x["day"], F.floor(x["day"] / (SIDE * SIDE))
+        start = F.greatest(era * (SIDE * SIDE), F.datediff(F.lit("0001-01-01").cast("date"), first))
+        left, right = (F.coalesce(*(F.when(era == e, sizes[i]) for e, sizes in CUT_ERAS.items()), F.lit(SIDE)) for i in range(2))
+        field = F.struct(start.alias("start"), left.alias("left"), right.alias("right"), F.concat_ws("|", secret, era.cast("string")).alias("secret"))
 
-def _pseudonym(m: Column, key: str) -> Column:
-    secret = lambda kind: F.lit(f"{key}|{kind}")
-    at = F.instr(m, "@")
+        def permute(e: Column) -> Column:
+            at = feistel(F.floor((day - e["start"]) / e["right"]), F.pmod(day - e["start"], e["right"]), e["left"], e["right"], e["secret"])
+            return let(at, lambda f: F.call_function("date_format", F.date_add(first, (e["start"] + f["l"] * e["right"] + f["r"]).cast("int")), x["layout"]))
+
+        return let(field, permute)
+
+    return let(F.coalesce(*(read(*x) for x in LAYOUTS)), lambda x: F.when(x.isNotNull(), turned(x)).otherwise(m))
+
+
+def _phone(m: Column, secret: Column) -> Column:
+    """The country's code stays; 7 to 15 digits are a phone number."""
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = m.substr(F.length(country) + 1, F.length(m))
+    valid = F.length(F.regexp_replace(m, "[^0-9]", "")).between(7, 15)
+    return F.when(valid, F.concat(country, permuted(m.substr(F.length(country) + 1, F.length(m)), secret))).otherwise(m)
+
+
+def _email(m: Column, name: Column, domain: Column) -> Column:
+    at = F.instr(m, "@")
+    last = F.regexp_extract(m, r"\.[^.]*$", 0)
+    host = m.substr(at + 1, F.length(m) - at - F.length(last))
+    return F.concat(permuted(m.substr(F.lit(1), at - 1), name), F.lit("@"), permuted(host, domain), last)
+
+
+def _access(m: Column, secret: Column) -> Column:
+    """The beginning, which tells what it opens, stays."""
+    start = F.regexp_extract(m, "^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0)
+    return F.concat(start, permuted(m.substr(F.length(start) + 1, F.length(m)), secret))
+
+
+def _pseudonym(m: Column, key: Column) -> Column:
+    secret = lambda kind: F.concat(key, F.lit(f"|{kind}"))
     made = {
-        "email": F.concat(permuted(m.substr(F.lit(1), at - 1), secret("email")), m.substr(at, F.length(m))),
+        "email": _email(m, secret("email"), secret("domain")),
         "iban": _iban(m, secret("iban")),
+        "access": _access(m, secret("access")),
         "key": let(permuted(m, secret("key"), hexadecimal=True), lambda k: F.when(m.rlike("[A-F]"), F.upper(k)).otherwise(k)),
         "ip": _ip(m, secret("ip")),
         "date": _date(m, secret("date")),
         "ssn": _ssn(m, secret("ssn")),
-        "phone": F.concat(country, permuted(rest, secret("phone"))),
+        "phone": _phone(m, secret("phone")),
         "number": _number(m, secret("number")),
     }
     out = m
-    for kind in reversed(FORMATS):
-        out = F.when(m.rlike(f"^(?:{FORMATS[kind]})$"), made[kind]).otherwise(out)
+    for kind in reversed(SHAPES):
+        out = F.when(m.rlike(f"^(?:{SHAPES[kind]})$"), made[kind]).otherwise(out)
     return out
 
 
-def pseudonymised(text: Column, key: str) -> Column:
+def pseudonymised(text: Column, key: Column) -> Column:
     """struct(text, n): the text with pseudonyms, and how many values were replaced."""
 
     def rewrite(found: Column) -> Column:
@@ -294,14 +330,26 @@ def pseudonymised(text: Column, key: str) -> Column:
     same = F.struct(text.alias("text"), F.lit(0).alias("n"))
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     changed = let(found, lambda f: F.when(F.size(f) > 0, rewrite(f)).otherwise(same))
-    return F.when(text.rlike("[0-9@]"), changed).otherwise(same)
+    return F.when(text.rlike("[0-9@]|[A-Za-z]{20}"), changed).otherwise(same)
+
+
+@functools.lru_cache(maxsize=8)
+def _expression(_jvm: int, text_col: str, key_col: str) -> Column:
+    """The expression, which takes seconds to build."""
+    return pseudonymised(F.col(f"`{text_col}`"), F.col(f"`{key_col}`"))
+
+
+def key_file(spark: SparkSession, path: str) -> Column:
+    """The key that a file of one line holds."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\s+$", "")).scalar()
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | Column, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The documents with pseudonyms in their text and, if asked for, the number of replaced values."""
     if count_col in docs.columns:
         raise ValueError(f"the input already has a column {count_col}")
-    new = "_pii" + "_" * sum(c.startswith("_pii") for c in docs.columns)
-    out = docs.withColumn(new, pseudonymised(F.col(text_col), key))
+    new, secret = private(docs, "pii", "key")
+    out = docs.withColumn(secret, F.lit(key) if isinstance(key, str) else key)  # a column of its own, for a subquery may not stand within a function's body
+    out = out.withColumn(new, _expression(id(SparkContext._gateway), text_col, secret))
     cols = [F.col(f"{new}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols, *([F.col(f"{new}.n").alias(count_col)] if count_col else []))

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import automaton, bpe, crosspolytope, impact, linededup, packing, pii, rlbwt, simhash, toxicity
 from tidegauge.llm.common import table
 
 
-#: The key of the pseudonyms in these queries; a user passes one of their own.
-KEY = "tidegauge example key"
+#: The setting that names the file with the key of the pseudonyms, and the public key of the examples, used where it is unset.
+KEY_FILE, EXAMPLE_KEY = "spark.tidegauge.pii.keyFile", "tidegauge example key"
+
+
+def pii_key(spark: SparkSession) -> str | Column:
+    path = spark.conf.get(KEY_FILE, None)
+    return pii.key_file(spark, path) if path else EXAMPLE_KEY
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, KEY, count_col="n_replaced")
+    return pii.pseudonymise(docs, pii_key(spark), count_col="n_replaced")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

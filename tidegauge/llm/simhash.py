@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import settle, texts
+from tidegauge.llm.common import private, settle, texts
 from tidegauge.llm.components import components, forest
 
 WIDTH, RADIUS, SEED = 3, 3, 42
@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 
 def first_of_group(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The documents (all columns) that are the smallest of their component; rows whose doc_id is null go."""
-    keep = near_duplicates(docs, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    """The documents (all columns) that are the smallest of their component; rows whose doc_id is null stay."""
+    (gone,) = private(docs, "gone")
+    later = near_duplicates(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias(gone))
+    return docs.join(later, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -1,17 +1,19 @@
 """Toxicity scores: misspelled lexicon terms by automaton, weighed by the words around them.
 
-Training. From a bounded sample of labelled rows (SAMPLE of them, the smallest by a hash of their id) Spark counts in how many toxic
-and clean texts each word, and each word beginning (written with *), occurs; those far commoner in toxic texts are
-the lexicon. The hits in the sample then give each row a few features, on which the driver fits a logistic regression.
+Training. From a bounded sample of labelled rows (SAMPLE of them, the smallest by a hash of their id) Spark counts in how many toxic and
+clean texts each word of 3 to 40 letters, and each word beginning (written with *), occurs. Those in a share of at least LEAST_SHARE of
+the toxic texts, and far commoner there than in clean ones, are the lexicon; nothing else limits it. Spark then counts the words around
+its hits: those that tell toxic from clean texts with hits, a verb of saying, say, or a word of address, get a weight of their own.
+The hits in the sample give each row a few features, on which the driver fits a logistic regression.
 
 Scoring. The lexicon is a trie; Levenshtein automata of all its terms run over it at once: a state is a set of (trie node,
 edits so far), and states and their successors are made as words ask for them and kept in a bounded table. A word
-of a text is looked up in a memo, or run through the automaton once. Each hit gets a context score from the words around
-it: inside quotation marks, or near a verb of saying, it counts less; near a word of address or another hit it counts
-more. Every whole text is scored; nothing but the text is an input.
+of a text is looked up in a memo, or run through the automaton once. A hit inside quotation marks is counted apart, and each hit's
+context score is its weight times what the words around it weigh. Every whole text is scored; nothing but the text is an input.
 
-Defined results: null and empty texts have the score of a text without hits; a null label is no label; with labels of
-one kind only, all scores are 0; repeated rows score alike; extra columns stay (in filter_toxic) or are not carried.
+Defined results: null and empty texts have the score of a text without hits; a null label is no label, and of several labels of a doc_id the
+greatest counts; with labels of one kind only, or without any, all scores are 0; repeated rows score alike; an empty table gives no rows;
+extra columns stay (in filter_toxic) or are not carried.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,6 @@ from tidegauge.llm.common import settle, texts
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 20_000
-#: At most so many terms, and as many candidates for each term, reach the driver.
-TERMS = 1000
 #: A term's document frequency in toxic texts, as a share of them, and the least log-ratio of its shares.
 LEAST_SHARE, LEAST_RATIO = 0.01, 2.5
 #: What must remain of the log-ratio less twice its standard error, so that words seen in a few toxic texts by chance are no terms.
@@ -43,10 +44,11 @@ LEAST_BOUND = 1.5
 WINDOW = 8
 MEMO, STATES = 600_000, 100_000
 
-# Marks that open or close a quotation, verbs of saying, words of address.
+#: What must remain of a context word's log-ratio less three times its standard error: there are many such words, and chance favours some.
+LEAST_LEAN = 0.3
+
+# Marks that open or close a quotation.
 QUOTES = "\"“”„«»‹›"
-SAYING = frozenset("said says wrote writes quoted quote called calls shouted replied sagte schrieb nannte rief dijo escribió llamó dit écrit appelé".split())
-ADDRESS = frozenset("you your yours you're yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes".split())
 #: Characters that stand for letters.
 LEET = str.maketrans("01345$@", "oieassa")
 QUOTE = re.compile(f"[{QUOTES}]")
@@ -162,31 +164,40 @@ class Memo(dict):
         return hit
 
 
-FEATURES = 6
+FEATURES = 7
+
+
+def hits_in(words: list[str], memo: Memo) -> list[tuple[int, tuple[float, float]]]:
+    return [(i, h) for i, h in enumerate(map(memo.__getitem__, words)) if h]
+
 
+def around(words: list[str], at: int, hits: set[int]) -> set[str]:
+    """The words near the hit that are no hits."""
+    low = max(0, at - WINDOW)
+    near = {w.strip(".,;:!?\"'“”„«»").lower() for i, w in enumerate(words[low : at + WINDOW + 1], low) if i not in hits}
+    return {w for w in near if 0 < len(w) <= 40}
 
-def features(text: str, memo: Memo) -> list[float]:
-    """[any hit, plain, misspelled, in quotation, per 100 words, context], 0 for a text without hits."""
+
+def features(text: str, memo: Memo, context: dict[str, float]) -> list[float]:
+    """[any hit, plain, misspelled, in quotation, per 100 words, context for, context against], 0 for a text without hits."""
     words = text.split()
-    hits = [(i, h) for i, h in enumerate(map(memo.__getitem__, words)) if h]
+    hits = hits_in(words, memo)
     if not hits:
         return [0.0] * FEATURES
     marks = [m.start() for m in QUOTE.finditer(" ".join(words))]
     starts = list(accumulate((len(w) + 1 for w in words), initial=0)) if marks else []
-    at = [i for i, _ in hits]
-    plain = wrong = quoted = context = 0.0
+    at = {i for i, _ in hits}
+    plain = wrong = quoted = speaks_for = against = 0.0
     for i, (right, misspelled) in hits:
-        near = [w.strip(".,;:!?\"'“”„«»").lower() for w in words[max(0, i - WINDOW) : i + WINDOW + 1]]
         inside = bool(marks) and (bisect_left(marks, starts[i]) % 2 == 1 or any(c in words[i] for c in QUOTES))
-        said = any(w in SAYING for w in near)
-        address = any(w in ADDRESS for w in near)
-        others = sum(abs(i - j) <= WINDOW for j in at) - 1
-        score = (right + 0.5 * misspelled) * (0.25 if inside else 0.5 if said else 1.0) * (1 + 0.5 * address + 0.25 * min(others, 4))
-        context += score
+        lean = sum(context.get(w, 0.0) for w in around(words, i, at)) if context else 0.0
+        score = (right + 0.5 * misspelled) * lean
+        speaks_for += max(score, 0.0)
+        against += max(-score, 0.0)
         quoted += (right + misspelled) if inside else 0.0
         plain += 0.0 if inside else right
         wrong += 0.0 if inside else misspelled
-    return [1.0, math.log1p(plain), math.log1p(wrong), math.log1p(quoted), math.log1p(100 * len(hits) / len(words)), math.log1p(context)]
+    return [1.0, *map(math.log1p, (plain, wrong, quoted, 100 * len(hits) / len(words), speaks_for, against))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -221,13 +232,12 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
         return run
 
     schema = "term string, toxic int, n long"
+    most = rows.where("toxic = 1").count()
     toxic = rows.where("toxic = 1").mapInPandas(count(None), schema).groupBy("term").agg(F.sum("n").alias("n"))
-    frequent = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(20 * TERMS).collect()}
+    frequent = {r["term"]: r["n"] for r in toxic.where(F.col("n") >= max(3, LEAST_SHARE * most)).collect()}  # at most 100 texts' words
     if not frequent:
         return {}
-    most = frequent.pop("")
-    least = max(3, LEAST_SHARE * most)
-    frequent = {t: n for t, n in frequent.items() if n >= least}
+    frequent.pop("", None)
     wanted = frozenset(frequent)
     clean_rows = rows.where("toxic = 0").mapInPandas(count(wanted), schema).groupBy("term").agg(F.sum("n").alias("n"))
     clean = {r["term"]: r["n"] for r in clean_rows.collect()}  # at most the wanted terms
@@ -237,7 +247,7 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     error = {t: math.sqrt(1 / (n + 0.5) + 1 / (clean.get(t, 0) + 0.5)) for t, n in frequent.items()}
     kept: dict[str, float] = {}
     for t in sorted(ratio, key=lambda t: (-frequent[t], -len(t), t)):
-        if ratio[t] < LEAST_RATIO or ratio[t] - 2 * error[t] < LEAST_BOUND or len(kept) >= TERMS:
+        if ratio[t] < LEAST_RATIO or ratio[t] - 2 * error[t] < LEAST_BOUND:
             continue
         stem = t.rstrip("*")
         if any(stem.startswith(k[:-1]) for k in kept if k.endswith("*")):
@@ -250,6 +260,33 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     return kept
 
 
+def context_words(rows: DataFrame, terms: dict[str, float]) -> dict[str, float]:
+    """word -> weight of the words that, near a hit, tell toxic texts from clean ones that have hits too."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo, seen = Memo(Lexicon(terms)), defaultdict(Counter)
+        for f in frames:
+            for text, toxic in zip(f["text"], f["toxic"]):
+                words = text.split()
+                at = {i for i, _ in hits_in(words, memo)}
+                if at:
+                    seen[toxic].update({"", *(w for i in at for w in around(words, i, at))})
+        yield pd.DataFrame([(t, int(k), n) for k, c in seen.items() for t, n in c.items()], columns=["term", "toxic", "n"])
+
+    each = rows.select("text", "toxic").mapInPandas(count, "term string, toxic int, n long")
+    n = {k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)) for k in (0, 1)}
+    both = each.groupBy("term").agg(n[1].alias("bad"), n[0].alias("good"))
+    got = {r["term"]: (r["bad"], r["good"]) for r in both.where("bad + good >= 5 or term = ''").collect()}  # words near hits in the sample
+    bad, good = got.pop("", (0, 0))
+    out = {}
+    for word, (x, y) in got.items():
+        ratio = math.log((x + 0.5) / (bad + 1)) - math.log((y + 0.5) / (good + 1))
+        left = abs(ratio) - 3 * math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
+        if left >= LEAST_LEAN:
+            out[word] = math.copysign(left, ratio)
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression with an intercept, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -265,34 +302,41 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
-    """(lexicon, weights of the intercept and the features)."""
+class Model(NamedTuple):
+    """The lexicon, the words around its hits, and the weights of the intercept and the features; no terms, no scores."""
+
+    terms: dict[str, float]
+    context: dict[str, float]
+    weights: list[float]
+
+    def logits(self, texts: Iterable[str], memo: Memo) -> list[float]:
+        return [self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], features(t, memo, self.context))) for t in texts]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     known = settle(sample(docs, labels, rows))
     terms = lexicon(known)
     if not terms:
-        return {}, []
+        return Model({}, {}, [])
+    context = context_words(known, terms)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(Lexicon(terms))
         for f in frames:
-            yield pd.DataFrame({"x": [features(t, memo) for t in f["text"]], "toxic": f["toxic"]})
+            yield pd.DataFrame({"x": [features(t, memo, context) for t in f["text"]], "toxic": f["toxic"]})
 
     got = known.select("text", "toxic").mapInPandas(run, "x array<double>, toxic int").toPandas()  # `rows` bounds it
-    return terms, fit(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(float)).tolist()
+    return Model(terms, context, fit(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(float)).tolist())
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted."""
-    terms, weights = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(Lexicon(terms))
+        memo = Memo(Lexicon(model.terms))
         for b in batches:
-            if terms:
-                z = [weights[0] + sum(w * v for w, v in zip(weights[1:], features(t.as_py(), memo))) for t in b.column(1)]
-                scores = [1 / (1 + math.exp(-max(-700, v))) for v in z]
-            else:
-                scores = [0.0] * b.num_rows
+            z = model.logits((t.as_py() for t in b.column(1)), memo) if model.terms else []
+            scores = [1 / (1 + math.exp(-max(-700, v))) for v in z] or [0.0] * b.num_rows
             cols = [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted"])
 
@@ -306,13 +350,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that aren't predicted toxic."""
-    terms, weights = train(docs, labels)
+    model = train(docs, labels)
+    if not model.terms:
+        return docs
 
     @F.pandas_udf("boolean")
     def clean(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Memo(Lexicon(terms))
+        memo = Memo(Lexicon(model.terms))
         for part in text:
-            ok = [weights[0] + sum(w * v for w, v in zip(weights[1:], features(t or "", memo))) < 0 if terms else True for t in part]
-            yield pd.Series(ok, dtype=bool)
+            yield pd.Series([z < 0 for z in model.logits((t or "" for t in part), memo)], dtype=bool)
 
     return docs.where(clean(F.coalesce(F.col("text"), F.lit(""))))
