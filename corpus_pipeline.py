@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import linededup, nearcopies, packing, pii, toxicity
 from tidegauge.llm.common import settle, table
-from tidegauge.llm.queries import KEY
+from tidegauge.llm.queries import pii_key
 
 #: Word shingles of the near-duplicate stage, and their Jaccard similarity from which documents are near copies.
 SHINGLE, ALIKE = 5, 0.8
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(docs, pii.pseudonymise(docs, KEY))
+    return _like(docs, pii.pseudonymise(docs, pii_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
