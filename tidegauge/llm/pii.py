@@ -39,7 +39,7 @@ FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": _L + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _R,
     "access": _L + r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})" + _R,
-    "key": r"(?<=(?:token|key|secret|password|passwd|pwd|auth|bearer|credential)s?[\"' ]{0,3}[=:]{1,2}[ ]{0,3}[\"']?)(?:[0-9a-fA-F]{32,128})" + _R,
+    "key": r"(?=[0-9a-fA-F]{32})(?<=(?:token|key|secret|password|passwd|pwd|auth|bearer|credential)s?[\"' ]{0,3}[=:]{1,2}[ ]{0,3}[\"']?)(?:[0-9a-fA-F]{32,128})" + _R,
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _R,
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R,
@@ -330,7 +330,7 @@ def pseudonymised(text: Column, key: Column) -> Column:
     same = F.struct(text.alias("text"), F.lit(0).alias("n"))
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     changed = let(found, lambda f: F.when(F.size(f) > 0, rewrite(f)).otherwise(same))
-    return F.when(text.rlike("[0-9@]|[A-Za-z]{20}"), changed).otherwise(same)
+    return F.when(text.rlike("[0-9@]|sk-|gh[pousr]_|AKIA|ASIA"), changed).otherwise(same)
 
 
 @functools.lru_cache(maxsize=8)
