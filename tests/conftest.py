@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import sys
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -23,20 +24,22 @@ def spark():
 
 @pytest.fixture(scope="session")
 def make_candles(spark):
+    """Hourly bars: a seeded random walk for each symbol, with volumes and spreads of its own."""
     from tidegauge.sources.candles import CANDLE_SCHEMA
 
     def make(symbols=("AAA", "BBB", "CCC"), periods=60, skip=(), change=None, closed=True):
         rows = []
-        for k, s in enumerate(symbols):
-            before = None
+        for s in symbols:
+            r = random.Random(f"bars of {s}")
+            price = r.uniform(20, 400)
             for i in range(periods):
-                price = (100 + 10 * k) * math.exp(0.01 * i / periods + 0.01 * math.sin(i / 3 + k * k) + 0.004 * math.cos(i * (k + 1.7)))
-                if change:
-                    price = change(s, i, price)
+                first, price = price, price * math.exp(r.gauss(0, 0.02))
+                last = change(s, i, price) if change else price
+                spread = r.uniform(0, 0.01)
+                at = datetime(2023, 3, 7) + timedelta(hours=i)
                 if (s, i) not in skip:
-                    o, at = before or price, datetime(2026, 1, 1) + timedelta(hours=i)
-                    rows.append((s, "1h", at, at + timedelta(hours=1, milliseconds=-1), o, max(o, price) * 1.001, min(o, price) * 0.999, price, 1000.0 + i, closed))
-                before = price
+                    high, low = max(first, last) * (1 + spread), min(first, last) * (1 - spread)
+                    rows.append((s, "1h", at, at + timedelta(minutes=59, seconds=59), first, high, low, last, r.uniform(1, 9e4), closed))
         return spark.createDataFrame(rows, CANDLE_SCHEMA)
 
     return make

@@ -63,8 +63,8 @@ def test_pca_share_matches_numpy(gappy):
 
 
 def test_nothing_looks_ahead(make_candles):
-    change = lambda s, i, p: p * 10 if i >= 45 else p
-    cut = F.lit("2026-01-02 20:00:00").cast("timestamp_ntz")
+    change = lambda s, i, p: p * (2 + (i * 7 + len(s)) % 5) if i >= 45 else p
+    cut = F.lit("2023-03-08 20:00:00").cast("timestamp_ntz")
 
     def early(candles):
         b = features.feature_bundle(candles, "AAA", W)

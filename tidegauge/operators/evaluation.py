@@ -18,7 +18,7 @@ MODELS = ("garch", "ewma", "naive")
 
 def aligned(frame: DataFrame, forecasts: dict[str, str] | None = None) -> DataFrame:
     """Each bar's basket_return beside the forecasts made one bar earlier; rows that lack one, or aren't positive, go."""
-    names = forecasts or {"garch": "forecast_vol", "ewma": "ewma_vol", "naive": "market_vol"}
+    names = forecasts or {"garch": "garch_vol", "ewma": "ewma_vol", "naive": "market_vol"}
     rows = frame.where("basket_return is not null")
     by = R.ordered("interval")
     out = rows.select("interval", "open_time", F.col("basket_return").alias("return"), *(F.lag(c).over(by).alias(m) for m, c in names.items()))
@@ -208,8 +208,8 @@ def with_p_value(df: DataFrame, kind: str, degrees: str = "1", approx: bool = Fa
 
 
 def diagnostics(frame: DataFrame, params: dict[str, float] | None = None, alpha: float = 0.05) -> DataFrame:
-    """All tests on one frame (basket_return, forecast_vol, ewma_vol, market_vol): group, name, statistic, p_value, decision, n."""
-    pairs = aligned(frame)
+    """All tests on one frame (basket_return, garch_vol, ewma_vol, market_vol): group, name, statistic, p_value, decision, n."""
+    pairs = aligned(frame).persist()  # a row per bar, which every test below reads; lost blocks are computed again
     z = pairs.withColumn("z", F.col("return") / F.col("garch")).withColumn("z2", F.col("z") * F.col("z"))
     loss = losses(pairs).withColumn("vs_ewma", F.col("garch_qlike") - F.col("ewma_qlike")).withColumn("vs_naive", F.col("garch_qlike") - F.col("naive_qlike"))
     tests = [

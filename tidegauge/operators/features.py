@@ -203,7 +203,7 @@ def autocorrelation(x: Column, n: int, by: tuple[str, ...] = ("interval",)) -> C
     size = F.size(a)
     left, right = F.slice(a, F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(size - 1, F.lit(0)))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
-    centred = lambda v: F.transform(v, lambda e: e - total(v) / F.size(v))
+    centred = lambda v: F.transform(F.array(total(v) / F.size(v)), lambda mean: F.transform(v, lambda e: e - mean))[0]
     dot = lambda p, q: total(F.zip_with(p, q, lambda e, f: e * f))
     p, q = centred(left), centred(right)
     spread = F.sqrt(dot(p, p)) * F.sqrt(dot(q, q))

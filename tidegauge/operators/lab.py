@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import EPS, information_criteria, qlike
 from tidegauge.operators.evaluation import plain_correlation
+from tidegauge.operators.features import ewma
 
 PERIOD = 24
 FAMILIES = ("mean", "trend", "volatility", "combined")
@@ -201,12 +202,14 @@ def indexed(series: DataFrame, by: list[str], value: str = "y") -> DataFrame:
 def fits(points: DataFrame, chosen: list[Spec], by: list[str], origins: DataFrame, training: int, horizon: int, block: int = 256) -> DataFrame:
     """One row per origin and candidate of the origin's target.
 
-    points: by, target, open_time, y, i. origins: by, target, origin, the last training index. A block holds `block` bars of
+    points: by, target, open_time, y, i. origins: by, target, origin, the last training index, and perhaps candidates, the names to which
+    the series is restricted. A block holds `block` bars of
     origins and the bars that they reach.
     """
     reach = F.explode(F.sequence(F.floor((F.col("i") - horizon) / block).cast("long"), F.floor((F.col("i") + training - 1) / block).cast("long")))
     rows = points.select(*by, "target", "open_time", "y", "i").withColumn("block", reach).where("block >= 0")
-    wanted = origins.select(*by, "target", F.col("origin").alias("i"), F.lit(True).alias("is_origin"))
+    only = F.col("candidates") if "candidates" in origins.columns else F.array(*(F.lit(s.candidate) for s in chosen))
+    wanted = origins.select(*by, "target", F.col("origin").alias("i"), F.lit(True).alias("is_origin"), only.alias("only"))
     rows = rows.join(wanted, [*by, "target", "i"], "left")
     models = [(s.model_id, s.family, s.target) for s in chosen]
     key_types = {f.name: f.dataType for f in points.schema.fields}
@@ -217,12 +220,13 @@ def fits(points: DataFrame, chosen: list[Spec], by: list[str], origins: DataFram
         i, y, at = f["i"].to_numpy(), f["y"].to_numpy(float), f["open_time"].to_numpy()
         mine = np.flatnonzero(f["is_origin"].notna().to_numpy() & (i >= first) & (i < first + block))
         mine = mine[mine + horizon < len(i)]
+        allowed = set(f["only"].iloc[mine[0]]) if len(mine) else set()
         out = []
         for length in np.unique(np.minimum(training, i[mine] + 1)):
             part = mine[np.minimum(training, i[mine] + 1) == length]
             windows = np.lib.stride_tricks.sliding_window_view(y, length)[part - length + 1]
             for model, family, target in models:
-                if target != f["target"].iloc[0]:
+                if target != f["target"].iloc[0] or f"{model}:{target}" not in allowed:
                     continue
                 g = fit(model, windows)
                 frame = pd.DataFrame({"origin": i[part], "origin_time": at[part], "realization_time": at[part + horizon], "train_start_time": at[part - length + 1]})
@@ -349,7 +353,7 @@ class LabResult:
 def run_lab(series: DataFrame, by: list[str], chosen: list[Spec], training: int, horizon: int = 1, stride: int = 1, mode: str = "two_stage") -> LabResult:
     """Stage 1 fits all candidates at few origins; stage 2 the best of them (all in detailed mode, five in fast) at all origins.
 
-    series: by, target, open_time, y. The choice between the stages is one small action: the candidates' names.
+    series: by, target, open_time, y. Each series and target keeps its own best candidates of stage 1.
     """
     spark = series.sparkSession
     points = indexed(series, [*by, "target"])
@@ -358,14 +362,12 @@ def run_lab(series: DataFrame, by: list[str], chosen: list[Spec], training: int,
     count = len(lab_origins(most, training, horizon, stride))
     few = origin_frame(points, by, training, horizon, stride, max(8, min(40, count // 2)))
     stage1 = leaderboard(evaluate(with_losses(fits(points, chosen, by, few, training, horizon)), by), None, [*by, "target"], ordinals)
-    if mode == "detailed":
-        kept = chosen
-    else:
-        k = 5 if mode == "fast" else max(3, min(6, len(chosen) // 2))
-        names = {r["candidate"] for r in top_candidates(stage1, k, [*by, "target"]).select("candidate").distinct().collect()}
-        kept = [s for s in chosen if s.candidate in names]
     every = origin_frame(points, by, training, horizon, stride)
-    fitted = with_losses(fits(points, kept, by, every, training, horizon))
+    if mode != "detailed":
+        k = 5 if mode == "fast" else max(3, min(6, len(chosen) // 2))
+        best = top_candidates(stage1, k, [*by, "target"]).groupBy(*by, "target").agg(F.collect_list("candidate").alias("candidates"))
+        every = every.join(best, [*by, "target"])
+    fitted = with_losses(fits(points, chosen, by, every, training, horizon))
     lines = timeline(fitted, by)
     stage2 = evaluate(fitted, by)
     board = leaderboard(stage2, rank_stability(lines, by), by, ordinals)
@@ -392,10 +394,17 @@ def fit_counts(n: int, chosen: int, training: int, horizon: int, stride: int, se
     return {"stage1": first, "stage2": second, "total": first + second, "seconds_low": (first + second) * seconds_low, "seconds_high": (first + second) * seconds_high}
 
 
-def garch_t(y: np.ndarray, steps: int = 400) -> tuple[dict[str, float], float] | None:
-    """Maximum likelihood of a GARCH(1,1) with Student-t errors on the last 5000 values, by a simplex search: (parameters, next variance)."""
-    y = y[np.isfinite(y)][-5000:] * 100
-    if len(y) < 100:
+#: Values that a GARCH fit sees at most and at least, and refits of one history.
+FIT_MOST, FIT_LEAST, REFITS = 5000, 100, 12
+
+
+def garch_t(y: np.ndarray, steps: int = 600) -> tuple[dict[str, float], float] | None:
+    """Maximum likelihood of a GARCH(1,1) with Student-t errors on the last FIT_MOST values, by a simplex search: (parameters, next variance).
+
+    None for fewer than FIT_LEAST values, or if the search hasn't come to rest after so many steps.
+    """
+    y = y[np.isfinite(y)][-FIT_MOST:] * 100
+    if len(y) < FIT_LEAST or y.var() <= 0:
         return None
     y = y - y.mean()
     base = y.var()
@@ -416,10 +425,10 @@ def garch_t(y: np.ndarray, steps: int = 400) -> tuple[dict[str, float], float] |
     simplex = [np.array([-3.0, 3.0, -2.0, 1.5])]
     simplex += [simplex[0] + d for d in 0.5 * np.eye(4)]
     values = [path(z)[0] for z in simplex]
-    for _ in range(steps):
+    for _ in range(steps):  # the loop's else: it hasn't come to rest
         order = np.argsort(values)
         simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-8:
+        if values[-1] - values[0] < 1e-6:
             break
         centre = np.mean(simplex[:-1], axis=0)
         for stretch in (1.0, 2.0, 0.5, -0.5):
@@ -442,13 +451,15 @@ def garch_t(y: np.ndarray, steps: int = 400) -> tuple[dict[str, float], float] |
         else:
             simplex = [simplex[0] + 0.5 * (z - simplex[0]) for z in simplex]
             values = [path(z)[0] for z in simplex]
+    else:
+        return None
     best = simplex[int(np.argmin(values))]
     omega, a, b, nu = unpack(best)
     return {"omega": omega / 1e4, "alpha[1]": a, "beta[1]": b, "nu": nu}, path(best)[1] / 1e4
 
 
 def garch_forecasts(series: DataFrame, by: list[str], value: str = "y", span: int = 24) -> DataFrame:
-    """Per series the next volatility: GARCH-t, or EWMA (then degraded) where the fit has too little data."""
+    """Per series the next volatility: GARCH-t, or EWMA (then degraded) where the fit has too little data or doesn't converge."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         y = f.sort_values("open_time")[value].dropna().to_numpy(float)
@@ -462,3 +473,37 @@ def garch_forecasts(series: DataFrame, by: list[str], value: str = "y", span: in
 
     keys = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in by)
     return series.select(*by, "open_time", value).groupBy(*by).applyInPandas(run, f"{keys}, model string, degraded boolean, volatility double, alpha double, beta double, nu double")
+
+
+def garch_fits(series: DataFrame, by: list[str], value: str = "y", every: int = 24) -> DataFrame:
+    """by, refit (the last value's index), volatility, alpha, beta, nu: the fits of a history, at most REFITS for each series, FIT_LEAST values at least.
+
+    Each refit is a group of its own with the values it sees, at most FIT_MOST, whatever the series' length.
+    """
+    points = indexed(series.withColumnRenamed(value, "y") if value != "y" else series, by)
+    first = F.greatest(F.lit(FIT_LEAST - 1), F.col("n") - every * REFITS)
+    last = F.col("n") - 1
+    refits = points.select(*by, "n").distinct().where(first <= last).select(*by, F.explode(F.sequence(first, last, F.lit(every))).alias("refit"))
+    seen = points.join(F.broadcast(refits), by).where((F.col("i") <= F.col("refit")) & (F.col("i") > F.col("refit") - FIT_MOST))  # REFITS rows a series
+    names = [*by, "refit", "volatility", "alpha", "beta", "nu"]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        got = garch_t(f.sort_values("i")["y"].to_numpy(float))
+        if got is None:
+            return pd.DataFrame(columns=names)
+        p, v = got
+        return pd.DataFrame([(*(f[k].iloc[0] for k in by), f["refit"].iloc[0], math.sqrt(v), p["alpha[1]"], p["beta[1]"], p["nu"])], columns=names)
+
+    keys = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in by)
+    return seen.select(*by, "refit", "i", "y").groupBy(*by, "refit").applyInPandas(run, f"{keys}, refit int, volatility double, alpha double, beta double, nu double")
+
+
+def garch_history(series: DataFrame, fitted: DataFrame, by: list[str], value: str = "y", span: int = 24) -> DataFrame:
+    """by, open_time, volatility, fitted: at each value the forecast of the last fit up to it; the EWMA before the first, or if it is 0."""
+    points = indexed(series.withColumnRenamed(value, "y") if value != "y" else series, by)
+    smooth = ewma(points, "y", "_v", span, by, emit_from=1)
+    w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    at = points.join(fitted.select(*by, F.col("refit").alias("i"), F.col("volatility").alias("_g")), [*by, "i"], "left")
+    last = F.last(F.when(F.col("_g") > 0, F.col("_g")), ignorenulls=True).over(w)
+    out = at.withColumn("_g", last).join(smooth, [*by, "open_time"], "left")
+    return out.select(*by, "open_time", F.coalesce("_g", F.sqrt("_v")).alias("volatility"), F.col("_g").isNotNull().alias("fitted"))

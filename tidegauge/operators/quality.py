@@ -58,20 +58,20 @@ def validate(candles: DataFrame, interval: str, symbols: list[str] | None = None
         return counted.select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), F.lit(message).alias("message"), symbol.alias("symbol"), "count")
 
     any_row = data.agg(F.count("*").alias("n")).where("n = 0")
-    out = any_row.select(F.lit("error").alias("severity"), F.lit("empty").alias("check"), F.lit("no candle rows available").alias("message"), F.lit(None).cast("string").alias("symbol"), F.lit(0).cast("long").alias("count"))
+    out = any_row.select(F.lit("error").alias("severity"), F.lit("empty").alias("check"), F.lit("there are no candles").alias("message"), F.lit(None).cast("string").alias("symbol"), F.lit(0).cast("long").alias("count"))
     parts = [
-        issue(data.where(F.col("interval") != interval), "error", "interval", f"candles must all use selected interval {interval}"),
-        issue(data.where(~F.col("is_closed")), "error", "unclosed", "unclosed candles cannot enter research data"),
-        issue(duplicates(closed), "error", "duplicates", "duplicate candle timestamps detected"),
-        issue(closed.where(broken()), "error", "ohlc", "invalid OHLC candle logic"),
-        issue(closed.where("volume < 0"), "error", "volume", "negative volume detected"),
-        issue(gaps(closed, interval_seconds(interval)), "warning", "missing", "missing candle gap detected", True),
-        issue(return_outliers(closed, z), "warning", "outlier", "large return outlier detected", True),
+        issue(data.where(F.col("interval") != interval), "error", "interval", f"rows of another interval than {interval}"),
+        issue(data.where(~F.col("is_closed")), "error", "unclosed", "bars that are still open"),
+        issue(duplicates(closed), "error", "duplicates", "several rows for one bar"),
+        issue(closed.where(broken()), "error", "ohlc", "prices that contradict each other"),
+        issue(closed.where("volume < 0"), "error", "volume", "volume below zero"),
+        issue(gaps(closed, interval_seconds(interval)), "warning", "missing", "bars left out", True),
+        issue(return_outliers(closed, z), "warning", "outlier", "returns far from the mean", True),
     ]
     if symbols:
         wanted = spark.createDataFrame([(s.upper(),) for s in symbols], "symbol string")
         absent = wanted.join(closed.select("symbol").distinct(), "symbol", "left_anti").crossJoin(data.agg(F.count("*").alias("_n")).where("_n > 0").drop("_n"))
-        parts.append(issue(absent, "error", "coverage", "missing symbol data", True))
+        parts.append(issue(absent, "error", "coverage", "a symbol without bars", True))
     for p in parts:
         out = out.unionByName(p)
     return out

@@ -191,7 +191,7 @@ def residual_diagnostics(windows: DataFrame, values: str) -> DataFrame:
     """Adds n, variance and lag-1 correlation of an array of training values."""
     a = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
-    centred = lambda v: F.transform(v, lambda e: e - total(v) / F.size(v))
+    centred = lambda v: F.transform(F.array(total(v) / F.size(v)), lambda mean: F.transform(v, lambda e: e - mean))[0]
     dot = lambda p, q: total(F.zip_with(p, q, lambda e, f: e * f))
     n = F.size("_a")
     p, q = centred(F.slice("_a", F.lit(1), F.greatest(n - 1, F.lit(0)))), centred(F.slice("_a", F.lit(2), F.greatest(n - 1, F.lit(0))))

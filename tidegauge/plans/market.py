@@ -9,7 +9,7 @@ from tidegauge.functions import intervals as I
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import log_price
 from tidegauge.functions.tails import normal_ppf
-from tidegauge.operators import evaluation, features, labels, quality
+from tidegauge.operators import evaluation, features, lab, labels, quality
 from tidegauge.plans.base import BENCHMARK, CANDLES, EWMA, LINE, MARKET, RETURNS, W, daily, hourly, query, r, rounded, sql_std, win
 from tidegauge.sources import candles as C
 from tidegauge.sources import store
@@ -310,10 +310,13 @@ def rolling_beta(spark, d):
     return features.beta(_returns(spark, d), BENCHMARK, W.medium).groupBy("open_time").agg(F.avg("beta").alias("avg_beta")).select("open_time", r("avg_beta", 7))
 
 
-@query("pca1_share_two_symbols", f"""WITH {CANDLES}, {RETURNS}, x AS (SELECT p.open_time, CASE WHEN q.log_return IS NOT NULL THEN p.log_return END AS x, CASE WHEN p.log_return IS NOT NULL THEN q.log_return END AS y
+PCA_TWO = f"""p2 AS (SELECT p.open_time, CASE WHEN q.log_return IS NOT NULL THEN p.log_return END AS x, CASE WHEN p.log_return IS NOT NULL THEN q.log_return END AS y
  FROM rt p JOIN rt q ON p.open_time = q.open_time AND p.symbol = 'click' AND q.symbol = 'view'),
-k AS (SELECT open_time, count(x) {win(72)} AS n, var_samp(x) {win(72)} AS a, var_samp(y) {win(72)} AS e, covar_samp(x, y) {win(72)} AS v FROM x)
-SELECT open_time, round(last_value(CASE WHEN n >= 18 AND a + e > 0 THEN ((a + e) / 2 + sqrt(pow((a - e) / 2, 2) + v * v)) / (a + e) END IGNORE NULLS) OVER (ORDER BY open_time), 7) AS pca1_share FROM k""")
+p3 AS (SELECT open_time, count(x) {win(72)} AS n, var_samp(x) {win(72)} AS a, var_samp(y) {win(72)} AS e, covar_samp(x, y) {win(72)} AS v FROM p2),
+ps AS (SELECT open_time, round(last_value(CASE WHEN n >= 18 AND a + e > 0 THEN ((a + e) / 2 + sqrt(pow((a - e) / 2, 2) + v * v)) / (a + e) END IGNORE NULLS) OVER (ORDER BY open_time), 7) AS pca1_share FROM p3)"""
+
+
+@query("pca1_share_two_symbols", f"WITH {CANDLES}, {RETURNS}, {PCA_TWO} SELECT open_time, pca1_share FROM ps")
 def pca1_share_two_symbols(spark, d):
     full = features.log_returns(hourly(spark, d)).where(F.col("symbol").isin("click", "view"))
     return rounded(features.pca_share(full, W.medium), T, ["pca1_share"], 7)
@@ -396,18 +399,19 @@ def rolling_quantile(spark, d):
 
 SPINE = f"""sv AS (SELECT open_time, avg(s) AS s FROM (SELECT *, {sql_std('log_return', W.short, 6, 'symbol')} AS s FROM rt) GROUP BY open_time),
 fr AS (SELECT mv.open_time, basket_return, round(market_vol, 9) AS market_vol, round(coalesce(last_value(sqrt(v) IGNORE NULLS) OVER (ORDER BY mv.open_time), market_vol), 9) AS forecast_vol,
- round(avg_pairwise_corr, 9) AS avg_pairwise_corr, round(s - market_vol, 9) AS dispersion FROM mv LEFT JOIN ew USING (open_time) JOIN ac USING (open_time) JOIN sv USING (open_time))"""
+ round(avg_pairwise_corr, 9) AS avg_pairwise_corr, round(s - market_vol, 9) AS dispersion, pca1_share FROM mv LEFT JOIN ew USING (open_time) JOIN ac USING (open_time) JOIN sv USING (open_time) LEFT JOIN ps USING (open_time))"""
 
 
 def _frame(spark, d):
-    """The columns that labels need, rounded so that equal inputs are compared with limits. Without the PCA share, the correlation stands in."""
+    """The columns that labels need, rounded so that equal inputs are compared with limits. The PCA share is that of two symbols, which SQL can follow."""
     returns = _returns(spark, d)
     market = labels.forecast_series(features.volatility_block(features.basket(returns), W))
     corr = features.average_correlation(returns, W.long)
     vols = features.asset_vols(returns, {"_s": W.short})
-    joined = market.join(corr, list(features.AT)).join(vols, list(features.AT)).withColumn("dispersion", F.col("_s") - F.col("market_vol"))
+    share = features.pca_share(returns.where(F.col("symbol").isin("click", "view")), W.medium)
+    joined = market.join(corr, list(features.AT)).join(vols, list(features.AT)).join(share, list(features.AT), "left").withColumn("dispersion", F.col("_s") - F.col("market_vol"))
     cols = ["market_vol", "forecast_vol", "avg_pairwise_corr", "dispersion"]
-    return joined.select("interval", "open_time", "basket_return", *(r(c, 9) for c in cols)).withColumn("pca1_share", F.col("avg_pairwise_corr")), returns
+    return joined.select("interval", "open_time", "basket_return", *(r(c, 9) for c in cols), r("pca1_share", 7)), returns
 
 
 def _q(x: str, q: float) -> str:
@@ -415,12 +419,12 @@ def _q(x: str, q: float) -> str:
     return f"CASE WHEN count({x}) {frame} >= 30 THEN quantile_cont({x}, {q}) {frame} END"
 
 
-REGIMES = f"""th AS (SELECT *, {_q('forecast_vol', .75)} AS a, {_q('market_vol', .75)} AS m, {_q('avg_pairwise_corr', .75)} AS ch, {_q('avg_pairwise_corr', .4)} AS cl, {_q('dispersion', .75)} AS dh FROM fr),
-rg AS (SELECT open_time, CASE WHEN a IS NULL OR m IS NULL OR ch IS NULL OR cl IS NULL OR dh IS NULL THEN 'QUIET_CORRELATED'
- WHEN (coalesce(forecast_vol, 0) >= a OR coalesce(market_vol, 0) >= m) AND coalesce(avg_pairwise_corr, 0) >= ch THEN 'SYSTEMIC_RISK'
+REGIMES = f"""th AS (SELECT *, {_q('forecast_vol', .75)} AS a, {_q('market_vol', .75)} AS m, {_q('avg_pairwise_corr', .75)} AS ch, {_q('avg_pairwise_corr', .4)} AS cl, {_q('dispersion', .75)} AS dh, {_q('pca1_share', .75)} AS ph, {_q('pca1_share', .4)} AS pl FROM fr),
+rg AS (SELECT open_time, CASE WHEN a IS NULL OR m IS NULL OR ch IS NULL OR cl IS NULL OR dh IS NULL OR ph IS NULL OR pl IS NULL THEN 'QUIET_CORRELATED'
+ WHEN (coalesce(forecast_vol, 0) >= a OR coalesce(market_vol, 0) >= m) AND coalesce(avg_pairwise_corr, 0) >= ch AND coalesce(pca1_share, 0) >= ph THEN 'SYSTEMIC_RISK'
  WHEN (coalesce(forecast_vol, 0) >= a OR coalesce(market_vol, 0) >= m) AND coalesce(avg_pairwise_corr, 0) < ch AND coalesce(dispersion, 0) >= dh THEN 'IDIOSYNCRATIC_HIGH_VOL'
- WHEN coalesce(forecast_vol, 0) <= a AND coalesce(avg_pairwise_corr, 0) <= cl THEN 'ASSET_SPECIFIC' ELSE 'QUIET_CORRELATED' END AS regime FROM th)"""
-LABELS = f"{CANDLES}, {RETURNS}, {EWMA}, {MARKET}, {PAIRS}, {AVG_CORR}, {SPINE}"
+ WHEN coalesce(forecast_vol, 0) <= a AND coalesce(avg_pairwise_corr, 0) <= cl AND coalesce(pca1_share, 0) <= pl THEN 'ASSET_SPECIFIC' ELSE 'QUIET_CORRELATED' END AS regime FROM th)"""
+LABELS = f"{CANDLES}, {RETURNS}, {EWMA}, {MARKET}, {PAIRS}, {AVG_CORR}, {PCA_TWO}, {SPINE}"
 
 
 @query("regime_labels", f"WITH {LABELS}, {REGIMES} SELECT open_time, regime FROM rg")
@@ -458,38 +462,40 @@ def forward_fill_join(spark, d):
     return joined.select("symbol", "open_time", R.forward_fill(F.col("regime"), R.expanding("symbol")).alias("regime"))
 
 
-ALIGNED = f"""fx AS (SELECT fr.open_time, fr.basket_return AS "return", lag(forecast_vol) OVER (ORDER BY fr.open_time) AS garch, lag(CASE WHEN ew.k >= 3 THEN round(sqrt(ew.v), 9) END) OVER (ORDER BY fr.open_time) AS ewma, lag(market_vol) OVER (ORDER BY fr.open_time) AS naive
- FROM fr LEFT JOIN ew USING (open_time) WHERE basket_return IS NOT NULL), al AS (SELECT * FROM fx WHERE garch > 0 AND ewma > 0 AND naive > 0),
-ls AS (SELECT open_time, "return" AS ret, garch, """ + ", ".join(
-    f"""pow("return" * "return" - {m} * {m}, 2) AS {m}_se, abs("return" * "return" - {m} * {m}) AS {m}_ae, "return" * "return" / ({m} * {m}) + ln({m} * {m}) AS {m}_q""" for m in ("garch", "ewma", "naive")
+#: The forecasts that SQL can follow: the EWMA forecast that labels use, the emitted EWMA, and the market's volatility.
+FORECASTS = ("forecast", "ewma", "naive")
+ALIGNED = f"""fx AS (SELECT fr.open_time, fr.basket_return AS "return", lag(forecast_vol) OVER (ORDER BY fr.open_time) AS forecast, lag(CASE WHEN ew.k >= 3 THEN round(sqrt(ew.v), 9) END) OVER (ORDER BY fr.open_time) AS ewma, lag(market_vol) OVER (ORDER BY fr.open_time) AS naive
+ FROM fr LEFT JOIN ew USING (open_time) WHERE basket_return IS NOT NULL), al AS (SELECT * FROM fx WHERE forecast > 0 AND ewma > 0 AND naive > 0),
+ls AS (SELECT open_time, "return" AS ret, forecast, """ + ", ".join(
+    f"""pow("return" * "return" - {m} * {m}, 2) AS {m}_se, abs("return" * "return" - {m} * {m}) AS {m}_ae, "return" * "return" / ({m} * {m}) + ln({m} * {m}) AS {m}_q""" for m in ("forecast", "ewma", "naive")
 ) + " FROM al)"
 
 
 def _pairs(spark, d):
     frame, _ = _frame(spark, d)
     smooth = features.ewma(frame, "basket_return", "_v", W.short, ["interval"]).select(*features.AT, r(F.sqrt("_v"), 9, "ewma_vol"))
-    return evaluation.aligned(frame.join(smooth, list(features.AT), "left"))
+    return evaluation.aligned(frame.join(smooth, list(features.AT), "left"), {"forecast": "forecast_vol", "ewma": "ewma_vol", "naive": "market_vol"})
 
 
-@query("walk_forward_losses", f"WITH {LABELS}, {ALIGNED} SELECT open_time, " + ", ".join(f"round({m}_se, 8) AS {m}_squared_error, round({m}_ae, 8) AS {m}_absolute_error, round({m}_q, 5) AS {m}_qlike" for m in evaluation.MODELS) + " FROM ls")
+@query("walk_forward_losses", f"WITH {LABELS}, {ALIGNED} SELECT open_time, " + ", ".join(f"round({m}_se, 8) AS {m}_squared_error, round({m}_ae, 8) AS {m}_absolute_error, round({m}_q, 5) AS {m}_qlike" for m in FORECASTS) + " FROM ls")
 def walk_forward_losses(spark, d):
-    out = evaluation.losses(_pairs(spark, d))
+    out = evaluation.losses(_pairs(spark, d), FORECASTS)
     return out.select("open_time", *(r(c, 5 if c.endswith("qlike") else 8) for c in out.columns[2:]))
 
 
 @query("walk_forward_metrics", f"WITH {LABELS}, {ALIGNED}, u AS (" + " UNION ALL ".join(
     f"""SELECT {i} AS i, '{m}' AS model, sqrt(avg(pow("return" * "return" - {m} * {m}, 2))) AS rmse, avg(abs("return" * "return" - {m} * {m})) AS mae, avg({m} * {m} - "return" * "return") AS bias, avg("return" * "return" / ({m} * {m}) + ln({m} * {m})) AS qlike, covar_samp({m}, abs("return")) / nullif(stddev_samp({m}) * stddev_samp(abs("return")), 0) AS corr, count(*) AS n FROM al"""
-    for i, m in enumerate(evaluation.MODELS)
+    for i, m in enumerate(FORECASTS)
 ) + ") SELECT model, round(rmse, 7) AS rmse, round(mae, 7) AS mae, round(bias, 7) AS bias, round(qlike, 6) AS qlike, round(corr, 6) AS corr, n, row_number() OVER (ORDER BY qlike, i) = 1 AS best FROM u")
 def walk_forward_metrics(spark, d):
-    out = evaluation.metrics(_pairs(spark, d))
+    out = evaluation.metrics(_pairs(spark, d), FORECASTS)
     return out.select("model", r("rmse", 7), r("mae", 7), r("bias", 7), r("qlike", 6), r("corr", 6), "n", "best")
 
 
-@query("calibration_deciles", f"""WITH {LABELS}, {ALIGNED}, ed AS (SELECT list_sort(list_distinct(quantile_cont(garch, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1.0]))) AS e FROM al)
-SELECT CAST(greatest(1, len(list_filter(e, lambda v: v < garch))) AS INTEGER) AS bucket, round(avg(garch), 8) AS forecast_vol, round(avg(abs("return")), 8) AS realized_abs_return, count(*) AS observations FROM al, ed GROUP BY 1""")
+@query("calibration_deciles", f"""WITH {LABELS}, {ALIGNED}, ed AS (SELECT list_sort(list_distinct(quantile_cont(forecast, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1.0]))) AS e FROM al)
+SELECT CAST(greatest(1, len(list_filter(e, lambda v: v < forecast))) AS INTEGER) AS bucket, round(avg(forecast), 8) AS forecast_vol, round(avg(abs("return")), 8) AS realized_abs_return, count(*) AS observations FROM al, ed GROUP BY 1""")
 def calibration_deciles(spark, d):
-    return evaluation.calibration(_pairs(spark, d)).select("bucket", r("forecast_vol"), r("realized_abs_return"), "observations")
+    return evaluation.calibration(_pairs(spark, d), "forecast").select("bucket", r("forecast_vol"), r("realized_abs_return"), "observations")
 
 
 @query("vol_by_regime", f"""WITH {LABELS}, {REGIMES}, {ALIGNED} SELECT regime, round(stddev_samp("return"), 8) AS realized_vol, round(avg(abs("return")), 8) AS mean_abs_return, count(*) AS observations FROM al JOIN rg USING (open_time) GROUP BY regime""")
@@ -524,7 +530,7 @@ def jarque_bera(spark, d):
     return evaluation.jarque_bera(_basket(spark, d), "basket_return").select(r("statistic", 4), r("skewness", 6), r("kurtosis", 6), "n")
 
 
-HAC = """hd AS (SELECT open_time, garch_q - naive_q AS x, garch_q - naive_q - avg(garch_q - naive_q) OVER () AS d FROM ls),
+HAC = """hd AS (SELECT open_time, forecast_q - naive_q AS x, forecast_q - naive_q - avg(forecast_q - naive_q) OVER () AS d FROM ls),
 hl AS (SELECT x, d, """ + ", ".join(f"lag(d, {k}) OVER (ORDER BY open_time) AS d{k}" for k in range(1, 13)) + """ FROM hd),
 hs AS (SELECT count(*) AS n, avg(x) AS m, greatest(1, least(12, CAST(floor(sqrt(count(*))) AS INTEGER))) AS l, sum(d * d) AS g0, """ + ", ".join(f"coalesce(sum(d * d{k}), 0) AS g{k}" for k in range(1, 13)) + """ FROM hl),
 hv AS (SELECT n, m, g0 / n + """ + " + ".join(f"CASE WHEN l >= {k} THEN 2 * (1 - {k} / (l + 1.0)) * g{k} / n ELSE 0 END" for k in range(1, 13)) + " AS v FROM hs)"
@@ -532,20 +538,20 @@ hv AS (SELECT n, m, g0 / n + """ + " + ".join(f"CASE WHEN l >= {k} THEN 2 * (1 -
 
 @query("diebold_mariano", f"WITH {LABELS}, {ALIGNED}, {HAC} SELECT n, round(m, 5) AS mean, round(CASE WHEN v > 0 THEN m / sqrt(v / n) ELSE 0 END, 4) AS statistic FROM hv")
 def diebold_mariano(spark, d):
-    diff = evaluation.losses(_pairs(spark, d)).withColumn("x", F.col("garch_qlike") - F.col("naive_qlike"))
+    diff = evaluation.losses(_pairs(spark, d), FORECASTS).withColumn("x", F.col("forecast_qlike") - F.col("naive_qlike"))
     return evaluation.hac_mean(diff, "x").select("n", r("mean", 5), r("statistic", 4))
 
 
-@query("mincer_zarnowitz", f"""WITH {LABELS}, {ALIGNED}, k AS (SELECT count(*) AS n, regr_sxx("return" * "return", garch * garch) AS sxx, regr_syy("return" * "return", garch * garch) AS syy, regr_sxy("return" * "return", garch * garch) AS sxy FROM al)
+@query("mincer_zarnowitz", f"""WITH {LABELS}, {ALIGNED}, k AS (SELECT count(*) AS n, regr_sxx("return" * "return", forecast * forecast) AS sxx, regr_syy("return" * "return", forecast * forecast) AS syy, regr_sxy("return" * "return", forecast * forecast) AS sxy FROM al)
 SELECT n, round(sxy / sxx, 5) AS slope, round((sxy / sxx - 1) / sqrt((syy - sxy / sxx * sxy) / (n - 2) / sxx), 4) AS statistic FROM k WHERE n >= 20""")
 def mincer_zarnowitz(spark, d):
-    return evaluation.mincer_zarnowitz(_pairs(spark, d)).select("n", r("slope", 5), r("statistic", 4))
+    return evaluation.mincer_zarnowitz(_pairs(spark, d), "forecast").select("n", r("slope", 5), r("statistic", 4))
 
 
-@query("kupiec_lr", f"""WITH {LABELS}, {ALIGNED}, k AS (SELECT count(*) AS n, count(*) FILTER ("return" < {normal_ppf(0.05)!r} * garch) AS x FROM al), p AS (SELECT *, least(greatest(x / n, 1e-12), 1 - 1e-12) AS p FROM k)
+@query("kupiec_lr", f"""WITH {LABELS}, {ALIGNED}, k AS (SELECT count(*) AS n, count(*) FILTER ("return" < {normal_ppf(0.05)!r} * forecast) AS x FROM al), p AS (SELECT *, least(greatest(x / n, 1e-12), 1 - 1e-12) AS p FROM k)
 SELECT n, x, round(greatest(-2 * (x * ln(0.05) + (n - x) * ln(0.95) - x * ln(p) - (n - x) * ln(1 - p)), 0), 6) AS statistic FROM p""")
 def kupiec_lr(spark, d):
-    return evaluation.kupiec(_pairs(spark, d)).select("n", "x", r("statistic", 6))
+    return evaluation.kupiec(_pairs(spark, d), "forecast").select("n", "x", r("statistic", 6))
 
 
 @query("max_drawdown", f"WITH {CANDLES}, {RETURNS} SELECT round(min(basket_price / nullif(m, 0) - 1), 7) AS max_drawdown FROM (SELECT basket_price, max(basket_price) OVER (ORDER BY open_time) AS m FROM b)")
@@ -568,11 +574,35 @@ def series_hash(spark, d):
     return evaluation.content_hash(_basket(spark, d), "basket_return").select("hash")
 
 
-@query("diagnostic_tests")
-def diagnostic_tests(spark, d):
+def _garch(spark, d):
+    """The frame with garch_vol, the history of GARCH forecasts, and ewma_vol; and the last fit's parameters."""
     frame, _ = _frame(spark, d)
+    fitted = lab.garch_fits(frame, ["interval"], "basket_return").persist()  # at most twelve rows, each a fit
     smooth = features.ewma(frame, "basket_return", "_v", W.short, ["interval"]).select(*features.AT, F.sqrt("_v").alias("ewma_vol"))
-    return evaluation.diagnostics(frame.join(smooth, list(features.AT), "left"), {"alpha[1]": 0.08, "beta[1]": 0.9, "nu": 8.0})
+    history = lab.garch_history(frame, fitted, ["interval"], "basket_return").withColumnRenamed("volatility", "garch_vol")
+    return frame.join(smooth, list(features.AT), "left").join(history, list(features.AT), "left"), fitted
+
+
+GARCH = {"garch": "garch_vol", "ewma": "ewma_vol", "naive": "market_vol"}
+
+
+@query("garch_history")
+def garch_history(spark, d):
+    return _garch(spark, d)[0].select("open_time", r("garch_vol", 5), "fitted")
+
+
+@query("walk_forward_garch")
+def walk_forward_garch(spark, d):
+    out = evaluation.metrics(evaluation.aligned(_garch(spark, d)[0], GARCH))
+    return out.select("model", r("rmse", 5), r("mae", 5), r("qlike", 4), "n", "best")
+
+
+@query("diagnostic_tests")
+def diagnostic_tests(spark, d):
+    frame, fitted = _garch(spark, d)
+    last = fitted.orderBy(F.desc("refit")).select("alpha", "beta", "nu").first()  # the parameters of one fit
+    params = {} if last is None else {"alpha[1]": last["alpha"], "beta[1]": last["beta"], "nu": last["nu"]}
+    return evaluation.diagnostics(frame.select(*features.AT, "basket_return", *GARCH.values()), params)
 
 
 @query("kline_json_parse", f"WITH {CANDLES} SELECT {_ALL} FROM c")

@@ -13,8 +13,8 @@ from tidegauge.sources.candles import CANDLE_SCHEMA, KEY, closed_only
 
 
 def keep_last(df: DataFrame, seq: str = "ingest_seq") -> DataFrame:
-    """One row per (symbol, interval, open_time): the one that came in last."""
-    w = Window.partitionBy(*KEY).orderBy(F.desc(seq))
+    """One row per (symbol, interval, open_time): the one that came in last; of those that came in together the one with most volume, then the greatest."""
+    w = Window.partitionBy(*KEY).orderBy(F.desc(seq), *(F.desc_nulls_last(c) for c in ("close_time", "volume", "close", "high", "low", "open")))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

@@ -31,15 +31,18 @@ def store_closed(
 ) -> StreamingQuery:
     """Upserts closed candles, however late or often they come; then calls after(stored candles, batch id), once a batch.
 
-    A batch that is run again after a failure writes the same rows under the same sequence number.
+    Sequence numbers go on from the greatest stored one, so corrections win with a new checkpoint too. A batch that is run again after a
+    failure writes the same rows once more.
     """
+    stored = store.read_candles(candles.sparkSession, root).agg(F.max("ingest_seq")).first()[0]
+    base = -1 if stored is None else stored
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
             if not batch.where("is_closed").isEmpty():
-                store.upsert(spark, root, batch, batch_id)
+                store.upsert(spark, root, batch, base + 1 + batch_id)
                 if after is not None:
                     after(store.read_candles(spark, root), batch_id)
         finally:
