@@ -235,11 +235,13 @@ def marked(
         contents = hot.groupBy("anchor", "h").agg(F.min(me).alias("first"), F.count("*").alias("copies"))
         kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
         told = repeats.join(written(contents.join(kinds, "anchor")), ["anchor", "h"], "left")
-        copied = told.where("hot").where(me != F.col("first") if once else F.col("copies") > 1)
-        copied = copied.select(*row, F.floor(F.col("place") / MOST).alias("start"), (F.col("place") % MOST).cast("int").alias("n"))
-        firsts = (me == F.col("first")) & (F.col("kinds") > 1)
-        whole = told.where(~F.col("hot") | (firsts & (F.col("kinds") <= HOT)))
-        windows = with_spans(told.where(F.col("hot") & firsts & (F.col("kinds") > HOT))).mapInArrow(single, "window binary, doc_id long, v long, start long")
+        first = (me == F.col("first")) & (F.col("kinds") > 1)
+        look = F.when(~F.col("hot"), 1).when(first, F.when(F.col("kinds") <= HOT, 1).otherwise(2)).otherwise(0)
+        copy = F.col("hot") & (me != F.col("first") if once else F.col("copies") > 1)
+        told = written(told.select("anchor", *row, "place", look.alias("look"), copy.alias("copy")))  # one join for all branches
+        copied = told.where("copy").select(*row, F.floor(F.col("place") / MOST).alias("start"), (F.col("place") % MOST).cast("int").alias("n"))
+        whole = told.where("look = 1")
+        windows = with_spans(told.where("look = 2")).mapInArrow(single, "window binary, doc_id long, v long, start long")
         at = F.struct("doc_id", "v", "start")
         many = written(windows.groupBy("window").agg(F.count("*").alias("many"), F.min(at).alias("first")).where("many > 1"))
         again = windows.join(many, "window").where(at != F.col("first") if once else F.lit(True)).select(*row, "start", F.lit(1).alias("n"))
