@@ -236,9 +236,9 @@ def marked(
         kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
         told = repeats.join(written(contents.join(kinds, "anchor")), ["anchor", "h"], "left")
         first = (me == F.col("first")) & (F.col("kinds") > 1)
-        look = F.when(~F.col("hot"), 1).when(first, F.when(F.col("kinds") <= HOT, 1).otherwise(2)).otherwise(0)
+        how = F.when(~F.col("hot"), 1).when(first, F.when(F.col("kinds") <= HOT, 1).otherwise(2)).otherwise(0)
         copy = F.col("hot") & (me != F.col("first") if once else F.col("copies") > 1)
-        told = written(told.select("anchor", *row, "place", look.alias("look"), copy.alias("copy")))  # one join for all branches
+        told = written(told.select("anchor", *row, "place", how.alias("look"), copy.alias("copy")))  # one join for all branches
         copied = told.where("copy").select(*row, F.floor(F.col("place") / MOST).alias("start"), (F.col("place") % MOST).cast("int").alias("n"))
         whole = told.where("look = 1")
         windows = with_spans(told.where("look = 2")).mapInArrow(single, "window binary, doc_id long, v long, start long")
