@@ -12,7 +12,7 @@ The plan, bounded by the capacity alone, deals rank ranges of each length to bin
 length in hash buckets, so that a length which a third of the corpus shares is ranked by many tasks.
 
 Defined results: a null or empty text is the end id alone (one piece of length 1); equal documents are packed like any
-others; an empty table gives no rows; other columns are not carried.
+others, so are rows that repeat a doc_id or have none; an empty table gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 for k, i in enumerate(range(0, len(ids), width)):
                     part = ids[i : i + width]
                     rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
-            cols = [np.array(c, t) for c, t in zip(zip(*rows), ("i8", "i4", "i8", "i8", "i8"))] if rows else [[]] * 5
+            cols = list(zip(*rows)) or [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
