@@ -76,6 +76,30 @@ def shares(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy("interval", col).agg(F.count("*").alias("count")).withColumn("share", F.col("count") / F.sum("count").over(everything))
 
 
+def concentration(df: DataFrame, col: str, usual: str | None = None, by: str = "interval") -> DataFrame:
+    """by, n, max_share, unusual: the greatest share of one label, and how many rows have another label than the usual one; NULL labels count as usual."""
+    counts = df.groupBy(by, F.col(col).alias("_l")).agg(F.count("*").alias("_n"))
+    known = F.sum(F.when(F.col("_l").isNotNull(), F.col("_n")))
+    most = F.max(F.when(F.col("_l").isNotNull(), F.col("_n")))
+    unusual = F.coalesce(F.sum(F.when(F.col("_l") != F.lit(usual), F.col("_n"))), F.lit(0))
+    return counts.groupBy(by).agg(F.coalesce(known, F.lit(0)).alias("n"), R.ratio(most, known).alias("max_share"), unusual.alias("unusual"), F.sum("_n").alias("rows"))
+
+
+def forecast_losses(pairs: DataFrame, forecast: str = "garch", at_least: int = 10) -> DataFrame:
+    """interval, name (MSE, MAE, QLIKE), n, statistic: mean losses of a variance forecast against squared returns; none below ten pairs."""
+    rv, fv = F.col("return") * F.col("return"), F.col(forecast) * F.col(forecast)
+    one = pairs.groupBy("interval").agg(F.count("*").alias("n"), F.avg((rv - fv) * (rv - fv)).alias("MSE"), F.avg(F.abs(rv - fv)).alias("MAE"), F.avg(qlike(rv, fv)).alias("QLIKE"))
+    each = F.array(*(F.struct(F.lit(m).alias("name"), F.col(m).alias("statistic")) for m in ("MSE", "MAE", "QLIKE")))
+    return one.where(F.col("n") >= at_least).select("interval", "n", F.inline(each))
+
+
+def qlike_ranking(rows: DataFrame, by: list[str] | None = None, tie: str = "candidate") -> DataFrame:
+    """The rows with rank from 1 by avg_qlike; those without a finite one come last."""
+    known = R.finite(F.col("avg_qlike"))
+    w = R.Window.partitionBy(*(by or [])).orderBy(known.asc_nulls_last(), tie)
+    return rows.withColumn("rank", F.row_number().over(w))
+
+
 def _centred(df: DataFrame, x: str, by: str) -> DataFrame:
     every = R.Window.partitionBy(by)
     return df.where(F.col(x).isNotNull()).withColumn("_d", F.col(x) - F.avg(x).over(every)).withColumn("_n", F.count(x).over(every))
@@ -207,28 +231,116 @@ def with_p_value(df: DataFrame, kind: str, degrees: str = "1", approx: bool = Fa
     return df.withColumn("p_value", tail("statistic", F.expr(degrees).cast("double")))
 
 
-def diagnostics(frame: DataFrame, params: dict[str, float] | None = None, alpha: float = 0.05) -> DataFrame:
-    """All tests on one frame (basket_return, garch_vol, ewma_vol, market_vol): group, name, statistic, p_value, decision, n."""
-    pairs = aligned(frame).persist()  # a row per bar, which every test below reads; lost blocks are computed again
-    z = pairs.withColumn("z", F.col("return") / F.col("garch")).withColumn("z2", F.col("z") * F.col("z"))
-    loss = losses(pairs).withColumn("vs_ewma", F.col("garch_qlike") - F.col("ewma_qlike")).withColumn("vs_naive", F.col("garch_qlike") - F.col("naive_qlike"))
-    tests = [
-        ("residual", "Ljung-Box residuals", with_p_value(ljung_box(z, "z", 10), "chi2", "10"), 20, True),
-        ("residual", "Ljung-Box squared residuals", with_p_value(ljung_box(z, "z2", 10), "chi2", "10"), 20, True),
-        ("residual", "ARCH-LM", arch_lm(z, "z", 10), 25, True),
-        ("forecast", "Diebold-Mariano vs EWMA", with_p_value(hac_mean(loss, "vs_ewma"), "normal"), 20, False),
-        ("forecast", "Mincer-Zarnowitz", with_p_value(mincer_zarnowitz(pairs), "t", "n - 2"), 20, True),
-        ("risk", "Kupiec VaR coverage", with_p_value(kupiec(pairs), "chi2", "1"), 30, True),
-        ("validation", "GARCH vs naive QLIKE", with_p_value(hac_mean(loss, "vs_naive"), "normal"), 20, False),
-    ]
-    bad, good = {True: ("fail diagnostic", "pass diagnostic"), False: ("reject null", "do not reject null")}, None
-    out = None
-    for group, name, df, least, reject_bad in tests:
-        enough = F.col("n") >= least
-        yes, no = bad[reject_bad]
-        text = F.when(~enough, "insufficient sample").when(F.col("p_value").isNull(), "diagnostic only").when(F.col("p_value") < alpha, yes).otherwise(no)
-        row = df.select("interval", F.lit(group).alias("test_group"), F.lit(name).alias("name"), F.when(enough, F.col("statistic")).alias("statistic"), F.when(enough, F.col("p_value")).alias("p_value"), text.alias("decision"), F.col("n").cast("long").alias("n"))
-        out = row if out is None else out.unionByName(row)
+LAGS, HAC_LAGS, VAR_LEVEL = 10, 12, 0.05
+
+
+def _sums(pairs: DataFrame) -> DataFrame:
+    """A row per interval with every sum that the tests of residuals, forecasts and risk need: one pass over the pairs, one aggregation."""
+    w, every = R.ordered("interval"), R.Window.partitionBy("interval")
+    rv = F.col("return") * F.col("return")
+    fv = {m: F.col(m) * F.col(m) for m in MODELS}
+    z = F.col("return") / F.col("garch")
+    loss = {m: qlike(rv, v) for m, v in fv.items()}
+    rows = pairs.select(*pairs.columns, z.alias("z"), (z * z).alias("s"), (loss["garch"] - loss["ewma"]).alias("e"), (loss["garch"] - loss["naive"]).alias("v"))
+    rows = rows.select("*", *((F.col(x) - F.avg(x).over(every)).alias(f"d{x}") for x in "zsev"))
+    lags = {"dz": LAGS, "ds": LAGS, "de": HAC_LAGS, "dv": HAC_LAGS, "s": LAGS}
+    rows = rows.select("*", F.col("s").alias("s_0"), *(F.lag(x, k).over(w).alias(f"{x}_{k}") for x, most in lags.items() for k in range(1, most + 1)))
+    out = [F.count("*").alias("n"), F.avg("e").alias("e"), F.avg("v").alias("v"), F.count_if(F.col("return") < tails.normal_ppf(VAR_LEVEL) * F.col("garch")).alias("below")]
+    for x in ("dz", "ds", "de", "dv"):
+        out += [F.sum(F.col(x) * F.col(x)).alias(f"{x}_0"), *(F.sum(F.col(x) * F.col(f"{x}_{k}")).alias(f"{x}_{k}") for k in range(1, lags[x] + 1))]
+    terms = [F.lit(1.0), *(F.col(f"s_{k}") for k in range(1, LAGS + 1)), F.col("s_0")]
+    full = F.col(f"s_{LAGS}").isNotNull()
+    out += [F.sum(F.when(full, a * b)).alias(f"a_{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j]
+    g = fv["garch"]
+    out += [F.regr_sxx(rv, g).alias("sxx"), F.regr_syy(rv, g).alias("syy"), F.regr_sxy(rv, g).alias("sxy")]
+    out += [F.avg((rv - g) * (rv - g)).alias("mse"), F.avg(F.abs(rv - g)).alias("mae"), F.avg(loss["garch"]).alias("qlike")]
+    return rows.groupBy("interval").agg(*out)
+
+
+def _tests(r: dict) -> list[tuple]:
+    """group, name, statistic, p_value, n, least n, whether a small p is bad, of one interval's sums."""
+    n = int(r["n"])
+    known = lambda x: 0.0 if x is None or math.isnan(x) else float(x)
+
+    def portmanteau(x: str) -> tuple:
+        total = known(r[f"{x}_0"])
+        if total <= 0 or n <= LAGS:
+            return None, None
+        q = n * (n + 2) * sum((known(r[f"{x}_{k}"]) / total) ** 2 / (n - k) for k in range(1, LAGS + 1))
+        return q, tails.chi2_sf(q, LAGS)
+
+    def arch() -> tuple:
+        size = LAGS + 2
+        m = np.array([[known(r[f"a_{min(i, j)}_{max(i, j)}"]) for j in range(size)] for i in range(size)])
+        if m[0, 0] == 0:
+            return None, None, 0
+        total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+        beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+        q = m[0, 0] * (max(0.0, 1 - (m[-1, -1] - beta @ m[:-1, -1]) / total) if total > 0 else 0.0)
+        return q, tails.chi2_sf(q, LAGS), int(m[0, 0])
+
+    def hac(mean: str, x: str) -> tuple:
+        most = max(1, min(HAC_LAGS, math.isqrt(n)))
+        var = (known(r[f"{x}_0"]) + sum(2 * (1 - k / (most + 1)) * known(r[f"{x}_{k}"]) for k in range(1, most + 1))) / n
+        t = known(r[mean]) / math.sqrt(var / n) if n > 1 and var > 0 else 0.0
+        return t, 2 * tails.normal_sf(abs(t))
+
+    def slope() -> tuple:
+        if n < 3 or known(r["sxx"]) <= 0:
+            return None, None
+        b = known(r["sxy"]) / r["sxx"]
+        se = math.sqrt(max(known(r["syy"]) - b * known(r["sxy"]), 0.0) / (n - 2) / r["sxx"])
+        t = (b - 1) / se if se > 0 else 0.0
+        return t, 2 * tails.t_sf(abs(t), n - 2)
+
+    def coverage() -> tuple:
+        x = int(r["below"])
+        p = min(max(x / n, 1e-12), 1 - 1e-12)
+        lr = max(-2 * (x * math.log(VAR_LEVEL / p) + (n - x) * math.log((1 - VAR_LEVEL) / (1 - p))), 0.0)
+        return lr, tails.chi2_sf(lr, 1)
+
+    lm = arch()
+    return [
+        ("residual", "Ljung-Box residuals", *portmanteau("dz"), n, 20, True), ("residual", "Ljung-Box squared residuals", *portmanteau("ds"), n, 20, True),
+        ("residual", "ARCH-LM", *lm[:2], lm[2], 25, True), *(("forecast", m.upper(), r[m], None, n, 10, True) for m in ("mse", "mae", "qlike")),
+        ("forecast", "Diebold-Mariano vs EWMA", *hac("e", "de"), n, 20, False), ("forecast", "Mincer-Zarnowitz", *slope(), n, 20, True),
+        ("risk", "Kupiec VaR coverage", *coverage(), n, 30, True), ("validation", "GARCH vs naive QLIKE", *hac("v", "dv"), n, 20, False),
+    ]
+
+
+def diagnostics(frame: DataFrame, params: dict[str, float] | None = None, alpha: float = 0.05, labelled: DataFrame | None = None) -> DataFrame:
+    """All tests on one frame (basket_return, garch_vol, ewma_vol, market_vol): group, name, statistic, p_value, decision, n.
+
+    labelled (interval, regime, shock_type) adds how concentrated regimes are and how many shocks there were.
+    """
+
+    def judge(frames):
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                for group, name, stat, p, n, least, bad in _tests(r):
+                    if n < least:
+                        stat, p, text = None, None, "insufficient sample"
+                    elif p is None:
+                        text = "diagnostic only"
+                    elif p < alpha:
+                        text = "fail diagnostic" if bad else "reject null"
+                    else:
+                        text = "pass diagnostic" if bad else "do not reject null"
+                    out.append((r["interval"], group, name, stat, p, text, n))
+            yield pd.DataFrame(out, columns=["interval", "test_group", "name", "statistic", "p_value", "decision", "n"])
+
+    schema = "interval string, test_group string, name string, statistic double, p_value double, decision string, n long"
+    out = _sums(aligned(frame)).mapInPandas(judge, schema)
+    if labelled is not None:
+        pair = lambda name, stat, n: F.struct(F.lit(name).alias("name"), stat.cast("double").alias("statistic"), n.cast("long").alias("n"))
+        counts = labelled.groupBy("interval", "regime", "shock_type").agg(F.count("*").alias("k"))
+        of_regime = F.sum(F.when(F.col("regime").isNotNull(), F.col("k")))
+        each = counts.withColumn("_r", F.when(F.col("regime").isNotNull(), F.sum("k").over(R.Window.partitionBy("interval", "regime"))))
+        got = each.groupBy("interval").agg(F.max("_r").alias("most"), F.coalesce(of_regime, F.lit(0)).alias("m"), F.coalesce(F.sum(F.when(F.col("shock_type") != "NORMAL", F.col("k"))), F.lit(0)).alias("shocks"), F.sum("k").alias("rows"))
+        rows = got.select("interval", F.inline(F.array(pair("Regime concentration", R.ratio(F.col("most"), F.col("m")), F.col("m")), pair("Shock count", F.col("shocks"), F.col("rows")))))
+        text = F.when(F.col("statistic").isNull(), "insufficient sample").otherwise("diagnostic only")
+        out = out.unionByName(rows.select("interval", F.lit("regime").alias("test_group"), "name", "statistic", F.lit(None).cast("double").alias("p_value"), text.alias("decision"), "n"))
     if params is not None:
         found = lambda part: next((v for k, v in params.items() if part in k.lower()), None)
         a, b, nu = found("alpha"), found("beta"), found("nu")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -475,6 +476,23 @@ def garch_forecasts(series: DataFrame, by: list[str], value: str = "y", span: in
     return series.select(*by, "open_time", value).groupBy(*by).applyInPandas(run, f"{keys}, model string, degraded boolean, volatility double, alpha double, beta double, nu double")
 
 
+def forecast_service(returns: DataFrame, every: int = 24) -> DataFrame:
+    """garch_forecasts of each symbol and of BASKET, their mean, with refit_countdown: the bars until the next fit, one being due every `every` bars.
+
+    returns: symbol, open_time, log_return.
+    """
+    each = returns.select("symbol", "open_time", F.col("log_return").alias("y"))
+    market = each.groupBy("open_time").agg(F.avg("y").alias("y")).select(F.lit("BASKET").alias("symbol"), "open_time", "y")
+    both = each.unionByName(market).where(F.col("y").isNotNull())
+    left = both.groupBy("symbol").agg((every - 1 - (F.count("*") - 1) % every).cast("int").alias("refit_countdown"))
+    return garch_forecasts(both, ["symbol"]).join(left, "symbol")
+
+
+def selection_due(last: datetime | None, now: datetime, days: int = 7) -> bool:
+    """Whether models are to be selected again: at first, and when the last selection is a week old."""
+    return last is None or now - last >= timedelta(days=days)
+
+
 def garch_fits(series: DataFrame, by: list[str], value: str = "y", every: int = 24) -> DataFrame:
     """by, refit (the last value's index), volatility, alpha, beta, nu: the fits of a history, at most REFITS for each series, FIT_LEAST values at least.
 

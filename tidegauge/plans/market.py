@@ -576,7 +576,7 @@ def series_hash(spark, d):
 
 def _garch(spark, d):
     """The frame with garch_vol, the history of GARCH forecasts, and ewma_vol; and the last fit's parameters."""
-    frame, _ = _frame(spark, d)
+    frame = _frame(spark, d)[0].persist()  # a row per bar, read by the fits, the history and the labels
     fitted = lab.garch_fits(frame, ["interval"], "basket_return").persist()  # at most twelve rows, each a fit
     smooth = features.ewma(frame, "basket_return", "_v", W.short, ["interval"]).select(*features.AT, F.sqrt("_v").alias("ewma_vol"))
     history = lab.garch_history(frame, fitted, ["interval"], "basket_return").withColumnRenamed("volatility", "garch_vol")
@@ -602,7 +602,8 @@ def diagnostic_tests(spark, d):
     frame, fitted = _garch(spark, d)
     last = fitted.orderBy(F.desc("refit")).select("alpha", "beta", "nu").first()  # the parameters of one fit
     params = {} if last is None else {"alpha[1]": last["alpha"], "beta[1]": last["beta"], "nu": last["nu"]}
-    return evaluation.diagnostics(frame.select(*features.AT, "basket_return", *GARCH.values()), params)
+    labelled = labels.regimes(labels.shocks(frame.drop("garch_vol", "fitted"), _returns(spark, d))).select("interval", "regime", "shock_type")
+    return evaluation.diagnostics(frame.select(*features.AT, "basket_return", *GARCH.values()), params, labelled=labelled)
 
 
 @query("kline_json_parse", f"WITH {CANDLES} SELECT {_ALL} FROM c")

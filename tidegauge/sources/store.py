@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,6 +50,12 @@ def upsert(spark: SparkSession, root: str, new: DataFrame, seq: int) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def next_seq(spark: SparkSession, root: str) -> int:
+    """The sequence number after the greatest stored one."""
+    last = read_candles(spark, root).agg(F.max("ingest_seq")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def save_frame(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -57,6 +64,44 @@ def load_frame(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_artifacts(frames: dict[str, DataFrame | None], root: str) -> list[str]:
+    """Writes each frame under its name, such as "features/features.parquet"; returns the names written. What fails is logged and left out."""
+    written = []
+    for name, df in frames.items():
+        if df is not None:
+            try:
+                save_frame(df, f"{root.rstrip('/')}/{name}")
+                written.append(name)
+            except Exception as e:  # an analysis goes on without its files
+                logging.getLogger(__name__).warning("%s wasn't written: %s", name, e)
+    return written
+
+
+class Log:
+    """Messages in a table, of which readers see the last ones."""
+
+    SCHEMA = "seq long, at timestamp, message string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/log"
+
+    def _all(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def write(self, *messages: str) -> None:
+        last = self._all().agg(F.max("seq")).first()[0]
+        rows = self.spark.createDataFrame([((-1 if last is None else last) + i, m) for i, m in enumerate(messages, 1)], "seq long, message string")
+        rows.select("seq", F.current_timestamp().alias("at"), "message").coalesce(1).write.mode("append").parquet(self.path)
+
+    def tail(self, n: int = 300) -> DataFrame:
+        return self._all().orderBy(F.desc("seq")).limit(n)
+
+
 class Runs:
     """Runs and their records: one status table (append only, last row counts) and one table per kind of record."""
 
@@ -85,6 +130,19 @@ class Runs:
         w = Window.partitionBy("run_id").orderBy(F.desc("seq"))
         return self.statuses().withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
+    def load(self, run_id: str) -> dict:
+        """run_id, spec and status of one run; a run that isn't there is a KeyError."""
+        rows = self.statuses().where(F.col("run_id") == run_id)
+        got = rows.agg(F.max_by("status", "seq").alias("status"), F.max_by("spec", F.when(F.col("spec").isNotNull(), F.col("seq"))).alias("spec")).first()
+        if got["status"] is None:
+            raise KeyError(run_id)
+        return {"run_id": run_id, "status": got["status"], "spec": json.loads(got["spec"] or "{}")}
+
+    def latest(self, kind: str, run_id: str, order: str) -> dict | None:
+        """The last record of a kind."""
+        row = self.tail(kind, run_id, 1, order).first()
+        return None if row is None else row.asDict(recursive=True)
+
     def interrupt_unfinished(self) -> int:
         """Marks runs that are neither completed nor failed as interrupted."""
         open_runs = [r["run_id"] for r in self.list().where(~F.col("status").isin("completed", "failed", "interrupted")).select("run_id").collect()]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,15 +36,14 @@ def store_closed(
     Sequence numbers go on from the greatest stored one, so corrections win with a new checkpoint too. A batch that is run again after a
     failure writes the same rows once more.
     """
-    stored = store.read_candles(candles.sparkSession, root).agg(F.max("ingest_seq")).first()[0]
-    base = -1 if stored is None else stored
+    base = store.next_seq(candles.sparkSession, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
             if not batch.where("is_closed").isEmpty():
-                store.upsert(spark, root, batch, base + 1 + batch_id)
+                store.upsert(spark, root, batch, base + batch_id)
                 if after is not None:
                     after(store.read_candles(spark, root), batch_id)
         finally:
@@ -51,6 +52,37 @@ def store_closed(
     return candles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def wanted(stored: DataFrame, symbols: list[str], interval: str, start: datetime, end: datetime) -> dict[datetime, list[str]]:
+    """Symbols by the time their history is to be fetched from: the bar after the last stored one, not before start. Those that reach end are left out."""
+    names = [s.upper() for s in symbols]
+    step = F.expr(f"interval {interval_seconds(interval)} seconds")
+    known = stored.where((F.col("interval") == interval) & F.col("symbol").isin(names)).groupBy("symbol").agg((F.max("open_time") + step).alias("next"))
+    after = {r["symbol"]: r["next"] for r in known.collect()}  # a row per symbol asked for
+    out: dict[datetime, list[str]] = {}
+    for s in names:
+        at = max(after.get(s, start), start)
+        if at <= end:
+            out.setdefault(at, []).append(s)
+    return out
+
+
+def backfill(spark: SparkSession, root: str, symbols: list[str], interval: str, start: datetime, end: datetime, fetch: Callable[[list[str], datetime, datetime], DataFrame]) -> str:
+    """Stores the bars up to end that the store lacks, then tells the mode to go live with: LIVE, or DEGRADED if fetching failed or nothing is stored.
+
+    fetch(symbols, start, end) returns candles; times are without zone, in UTC. A stream started afterwards takes over: bars that come twice are one.
+    """
+    mode = "LIVE"
+    try:
+        for at, names in wanted(store.read_candles(spark, root), symbols, interval, start, end).items():
+            store.upsert(spark, root, fetch(names, at, end), store.next_seq(spark, root))
+    except Exception as e:  # the network may be away; what is stored can still be used
+        logging.getLogger(__name__).warning("history wasn't fetched: %s", e)
+        mode = "DEGRADED"
+    if store.read_candles(spark, root, symbols, interval).isEmpty():
+        mode = "DEGRADED"
+    return mode
+
+
 def tail(candles: DataFrame, interval: str, bars: int) -> DataFrame:
     """The last bars of the stored candles: what an incremental recompute needs, the longest window and its warm-up."""
     newest = candles.agg(F.max("open_time").alias("_newest"))
@@ -100,9 +132,10 @@ def running_ewma(returns: DataFrame, span: int, refit_every: int = 0) -> DataFra
 
 
 class Status(StreamingQueryListener):
-    """The mode of each query: LIVE while it makes progress, PAUSED when stopped, ERROR after a failure."""
+    """The mode of each query: LIVE while it makes progress (DEGRADED if its history is), PAUSED when stopped, ERROR after a failure."""
 
-    def __init__(self) -> None:
+    def __init__(self, mode: str = "LIVE") -> None:
+        self.running = mode
         self.mode: dict[str, str] = {}
         self.rows: dict[str, int] = {}
 
@@ -111,7 +144,7 @@ class Status(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         key = str(event.progress.id)
-        self.mode[key] = "LIVE"
+        self.mode[key] = self.running
         self.rows[key] = self.rows.get(key, 0) + (event.progress.numInputRows or 0)
 
     def onQueryIdle(self, event) -> None:
