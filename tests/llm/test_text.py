@@ -537,6 +537,12 @@ def test_context_separates_quotation_from_abuse(spark):
     assert np.mean([got[i]["predicted"] == toxic for i, _, toxic in rows_]) > 0.95
 
 
+def test_a_lean_needs_proof():
+    assert toxicity.lean(240, 360, 0, 64) > 1 and toxicity.lean(0, 64, 240, 360) == 0
+    assert toxicity.lean(50, 100, 50, 100) == toxicity.lean(2, 4, 0, 4) == toxicity.lean(3, 3, 0, 0) == toxicity.lean(0, 0, 3, 3) == 0
+    assert abs(toxicity.lean(60_000, 100_000, 30_000, 100_000) - np.log(2)) < 0.03
+
+
 def test_toxicity_of_odd_input(spark, make_docs):
     docs, labels = labelled(spark)
     long = "kama neti " * 200_000
