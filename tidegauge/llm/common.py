@@ -69,9 +69,14 @@ def settle(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, ending: str) -> str:
+    """A path in that folder that nothing uses yet."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}.{ending}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in that folder: smaller than a checkpoint, and Spark knows its size."""
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = shared_path(df.sparkSession, "parquet")
     with _shuffles_freed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import automaton, bpe, crosspolytope, impact, linededup, packing, pii, rlbwt, simhash, toxicity
-from tidegauge.llm.common import table
+from tidegauge.llm import automaton, bitplanes, bpe, crosspolytope, impact, linededup, packing, pii, rlbwt, simhash, toxicity, variants
+from tidegauge.llm.common import shared_path, table
 
 
 #: The setting that names the file with the key of the pseudonyms, and the public key of the examples, used where it is unset.
@@ -70,12 +70,24 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_path(spark, "ids")
+    bitplanes.write_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return bitplanes.digests(bitplanes.read_ids(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_feistel_pseudonyms, op2_byte_bpe, op3_line_dedup, op4_impact_topk, op5_cross_polytope, op6_run_length_dedup, op7_simhash,
-            op8_best_fit_packing, op9_toxicity, op10_automaton_dedup,
+            op8_best_fit_packing, op9_toxicity, op10_automaton_dedup, op11_spelling_variants, op12_bit_planes,
         )
     }
 
