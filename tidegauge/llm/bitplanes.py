@@ -225,8 +225,9 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, kind: str, block: int, file_ids: int):
+    def __init__(self, path: str, kind: str, block: int, file_ids: int, definition: str | None, end_id: int | None):
         self.path, self.kind, self.block, self.file_ids = path, kind, block, file_ids
+        self.definition, self.end = definition, b"" if end_id is None else array("I", [end_id]).tobytes()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -239,12 +240,14 @@ class _Writer(DataSourceArrowWriter):
             part.out.close()
             files.append({"file": name, "docs": part.n_docs, "ids": part.n_ids, "chunks": len(part.index), "least": part.least, "most": part.most, "has_null": part.has_null})
 
+        encode = word_codec(self.definition).encode if self.definition else None
         for batch in iterator:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text" if encode else "ids")):
+                ids = (encode(x.as_py() or "") if encode else x.as_py() or b"") + self.end
                 if part is None:
                     name = f"part-{partition:05d}-{len(files):03d}-{uuid.uuid4().hex}.ids"
                     part = PartWriter(store.open_output_stream(f"{folder}/{name}"), self.kind, self.block)
-                part.add(doc, ids.as_py() or b"")
+                part.add(doc, ids)
                 if part.n_ids >= self.file_ids or part.n_docs >= FILE_DOCS:
                     end()
                     part = None
@@ -319,7 +322,8 @@ class _Reader(DataSourceReader):
 
 
 class PlaneSource(DataSource):
-    """Options: path; planes ("bit" or "byte"), block and file_ids for writing; from and to, limits of doc_id, for reading."""
+    """Options: path; for writing planes ("bit" or "byte"), block, file_ids, end_id (put after each document) and tokenizer
+    (a path; then text is encoded by the writing task); for reading from and to, limits of doc_id."""
 
     @classmethod
     def name(cls) -> str:
@@ -329,24 +333,29 @@ class PlaneSource(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], self.options.get("planes", "byte"), int(self.options.get("block", BLOCK)), int(self.options.get("file_ids", FILE_IDS)))
+        o, definition = self.options, None
+        if "tokenizer" in o:  # read here, on the driver, and sent with the tasks
+            with open(o["tokenizer"]) as f:
+                definition = f.read()
+        end_id = int(o["end_id"]) if "end_id" in o else None
+        return _Writer(o["path"], o.get("planes", "byte"), int(o.get("block", BLOCK)), int(o.get("file_ids", FILE_IDS)), definition, end_id)
 
     def reader(self, schema) -> _Reader:
         limit = [int(self.options[k]) if k in self.options else None for k in ("from", "to")]
         return _Reader(self.options["path"], (limit[0], limit[1]))
 
 
-def write_ids(ids: DataFrame, path: str, planes: str = "byte", block: int = BLOCK, file_ids: int = FILE_IDS) -> None:
-    """Writes doc_id and ids (binary, little-endian unsigned 32-bit) in the order of partitions and rows; the folder must be new."""
+def write_ids(rows: DataFrame, path: str, planes: str = "byte", **options: object) -> None:
+    """Writes doc_id and ids (binary, little-endian unsigned 32-bit), or text with a tokenizer, in the order of partitions
+    and rows; options are those of PlaneSource. The folder must not hold ids yet."""
     if planes not in PLANES:
         raise ValueError(f"planes must be one of {sorted(PLANES)}")
     store, folder = _store(path)
     store.create_dir(folder)
     if any(f.path.endswith("/manifest.json") for f in store.get_file_info(_selector(folder))):
         raise ValueError(f"{path} already holds token ids")
-    ids.sparkSession.dataSource.register(PlaneSource)
-    out = ids.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"), "ids")
-    out.write.format("token_planes").option("path", path).option("planes", planes).option("block", block).option("file_ids", file_ids).mode("append").save()
+    rows.sparkSession.dataSource.register(PlaneSource)
+    rows.write.format("token_planes").options(path=path, planes=planes, **options).mode("append").save()
 
 
 def read_ids(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -366,25 +375,10 @@ def in_order(docs: DataFrame, tasks: int) -> DataFrame:
     return t.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
 
-def encoded(ordered: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id and ids, each document's end id included, in the same order."""
-    with open(tokenizer_path) as f:
-        definition = f.read()
-    end = array("I", [end_id]).tobytes()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = word_codec(definition)
-        for b in batches:
-            ids = pa.array([codec.encode(t.as_py()) + end for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
-
-    return ordered.mapInArrow(encode, "doc_id long, ids binary")
-
-
 def write_documents(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, planes: str = "byte", tasks: int | None = None) -> None:
     """Encodes documents and writes their ids, with the end id after each, by ascending doc_id."""
     ordered = in_order(docs, tasks or partitions(docs.sparkSession))
-    write_ids(encoded(ordered, tokenizer_path, end_id), path, planes)
+    write_ids(ordered, path, planes, tokenizer=tokenizer_path, end_id=end_id)
 
 
 def digests(ids: DataFrame) -> DataFrame:
