@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import automaton, bitplanes, bpe, crosspolytope, impact, linededup, packing, pii, rlbwt, simhash, toxicity, variants
+from tidegauge.llm import automaton, bitplanes, bpe, crosspolytope, impact, linededup, packing, pii, prefixtrie, rlbwt, simhash, toxicity, variants
 from tidegauge.llm.common import shared_path, table
 
 
@@ -82,12 +82,17 @@ def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.digests(bitplanes.read_ids(spark, path))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_feistel_pseudonyms, op2_byte_bpe, op3_line_dedup, op4_impact_topk, op5_cross_polytope, op6_run_length_dedup, op7_simhash,
             op8_best_fit_packing, op9_toxicity, op10_automaton_dedup, op11_spelling_variants, op12_bit_planes,
+            op13_prefix_trie,
         )
     }
 
