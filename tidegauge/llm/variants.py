@@ -19,6 +19,7 @@ rows that repeat a doc_id are documents of their own; an empty table gives no ro
 from __future__ import annotations
 
 import struct
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -172,16 +173,15 @@ class Trie:
             return found
 
 
-_TRIES: dict[tuple[int, int], Trie] = {}
+_TRIES: dict[tuple[str, int], Trie] = {}
 
 
-def _trie(shards: Broadcast, k: int) -> Trie:
-    """The worker's trie, kept until another is asked for."""
-    key = (shards.id if hasattr(shards, "id") else id(shards), k)
-    if key not in _TRIES:
+def _trie(name: str, shards: Broadcast, k: int) -> Trie:
+    """The worker's trie, kept until another is asked for; the name is that of one broadcast alone."""
+    if (name, k) not in _TRIES:
         _TRIES.clear()
-        _TRIES[key] = Trie(shards.value[k])
-    return _TRIES[key]
+        _TRIES[name, k] = Trie(shards.value[k])
+    return _TRIES[name, k]
 
 
 def tries(vocabulary: DataFrame, shard_words: int = SHARD_WORDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -221,9 +221,9 @@ def nearest(vocabulary: DataFrame, shards: DataFrame, at_once: int = SHARDS_AT_O
         group = firsts[g : g + at_once]
         held = spark.sparkContext.broadcast([bytes(r.trie) for r in shards.where(F.col("first").isin(group)).sort("first").collect()])
 
-        def walk(k: int, held: Broadcast = held):
+        def walk(k: int, name: str = uuid.uuid4().hex, held: Broadcast = held):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                near = _trie(held, k).near
+                near = _trie(name, held, k).near
                 for b in batches:
                     rows: list[tuple] = []
                     for w in b.column(0).to_pylist():
