@@ -24,10 +24,10 @@ def expected(scores, ids, own, k=5):
     return [(int(ids[i]), scores[i]) for i in order if ids[i] != own][:k]
 
 
-@pytest.mark.parametrize("blocks", [(8192, 1024), (64, 3)])
+@pytest.mark.parametrize("blocks", [(8192, 1 << 20), (64, 400)])
 def test_exact_search(spark, monkeypatch, blocks):
     monkeypatch.setattr(impact, "CANDIDATES", blocks[0])
-    monkeypatch.setattr(impact, "QUERIES", blocks[1])
+    monkeypatch.setattr(impact, "QUERY_BYTES", blocks[1])
     df, x = table(spark)
     ids, y = np.arange(len(x)), np.floor(256 * x).astype("i8")
     got = impact.top_k(df, F.col("vec_id") % 50 == 0).collect()
@@ -51,12 +51,13 @@ def test_few_candidates(spark):
     assert crosspolytope.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("shard, block", [(16384, 2048), (150, 3)])
-def test_nearest_neighbours(spark, shard, block):
+@pytest.mark.parametrize("shard, block", [(16384, 1 << 20), (150, 400)])
+def test_nearest_neighbours(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(impact, "QUERY_BYTES", block)
     df, x = table(spark, 600)
     zero = spark.createDataFrame([(5000, [0.0] * 16, 0, 0.0)], SCHEMA)
     other = spark.createDataFrame([(6000 + i, [float(i), 1.0], 0, 0.0) for i in range(40)], SCHEMA)  # another dimension
-    got = crosspolytope.nearest(df.union(zero).union(other), F.col("vec_id") % 50 == 0, shard=shard, block=block).collect()
+    got = crosspolytope.nearest(df.union(zero).union(other), F.col("vec_id") % 50 == 0, shard=shard).collect()
     norm = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = total = 0
     for q in range(0, len(x), 50):
@@ -122,3 +123,26 @@ def test_bounds_of_large_integers_are_exact():
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(10, 24))
     np.testing.assert_allclose(np.linalg.norm(crosspolytope.rotate(x, 1), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_integers_of_any_size(spark):
+    """Scores that fit a long are given, whatever stands beside them; products are exact."""
+    huge = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1e8, 0.0]), (3, [0.0, 1e300]), (4, [-1e300, 0.0]), (5, [2.0**40 + 1, 0.25])]
+    df = spark.createDataFrame([(i, v, 0, 0.0) for i, v in huge], SCHEMA.replace("float", "double"))
+    y = {i: [int(256 * int(v)) if abs(v) >= 2**52 else int(np.floor(256 * v)) for v in vec] for i, vec in huge}
+    for q, without, k in ((0, (), 4), (5, (2, 3), 2)):
+        found = sorted(((sum(a * b for a, b in zip(y[q], y[i])), i) for i in y if i not in (q, *without)), key=lambda x: (-x[0], x[1]))
+        got = impact.top_k(df.where(~F.col("vec_id").isin(*without)), F.col("vec_id") == q, k=k).orderBy("rank").collect()
+        assert [(r["score"], r["vec_id"]) for r in got] == found[:k]
+    with pytest.raises(Exception, match="CAST_OVERFLOW|OVERFLOW"):
+        impact.top_k(df, F.col("vec_id") == 3, k=1).collect()
+
+
+def test_large_random_integers():
+    r = np.random.default_rng(8)
+    x = np.array([[int(v) << int(k) for v, k in zip(row, shift)] for row, shift in zip(r.integers(-99, 99, (400, 6)), r.integers(0, 90, (400, 6)))], dtype=object)
+    index = impact.Index(np.arange(400), x)
+    for q in range(0, 400, 37):
+        scores = [sum(a * b for a, b in zip(row, x[q])) for row in x.tolist()]
+        want = sorted(((i, s) for i, s in enumerate(scores) if i != q), key=lambda p: (-p[1], p[0]))[:5]
+        assert index.search(q, x[q], 5) == want
