@@ -1,7 +1,7 @@
 """Groups spelling variants: each word's distance-one Levenshtein automaton is intersected with tries of all words.
 
 Words and their counts come from JVM functions. The vocabulary is dealt by word ranges into shards of at most SHARD_WORDS
-words and SHARD_CHARS characters (a longer word stands alone); each shard becomes a compact trie (edges are labelled by
+words and SHARD_CHARS characters (a longer word stands alone), however many partitions there are; each shard becomes a compact trie (edges are labelled by
 whole strings), a row of a few megabytes. A few tries at a time, of a checked size, are broadcast; every word is walked
 depth-first through every one of them. The automaton has two kinds of states: `i` characters matched without an edit, and
 `i` matched after the one edit. A near word leaves the path of the word itself at one place, the end of their common
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from tidegauge.llm.common import partitions, written
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
-SHARD_WORDS, SHARD_CHARS, SHARDS_AT_ONCE = 200_000, 4 << 20, 8
+SHARD_WORDS, SHARD_CHARS, SHARDS_AT_ONCE, SPLITS = 200_000, 4 << 20, 8, 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HEADS = struct.Struct("<5q")
 
@@ -185,31 +185,38 @@ def _trie(name: str, shards: Broadcast, k: int) -> Trie:
 
 
 def tries(vocabulary: DataFrame, shard_words: int = SHARD_WORDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """shard and trie, one row each, from word and n."""
-    total = vocabulary.agg(F.count("*"), F.sum(F.length("word"))).first()
-    tasks = max(1, -(-total[0] // shard_words), -(-(total[1] or 0) // shard_chars))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[str] = []
-        counts: list[int] = []
-        chars = 0
+    """first (word) and trie, one row per shard, from word and n.
 
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([words[0]]), pa.array([build(words, counts)], pa.binary())], ["first", "trie"])
+    Words are dealt by split words, a shard's worth of words apart as far as a sample of SPLITS words per shard tells (the driver gets their
+    first letters); a range that holds more than a shard becomes several.
+    """
+    total = vocabulary.agg(F.count("*"), F.sum(F.length("word"))).first()
+    shards = max(1, -(-total[0] // shard_words), -(-(total[1] or 0) // shard_chars))
+    sample = vocabulary.orderBy(F.xxhash64("word")).limit(SPLITS * shards if shards > 1 else 0).select(F.substring("word", 1, 64)).collect()
+    heads = sorted(r[0] for r in sample)
+    splits = [heads[k * len(heads) // shards] for k in range(1, shards)] if heads else []
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if words and (len(words) >= shard_words or chars + len(w) > shard_chars):
-                    yield full()
-                    words, counts, chars = [], [], 0
-                words.append(w)
-                counts.append(n)
-                chars += len(w)
-        if words:
-            yield full()
-
-    dealt = vocabulary.select("word", "n").repartitionByRange(tasks, "word").sortWithinPartitions("word")
-    return written(dealt.mapInArrow(pack, "first string, trie binary"))
+            shard = pa.array([bisect_right(splits, w) for w in b.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([shard, b.column(0), b.column(1)], ["shard", "word", "n"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
+        firsts, packed, at = [], [], 0
+        while at < len(rows):
+            end, chars = at, 0
+            while end < len(rows) and end - at < shard_words and (end == at or chars + len(rows[end][0]) <= shard_chars):
+                chars += len(rows[end][0])
+                end += 1
+            words, counts = zip(*rows[at:end])
+            firsts.append(words[0])
+            packed.append(build(list(words), list(counts)))
+            at = end
+        return pa.table({"first": pa.array(firsts, pa.string()), "trie": pa.array(packed, pa.binary())})
+
+    dealt = vocabulary.select("word", "n").mapInArrow(deal, "shard int, word string, n long")
+    return written(dealt.groupBy("shard").applyInArrow(pack, "first string, trie binary"))
 
 
 def nearest(vocabulary: DataFrame, shards: DataFrame, at_once: int = SHARDS_AT_ONCE) -> DataFrame:
@@ -252,22 +259,22 @@ def nearest(vocabulary: DataFrame, shards: DataFrame, at_once: int = SHARDS_AT_O
     return reduced.select("word", "n_near", F.col("b.w").alias("best"), (-F.col("b.m")).alias("best_n"))
 
 
-def rooted(forms: DataFrame) -> DataFrame:
-    """word and root from (word, form): forms are followed to the last one, twice as far in each round.
-
-    A form is at least TIMES as frequent as its word, so paths are short and rounds few.
-    """
-    at = written(forms.select("word", F.col("form").alias("root")))
-    while True:
+def rooted(forms: DataFrame, hops: int) -> DataFrame:
+    """word and root from (word, form): forms are followed to the last one, twice as far in each round, `hops` at least."""
+    at, reach = forms.select("word", F.col("form").alias("root")), 1
+    while reach < hops:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("last"))
-        step = written(at.join(further, "root", "left").select("word", F.coalesce("last", "root").alias("root"), F.col("last").isNotNull().alias("moved")))
-        if step.where("moved").isEmpty():
-            return step.select("word", "root")
-        at = step.select("word", "root")
+        at = at.join(further, "root", "left").select("word", F.coalesce("last", "root").alias("root"))
+        reach *= 2
+        if reach >= 4:  # a plan reads its table `reach` times
+            at = written(at)
+    return at
 
 
 def grouped(vocabulary: DataFrame, times: int = TIMES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """word, form, root, n, n_near and form_n for a vocabulary of word and n."""
+    if times < 2:
+        raise ValueError("a form must be at least twice as frequent as its word")
     vocabulary = written(vocabulary.select("word", "n"))
     near = nearest(vocabulary.repartition(partitions(vocabulary.sparkSession), "word"), tries(vocabulary, shard_words))
     enough = F.col("best_n") >= times * F.col("n")
@@ -277,7 +284,12 @@ def grouped(vocabulary: DataFrame, times: int = TIMES, shard_words: int = SHARD_
             F.when(enough, F.col("best_n")).alias("form_n"),
         )
     )
-    roots = rooted(out.where(F.col("form").isNotNull()))
+    # each form is `times` as frequent as its word, so counts bound the way to a root
+    most, fewest = out.where("form IS NOT NULL").agg(F.max("form_n"), F.min("n")).first()
+    hops = 0
+    while most and fewest * times ** (hops + 1) <= most:
+        hops += 1
+    roots = rooted(out.where(F.col("form").isNotNull()), hops)
     return out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
