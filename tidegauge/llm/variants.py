@@ -33,7 +33,7 @@ from tidegauge.llm.common import partitions, written
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
-SHARD_WORDS, SHARD_CHARS, SHARDS_AT_ONCE, SPLITS = 200_000, 4 << 20, 8, 64
+SHARD_WORDS, SHARD_CHARS, SHARDS_AT_ONCE, SPLITS = 120_000, 4 << 20, 8, 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HEADS = struct.Struct("<5q")
 
@@ -173,15 +173,15 @@ class Trie:
             return found
 
 
-_TRIES: dict[tuple[str, int], Trie] = {}
+_TRIES: dict[str, Trie] = {}
 
 
-def _trie(name: str, shards: Broadcast, k: int) -> Trie:
+def _trie(name: str, packed: Broadcast) -> Trie:
     """The worker's trie, kept until another is asked for; the name is that of one broadcast alone."""
-    if (name, k) not in _TRIES:
+    if name not in _TRIES:
         _TRIES.clear()
-        _TRIES[name, k] = Trie(shards.value[k])
-    return _TRIES[name, k]
+        _TRIES[name] = Trie(packed.value)
+    return _TRIES[name]
 
 
 def tries(vocabulary: DataFrame, shard_words: int = SHARD_WORDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -226,11 +226,14 @@ def nearest(vocabulary: DataFrame, shards: DataFrame, at_once: int = SHARDS_AT_O
     parts = []
     for g in range(0, len(firsts), at_once):
         group = firsts[g : g + at_once]
-        held = spark.sparkContext.broadcast([bytes(r.trie) for r in shards.where(F.col("first").isin(group)).sort("first").collect()])
+        # each shard is a broadcast of its own, so a worker holds the one that it walks
+        held = [spark.sparkContext.broadcast(bytes(r.trie)) for r in shards.where(F.col("first").isin(group)).collect()]
+
+        def walk(trie: Broadcast):
+            name = uuid.uuid4().hex
 
-        def walk(k: int, name: str = uuid.uuid4().hex, held: Broadcast = held):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                near = _trie(name, held, k).near
+                near = _trie(name, trie).near
                 for b in batches:
                     rows: list[tuple] = []
                     for w in b.column(0).to_pylist():
@@ -243,12 +246,13 @@ def nearest(vocabulary: DataFrame, shards: DataFrame, at_once: int = SHARDS_AT_O
 
             return run
 
-        one = [vocabulary.select("word").mapInArrow(walk(k), "word string, n_near long, best_n long, best string") for k in range(len(group))]
+        one = [vocabulary.select("word").mapInArrow(walk(trie), "word string, n_near long, best_n long, best string") for trie in held]
         whole = one[0]
         for more in one[1:]:
             whole = whole.union(more)
         parts.append(written(whole))
-        held.unpersist()
+        for trie in held:
+            trie.unpersist()
     if not parts:
         return vocabulary.select("word", F.lit(0).cast("long").alias("n_near"), F.lit(0).cast("long").alias("best_n"), F.lit("").alias("best")).limit(0)
     found = parts[0]
