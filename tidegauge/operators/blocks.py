@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from tidegauge.functions.intervals import INTERVALS
 from tidegauge.functions.rolling import TIME
+from tidegauge.sources.scratch import settled
 
 #: Rows of a block, and blocks and value ranges of a series for expanding quantiles.
 BLOCK, PARTS = 4096, 64
@@ -42,9 +43,11 @@ def epoch_seconds(x: Column) -> Column:
     return F.datediff(F.to_date(x), F.lit("1970-01-01")).cast("long") * 86400 + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
 
 
-def _stretch(time: str, size: int, seconds: Column | None) -> Column:
+def _stretch(time: str, size: int, seconds: Column | None, has_interval: bool) -> Column:
     """The stretch of time a row is in: `size` bars of its interval long, so it holds no more rows than that."""
-    if seconds is None:
+    if seconds is None and not has_interval:
+        seconds = F.lit(3600)
+    elif seconds is None:
         seconds = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in INTERVALS.items() for x in kv)), F.col("interval")), F.lit(3600))
     return F.floor(epoch_seconds(F.col(time)) / (seconds * size)).cast("long")
 
@@ -52,9 +55,12 @@ def _stretch(time: str, size: int, seconds: Column | None) -> Column:
 def numbered(df: DataFrame, by: Sequence[str], size: int = BLOCK, time: str = TIME, seconds: Column | None = None, length: str | None = None) -> DataFrame:
     """Adds the place of each row in its series, from 0; with `length` also the number of the series' rows.
 
-    The bars' length comes from the column interval, or from `seconds`.
+    The bars' length comes from the column interval, or from `seconds`; without either it is an hour. Places that are
+    there already are kept.
     """
-    cut = df.withColumn(PART, _stretch(time, size, seconds))
+    if PLACE in df.columns and not length:
+        return df
+    cut = df.withColumn(PART, _stretch(time, size, seconds, "interval" in df.columns))
     w = Window.partitionBy(*by).orderBy(PART)
     counts = cut.groupBy(*by, PART).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -73,19 +79,19 @@ def halo(df: DataFrame, by: Sequence[str], reach: int, size: int = BLOCK, time:
     as the reach, so few rows are repeated.
     """
     size = max(size, 4 * reach)
-    placed = df if PLACE in df.columns else numbered(df, by, size, time, seconds)
+    placed = numbered(df, by, size, time, seconds)
     block = F.floor(F.col(PLACE) / size).cast("long")
     blocks = F.sequence(block, F.floor((F.col(PLACE) + reach) / size).cast("long"))
     return placed.withColumn(PART, F.explode(blocks)).withColumn(OWN, F.col(PART) == block)
 
 
-def owned(df: DataFrame) -> DataFrame:
-    return df.where(OWN).drop(PART, OWN, PLACE)
+def owned(df: DataFrame, *more: str) -> DataFrame:
+    return df.where(OWN).drop(PART, OWN, *more)
 
 
 def windowed(df: DataFrame, by: Sequence[str], reach: int, make: Callable[[tuple[str, ...], DataFrame], DataFrame], size: int = BLOCK) -> DataFrame:
     """make(keys, rows), which adds window columns partitioned by the keys, run block by block."""
-    return owned(make((*by, PART), halo(df, by, reach, size)))
+    return owned(make((*by, PART), halo(df, by, reach, size)), *([] if PLACE in df.columns else [PLACE]))
 
 
 def _per_block(df: DataFrame, rows: DataFrame, by: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], outputs: Sequence[str]) -> DataFrame:
@@ -180,14 +186,14 @@ def ewma_variance(df: DataFrame, by: Sequence[str], value: str, span: int, out:
     """The recursion of the EWMA variance: alpha 2 / (span + 1), seeded with the first square; gaps are skipped."""
     alpha = 2 / (span + 1)
     x = F.col(value)
-    with_maps = df.select(*by, time, F.lit(1 - alpha).alias("_m"), (alpha * x * x).alias("_f"), (x * x).alias("_x"))
-    return recurrence(with_maps, by, "_m", "_f", "_x", out, count, size, time).select(*by, time, out, count)
+    with_maps = df.withColumns({"_m": F.lit(1 - alpha), "_f": alpha * x * x, "_x": x * x})
+    return recurrence(with_maps, by, "_m", "_f", "_x", out, count, size, time).drop("_m", "_f", "_x")
 
 
 def running_last(df: DataFrame, by: Sequence[str], values: dict[str, Column], size: int = BLOCK, time: str = TIME) -> DataFrame:
     """Adds, name: value, the last value so far that isn't NULL, the row's own included."""
     names = list(values)
-    cut = df.withColumns({f"_v{i}": values[n] for i, n in enumerate(names)}).withColumn(PART, _stretch(time, size, None))
+    cut = df.withColumns({f"_v{i}": values[n] for i, n in enumerate(names)}).withColumn(PART, _stretch(time, size, None, "interval" in df.columns))
     past = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     here = Window.partitionBy(*by, PART).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     ends = cut.groupBy(*by, PART).agg(*(F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.col(time))).alias(f"_l{i}") for i in range(len(names))))
@@ -329,12 +335,14 @@ def past_quantiles(past: np.ndarray, below: int, counted: int, xs: np.ndarray, q
 def expanding_quantiles(df: DataFrame, by: Sequence[str], limits: dict[str, tuple[str, float]], least: int, until: int = 0, parts: int = PARTS, size: int = BLOCK) -> DataFrame:
     """Adds linear quantiles, name: (column, q), of all values up to the row, or with until=-1 before it; exact.
 
-    A series is cut into at most `parts` blocks of `size` rows or more, and each column's values at about `parts` cut
+    The rows are written first, as they are read several times. Unless all series are as short as one block, a series is cut into at most `parts` blocks of `size` rows or more, and each column's values at about `parts` cut
     points; a cut point is a range of its own, of which only the number counts, so repeated values don't fill a range.
     The ranks that a block can ask for fall into few ranges: only their values, from earlier blocks, go to its task.
     """
     series, columns = list(by), list(dict.fromkeys(c for c, _ in limits.values()))
-    placed = numbered(df, by, size, length="_rows")
+    placed = settled(numbered(df, by, size, length="_rows"))
+    if (placed.agg(F.max("_rows")).first()[0] or 0) <= size:
+        return _in_one_block(placed, df.columns, series, limits, least, until)
     long = F.floor(F.col(PLACE) / F.greatest(F.lit(size), F.ceil(F.col("_rows") / parts))).cast("long")
     rows = placed.withColumn(PART, long).select(*series, PART, PLACE, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v"))
     rows = rows.select(*series, PART, PLACE, "v.column", "v.x").where("x IS NOT NULL")
@@ -392,6 +400,31 @@ def expanding_quantiles(df: DataFrame, by: Sequence[str], limits: dict[str, tupl
     return there.select(*df.columns, *(F.col(f"{n}.q").alias(n) for n in names))
 
 
+def _in_one_block(placed: DataFrame, kept: Sequence[str], series: list[str], limits: dict[str, tuple[str, float]], least: int, until: int) -> DataFrame:
+    """expanding_quantiles of series that are one block each."""
+    kept = list(kept)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(PLACE)
+        out = f[kept]
+        for name, (c, q) in limits.items():
+            x = f[c].to_numpy(dtype=float)
+            there = ~np.isnan(x)
+            found = np.full(len(x), np.nan)
+            if there.any():
+                some = past_quantiles(np.empty(0), 0, 0, x[there], q)
+                some[: least - 1] = np.nan
+                found = np.concatenate([[np.nan], some])[np.cumsum(there)]
+            out = out.assign(**{name: pd.Series(found, f.index).shift(-until) if until else found})
+        return out
+
+    schema = StructType([placed.schema[c] for c in kept])
+    for name in limits:
+        schema.add(name, "double")
+    found = placed.groupBy(*series).applyInPandas(run, schema)
+    return found.select(*kept, *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in limits))
+
+
 def windowed_lag(df: DataFrame, by: Sequence[str], names: Sequence[str], k: int) -> DataFrame:
     """The named columns as they were k rows before."""
     def make(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The nineteen rolling features of a market, from candles.
 
-All frames are long: returns by (interval, open_time, symbol), market series by (interval, open_time). Windows run per
-symbol, per pair of symbols, or per interval on one row per bar, so the data they hold grows with bars and symbols, not ticks.
+All frames are long: returns by (interval, open_time, symbol), market series by (interval, open_time). Windows run on
+blocks of a series with the rows that they reach back to (see blocks.py), so a long series is many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import log_price, parkinson
+from tidegauge.operators import blocks
 from tidegauge.sources.candles import closed_only
 
 AT = ("interval", "open_time")
@@ -69,36 +70,25 @@ def basket(returns: DataFrame) -> DataFrame:
 def asset_vols(returns: DataFrame, windows: dict[str, int]) -> DataFrame:
     """Mean over symbols of their rolling standard deviation, a column per window."""
     x = F.col("log_return")
-    per = returns
-    for name, n in windows.items():
-        per = per.withColumn(name, R.std(x, R.trailing(n, "interval", "symbol"), R.least("basic", n)))
+
+    def make(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        return rows.withColumns({name: R.std(x, R.trailing(n, *keys), R.least("basic", n)) for name, n in windows.items()})
+
+    per = blocks.windowed(returns, ["interval", "symbol"], max(windows.values()) - 1, make)
     return per.groupBy(*AT).agg(*(F.avg(n).alias(n) for n in windows))
 
 
 def range_volatility(candles: DataFrame, n: int, include_unclosed: bool = False) -> DataFrame:
     rows = candles if include_unclosed else closed_only(candles)
     bar = rows.groupBy(*AT).agg(F.avg(parkinson(F.col("high"), F.col("low"))).alias("_bar"))
-    return bar.select(*AT, R.mean(F.col("_bar"), R.trailing(n, "interval"), R.least("basic", n)).alias("range_vol"))
+    mean = lambda keys, x: x.withColumn("range_vol", R.mean(F.col("_bar"), R.trailing(n, *keys), R.least("basic", n)))
+    return blocks.windowed(bar, ["interval"], n - 1, mean).select(*AT, "range_vol")
 
 
 def ewma(df: DataFrame, value: str, out: str, span: int, by: list[str], emit_from: int = 3) -> DataFrame:
     """EWMA variance of a series, alpha 2 / (span + 1), seeded with the first square; gaps are skipped and stay NULL."""
-    cols = [*by, "open_time", value]
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("open_time")
-        x = f[value].astype("float64")
-        v = (x * x).ewm(alpha=2 / (span + 1), adjust=False, ignore_na=True).mean()
-        return f[[*by, "open_time"]].assign(**{out: v.where(x.notna() & (x.notna().cumsum() >= emit_from)).to_numpy()})
-
-    schema = df.select(*by, "open_time").schema.add(out, "double")
-    return df.select(*cols).groupBy(*by).applyInPandas(run, schema)
-
-
-def share_at_most_last(x: Column, w) -> Column:
-    """Share of the window's values that are at most its last one."""
-    a = F.collect_list(x).over(w)
-    return F.when(F.size(a) > 0, F.size(F.filter(a, lambda v: v <= F.element_at(a, -1))) / F.size(a))
+    v = blocks.ewma_variance(df.select(*by, "open_time", value), by, value, span, "_y", "_n")
+    return v.select(*by, "open_time", F.when(F.col(value).isNotNull() & (F.col("_n") >= emit_from), F.col("_y")).alias(out))
 
 
 def pairs(returns: DataFrame) -> DataFrame:
@@ -110,12 +100,14 @@ def pairs(returns: DataFrame) -> DataFrame:
 
 def rolling_pairs(returns: DataFrame, n: int) -> DataFrame:
     """Rolling covariance and correlation of each pair, over bars that have both."""
-    w = R.trailing(n, "interval", "a", "b")
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
-    return pairs(returns).select(
-        *AT, "a", "b", R.rolled(F.covar_samp(x, y), x, w, R.least("basic", n)).alias("cov"), R.correlation(x, y, w, R.least("basic", n)).alias("corr")
-    )
+    x, y, at_least = F.when(both, F.col("x")), F.when(both, F.col("y")), R.least("basic", n)
+
+    def make(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        w = R.trailing(n, *keys)
+        return rows.withColumns({"cov": R.rolled(F.covar_samp(x, y), x, w, at_least), "corr": R.correlation(x, y, w, at_least)})
+
+    return blocks.windowed(pairs(returns), ["interval", "a", "b"], n - 1, make).select(*AT, "a", "b", "cov", "corr")
 
 
 def average_correlation(returns: DataFrame, n: int, stride: int | None = None) -> DataFrame:
@@ -128,10 +120,9 @@ def _carried(values: DataFrame, spine: DataFrame, col: str, out: str, stride: in
     at = spine.select(*AT).distinct().join(values, list(AT), "left")
     x = F.col(col)
     if stride and stride > 1:
-        i = F.row_number().over(R.ordered("interval")) - 1
-        at = at.withColumn("_i", i).withColumn("_n", F.max("_i").over(R.Window.partitionBy("interval")))
-        x = F.when((F.col("_i") % stride == 0) | (F.col("_i") == F.col("_n")), x)
-    return at.select(*AT, R.forward_fill(x, R.expanding("interval")).alias(out))
+        at = blocks.numbered(at, ["interval"], length="_n")
+        x = F.when((F.col(blocks.PLACE) % stride == 0) | (F.col(blocks.PLACE) == F.col("_n") - 1), x)
+    return blocks.running_last(at, ["interval"], {out: x}).select(*AT, out)
 
 
 def stride_for(rows: int, n: int) -> int | None:
@@ -142,12 +133,15 @@ def stride_for(rows: int, n: int) -> int | None:
 def beta(returns: DataFrame, benchmark: str, n: int) -> DataFrame:
     """Rolling beta of each other symbol: pairwise covariance over the benchmark's own variance."""
     bench = returns.where(F.col("symbol") == benchmark).select(*AT, F.col("log_return").alias("m"))
-    w, at_least = R.trailing(n, "interval", "symbol"), R.least("pair", n)
     both = F.col("log_return").isNotNull() & F.col("m").isNotNull()
-    x, y = F.when(both, F.col("log_return")), F.when(both, F.col("m"))
-    cov = R.rolled(F.covar_samp(x, y), x, w, at_least)
-    var = R.rolled(F.var_samp("m"), F.col("m"), w, at_least)
-    return returns.where(F.col("symbol") != benchmark).join(bench, list(AT), "left").select(*AT, "symbol", R.ratio(cov, var).alias("beta"))
+    x, y, at_least = F.when(both, F.col("log_return")), F.when(both, F.col("m")), R.least("pair", n)
+
+    def make(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        w = R.trailing(n, *keys)
+        return rows.withColumn("beta", R.ratio(R.rolled(F.covar_samp(x, y), x, w, at_least), R.rolled(F.var_samp("m"), F.col("m"), w, at_least)))
+
+    others = returns.where(F.col("symbol") != benchmark).join(bench, list(AT), "left")
+    return blocks.windowed(others, ["interval", "symbol"], n - 1, make).select(*AT, "symbol", "beta")
 
 
 def pca_share(returns: DataFrame, n: int, stride: int | None = None, block: int = 2000) -> DataFrame:
@@ -155,8 +149,7 @@ def pca_share(returns: DataFrame, n: int, stride: int | None = None, block: int
 
     Windows are computed in blocks of bars, each with the bars before it that its windows reach back to.
     """
-    i = F.row_number().over(R.ordered("interval")) - 1
-    spine = returns.select(*AT).distinct().withColumn("i", i)
+    spine = blocks.numbered(returns.select(*AT).distinct(), ["interval"]).withColumnRenamed(blocks.PLACE, "i")
     reach = F.explode(F.sequence(F.floor(F.col("i") / block).cast("long"), F.floor((F.col("i") + n - 1) / block).cast("long")))
     rows = returns.select(*AT, "symbol", "log_return").join(spine, list(AT)).withColumn("block", reach)
     at_least = R.least("pair", n)
@@ -182,7 +175,7 @@ def pca_share(returns: DataFrame, n: int, stride: int | None = None, block: int
 
 
 def slope_and_t(y: Column, n: int, by: tuple[str, ...] = ("interval",)) -> tuple[Column, Column]:
-    """Columns of the rolling OLS slope on 0, 1, .. over the values there are, and its t statistic."""
+    """Columns of the rolling OLS slope on 0, 1, .. over the values there are, and its t statistic; _i numbers the values."""
     w, at_least = R.trailing(n, *by), R.least("trend", n)
     i = F.col("_i")  # the number of values so far: consecutive over gaps
     x = F.when(y.isNotNull(), i)
@@ -193,23 +186,6 @@ def slope_and_t(y: Column, n: int, by: tuple[str, ...] = ("interval",)) -> tuple
     return slope, F.when((seen >= at_least) & (seen >= 4), F.when(se == 0, 0.0).otherwise(slope / F.nullif(se, F.lit(0.0))))
 
 
-def counted(df: DataFrame, y: Column, by: tuple[str, ...] = ("interval",)) -> DataFrame:
-    return df.withColumn("_i", F.count(y).over(R.expanding(*by)).cast("double"))
-
-
-def autocorrelation(x: Column, n: int, by: tuple[str, ...] = ("interval",)) -> Column:
-    """Rolling lag-1 correlation over the values there are; 0 where a side is constant."""
-    a = F.collect_list(x).over(R.trailing(n, *by))
-    size = F.size(a)
-    left, right = F.slice(a, F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(size - 1, F.lit(0)))
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
-    centred = lambda v: F.transform(F.array(total(v) / F.size(v)), lambda mean: F.transform(v, lambda e: e - mean))[0]
-    dot = lambda p, q: total(F.zip_with(p, q, lambda e, f: e * f))
-    p, q = centred(left), centred(right)
-    spread = F.sqrt(dot(p, p)) * F.sqrt(dot(q, q))
-    return F.when(size >= R.least("trend", n), F.when(spread > 0, dot(p, q) / F.nullif(spread, F.lit(0.0))).otherwise(0.0))
-
-
 def up_down(x: Column, n: int, by: tuple[str, ...] = ("interval",)) -> Column:
     w = R.trailing(n, *by)
     share = F.count_if(x > 0).over(w) / F.nullif(F.count_if(x != 0).over(w), F.lit(0))
@@ -219,33 +195,40 @@ def up_down(x: Column, n: int, by: tuple[str, ...] = ("interval",)) -> Column:
 def volatility_block(market: DataFrame, w: Windows) -> DataFrame:
     """market_vol and what follows from it, from basket_return."""
     v = F.col("market_vol")
-    s, m, lo = (R.trailing(n, "interval") for n in (w.short, w.medium, w.long))
-    z = R.ratio(v - R.mean(v, lo, R.least("vol", w.long)), R.std(v, lo, R.least("vol", w.long)))
-    return market.withColumn("market_vol", R.std(F.col("basket_return"), s, R.least("basic", w.short))).select(
-        "*",
-        F.when(F.count(v).over(lo) >= R.least("rank", w.long), share_at_most_last(v, lo)).alias("vol_percentile"),
-        z.alias("vol_z_score"),
-        R.std(v, m, R.least("vol", w.medium)).alias("vol_of_vol"),
-    )
+
+    def make(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        s, m, lo = (R.trailing(n, *keys) for n in (w.short, w.medium, w.long))
+        least = R.least("vol", w.long)
+        z = R.ratio(v - R.mean(v, lo, least), R.std(v, lo, least))
+        rows = rows.withColumn("market_vol", R.std(F.col("basket_return"), s, R.least("basic", w.short)))
+        return rows.withColumns({"vol_z_score": z, "vol_of_vol": R.std(v, m, R.least("vol", w.medium))})
+
+    placed = blocks.numbered(market, ["interval"])
+    rolled = blocks.windowed(placed, ["interval"], w.short + max(w.medium, w.long) - 2, make)
+    out = blocks.sliding(rolled, ["interval"], "market_vol", w.long, R.least("rank", w.long), shares="vol_percentile")
+    return out if blocks.PLACE in market.columns else out.drop(blocks.PLACE)
 
 
 def trend_block(market: DataFrame, w: Windows) -> DataFrame:
     """Trend features from basket_price, basket_return and market_vol."""
     y, b = log_price(F.col("basket_price")), F.col("basket_return")
-    slope, t = slope_and_t(y, w.trend)
-    return (
-        counted(market, y)
-        .withColumn("trend_slope", slope).withColumn("trend_tstat", t)
-        .withColumn("trend_strength", R.ratio(F.col("trend_slope"), F.col("market_vol")))
-        .withColumn("trend_autocorr", autocorrelation(b, w.trend)).withColumn("up_down_ratio", up_down(b, w.trend))
-        .drop("_i")
-    )
+
+    def make(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        slope, t = slope_and_t(y, w.trend, keys)
+        rows = rows.withColumn("_i", F.count(y).over(R.expanding(*keys)).cast("double"))
+        return rows.withColumns({"trend_slope": slope, "trend_tstat": t, "up_down_ratio": up_down(b, w.trend, keys)}).drop("_i")
+
+    placed = blocks.numbered(market, ["interval"])
+    rolled = blocks.windowed(placed, ["interval"], w.trend - 1, make)
+    out = blocks.lag_correlation(rolled, ["interval"], "basket_return", w.trend, R.least("trend", w.trend), "trend_autocorr")
+    out = out.withColumn("trend_strength", R.ratio(F.col("trend_slope"), F.col("market_vol")))
+    return out if blocks.PLACE in market.columns else out.drop(blocks.PLACE)
 
 
 def feature_bundle(candles: DataFrame, benchmark: str, w: Windows = Windows(), stride: int | None = None) -> FeatureBundle:
     """All features on the spine of bar times."""
     returns = log_returns(candles)
-    market = trend_block(volatility_block(basket(returns), w), w)
+    market = trend_block(volatility_block(blocks.numbered(basket(returns), ["interval"]), w), w)
     vols = asset_vols(returns, {"avg_asset_vol_short": w.short, "avg_asset_vol_medium": w.medium, "avg_asset_vol_long": w.long})
     smooth = ewma(market, "basket_return", "_v", w.short, ["interval"]).withColumn("ewma_vol", F.sqrt("_v")).drop("_v")
     betas = beta(returns, benchmark, w.medium).groupBy(*AT).agg(F.avg("beta").alias("avg_btc_beta"))

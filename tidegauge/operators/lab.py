@@ -399,64 +399,102 @@ def fit_counts(n: int, chosen: int, training: int, horizon: int, stride: int, se
 FIT_MOST, FIT_LEAST, REFITS = 5000, 100, 12
 
 
-def garch_t(y: np.ndarray, steps: int = 600) -> tuple[dict[str, float], float] | None:
-    """Maximum likelihood of a GARCH(1,1) with Student-t errors on the last FIT_MOST values, by a simplex search: (parameters, next variance).
+def _digamma(x: float) -> float:
+    out = 0.0
+    while x < 8:
+        out, x = out - 1 / x, x + 1
+    y = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
 
-    None for fewer than FIT_LEAST values, or if the search hasn't come to rest after so many steps.
+
+def _decayed(u: np.ndarray, b: float) -> np.ndarray:
+    """x[t] = b * x[t - 1] + u[t], by doubling; stops where what is left of a value is nothing."""
+    x, k, factor = u.copy(), 1, b
+    while k < len(x) and factor > 1e-18:
+        x[k:] = x[k:] + factor * x[:-k]
+        k, factor = 2 * k, factor * factor
+    return x
+
+
+def garch_likelihood(z: np.ndarray, q: np.ndarray, base: float) -> tuple[float, np.ndarray, float]:
+    """Minus the log-likelihood of squares q with its gradient, and the next variance.
+
+    z: logarithm of omega over base, logits of the persistence and of alpha's share in it, logarithm of nu - 2.05. The first variance is base.
+    """
+    persistence, share = 1 / (1 + math.exp(-z[1])), 1 / (1 + math.exp(-z[2]))
+    omega, a, b, extra = math.exp(z[0]) * base, persistence * share, persistence * (1 - share), math.exp(z[3])
+    nu = 2.05 + extra
+    n = len(q)
+
+    def after(first: float, u: np.ndarray) -> np.ndarray:
+        """n + 1 values: the first, and each b times the one before plus u."""
+        return _decayed(np.concatenate([[first], u]), b)
+
+    s = after(base, omega + a * q)
+    by_omega, by_a, by_b = after(0.0, np.ones(n))[:n], after(0.0, q)[:n], after(0.0, s[:n])[:n]
+    following, s = float(s[n]), s[:n]
+    w = q / (s * (nu - 2))
+    logs = np.log1p(w)
+    constant = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
+    value = n * constant - 0.5 * np.log(s).sum() - (nu + 1) / 2 * logs.sum()
+    by_s = (-0.5 + (nu + 1) / 2 * w / (1 + w)) / s
+    by_nu = n * (0.5 * _digamma((nu + 1) / 2) - 0.5 * _digamma(nu / 2) - 0.5 / (nu - 2)) - 0.5 * logs.sum() + (nu + 1) / 2 * (w / (1 + w)).sum() / (nu - 2)
+    g_omega, g_a, g_b = by_s @ by_omega, by_s @ by_a, by_s @ by_b
+    moved = persistence * (1 - persistence)
+    gradient = [g_omega * omega, (g_a * share + g_b * (1 - share)) * moved, (g_a - g_b) * persistence * share * (1 - share), by_nu * extra]
+    return -float(value), -np.array(gradient), following
+
+
+def garch_t(y: np.ndarray, steps: int = 200) -> tuple[dict[str, float], float] | None:
+    """Maximum likelihood of a GARCH(1,1) with Student-t errors on the last FIT_MOST values by BFGS: (parameters, next variance).
+
+    Parameters hold the record of the search too: log_likelihood, iterations, gradient (its greatest entry). None for fewer than FIT_LEAST
+    values, or if the search comes to no rest in so many steps from any of its starts; of several the best optimum counts.
     """
     y = y[np.isfinite(y)][-FIT_MOST:] * 100
     if len(y) < FIT_LEAST or y.var() <= 0:
         return None
     y = y - y.mean()
-    base = y.var()
-
-    def unpack(z):
-        persistence, share = 1 / (1 + math.exp(-z[1])), 1 / (1 + math.exp(-z[2]))
-        return math.exp(z[0]) * base, persistence * share, persistence * (1 - share), 2.05 + math.exp(z[3])
-
-    def path(z):
-        omega, a, b, nu = unpack(z)
-        s, ll = base, 0.0
-        const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-        for q in (y * y).tolist():
-            ll += const - 0.5 * math.log(s) - (nu + 1) / 2 * math.log1p(q / s / (nu - 2))
-            s = max(omega + a * q + b * s, 1e-12)
-        return -ll, s
-
-    simplex = [np.array([-3.0, 3.0, -2.0, 1.5])]
-    simplex += [simplex[0] + d for d in 0.5 * np.eye(4)]
-    values = [path(z)[0] for z in simplex]
-    for _ in range(steps):  # the loop's else: it hasn't come to rest
-        order = np.argsort(values)
-        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-6:
-            break
-        centre = np.mean(simplex[:-1], axis=0)
-        for stretch in (1.0, 2.0, 0.5, -0.5):
-            z = centre + stretch * (centre - simplex[-1])
-            v = path(np.clip(z, -12, 12))[0]
-            if stretch == 1.0:
-                plain = (v, z)
-                if not v < values[0]:
-                    if v < values[-2]:
-                        simplex[-1], values[-1] = z, v
-                        break
-                    continue
-            elif stretch == 2.0:
-                if plain[0] < values[0]:
-                    values[-1], simplex[-1] = min((v, z), plain, key=lambda p: p[0])
+    base, q = float(y.var()), y * y
+    least, most = np.array([-16.0, -8.0, -8.0, -6.0]), np.array([3.0, 9.0, 8.0, 7.0])
+    best = None
+    for start in ((-3.0, 3.0, -2.0, 1.5), (-0.5, 0.0, 0.0, 1.5)):
+        z = np.array(start)
+        value, gradient, _ = garch_likelihood(z, q, base)
+        inverse, rests = np.eye(4) / max(1.0, np.abs(gradient).max()), False
+        for i in range(1, steps + 1):
+            free = ~(((z <= least) & (gradient > 0)) | ((z >= most) & (gradient < 0)))  # at a bound and pushed on: it stays there
+            if np.abs(gradient[free]).max(initial=0.0) < 1e-5 * (1 + abs(value)):
+                rests = True
+                break
+            step = np.zeros(4)
+            step[free] = -(inverse[np.ix_(free, free)] @ gradient[free])
+            if step @ gradient >= 0:
+                inverse, step = np.eye(4) / max(1.0, np.abs(gradient).max()), np.where(free, -gradient, 0.0) / max(1.0, np.abs(gradient).max())
+            step *= min(1.0, 2.0 / np.abs(step).max(initial=1e-300))
+            length = 1.0
+            while length > 1e-10:
+                to = np.clip(z + length * step, least, most)
+                new, turned, _ = garch_likelihood(to, q, base)
+                if new <= value + 1e-4 * (gradient @ (to - z)):
                     break
-            elif v < values[-1]:
-                simplex[-1], values[-1] = z, v
+                length /= 2
+            else:
+                rests = np.abs(gradient[free]).max(initial=0.0) < 1e-3 * (1 + abs(value))  # rounding hides any further descent
                 break
-        else:
-            simplex = [simplex[0] + 0.5 * (z - simplex[0]) for z in simplex]
-            values = [path(z)[0] for z in simplex]
-    else:
+            d, g = to - z, turned - gradient
+            if d @ g > 1e-12:
+                rho, eye = 1 / (d @ g), np.eye(4)
+                inverse = (eye - rho * np.outer(d, g)) @ inverse @ (eye - rho * np.outer(g, d)) + rho * np.outer(d, d)
+            z, value, gradient = to, new, turned
+        if rests and (best is None or value < best[0]):
+            best = (value, z, i, float(np.abs(gradient).max()))
+    if best is None:
         return None
-    best = simplex[int(np.argmin(values))]
-    omega, a, b, nu = unpack(best)
-    return {"omega": omega / 1e4, "alpha[1]": a, "beta[1]": b, "nu": nu}, path(best)[1] / 1e4
+    value, z, i, rest = best
+    persistence, share = 1 / (1 + math.exp(-z[1])), 1 / (1 + math.exp(-z[2]))
+    found = {"omega": math.exp(z[0]) * base / 1e4, "alpha[1]": persistence * share, "beta[1]": persistence * (1 - share), "nu": 2.05 + math.exp(z[3])}
+    return found | {"log_likelihood": -value, "iterations": i, "gradient": rest}, garch_likelihood(z, q, base)[2] / 1e4
 
 
 def garch_forecasts(series: DataFrame, by: list[str], value: str = "y", span: int = 24) -> DataFrame:
@@ -494,34 +532,43 @@ def selection_due(last: datetime | None, now: datetime, days: int = 7) -> bool:
 
 
 def garch_fits(series: DataFrame, by: list[str], value: str = "y", every: int = 24) -> DataFrame:
-    """by, refit (the last value's index), volatility, alpha, beta, nu: the fits of a history, at most REFITS for each series, FIT_LEAST values at least.
+    """by, refit (a value's index), volatility, alpha, beta, nu, iterations: the fits of a history, at most about REFITS for each series.
 
-    Each refit is a group of its own with the values it sees, at most FIT_MOST, whatever the series' length.
+    A fit is due `every` values after the last one that succeeded, with FIT_LEAST values at least; one that fails has no volatility and is
+    tried again at the next value. The last value always has a fit of its own. A task sees the values that these fits see, at most
+    FIT_MOST + every * REFITS of a series, whatever its length.
     """
     points = indexed(series.withColumnRenamed(value, "y") if value != "y" else series, by)
-    first = F.greatest(F.lit(FIT_LEAST - 1), F.col("n") - every * REFITS)
-    last = F.col("n") - 1
-    refits = points.select(*by, "n").distinct().where(first <= last).select(*by, F.explode(F.sequence(first, last, F.lit(every))).alias("refit"))
-    seen = points.join(F.broadcast(refits), by).where((F.col("i") <= F.col("refit")) & (F.col("i") > F.col("refit") - FIT_MOST))  # REFITS rows a series
-    names = [*by, "refit", "volatility", "alpha", "beta", "nu"]
+    begin = F.greatest(F.lit(0), F.col("n") - every * REFITS)
+    seen = points.where(F.col("i") > begin - FIT_MOST).select(*by, "i", "n", "y")
+    names = [*by, "refit", "volatility", "alpha", "beta", "nu", "iterations"]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        got = garch_t(f.sort_values("i")["y"].to_numpy(float))
-        if got is None:
-            return pd.DataFrame(columns=names)
-        p, v = got
-        return pd.DataFrame([(*(f[k].iloc[0] for k in by), f["refit"].iloc[0], math.sqrt(v), p["alpha[1]"], p["beta[1]"], p["nu"])], columns=names)
+        f = f.sort_values("i")
+        y, first, n = f["y"].to_numpy(float), int(f["i"].iloc[0]), int(f["n"].iloc[0])
+        key, rows, due = [f[k].iloc[0] for k in by], [], max(0, n - every * REFITS, FIT_LEAST - 1)
+        for pos in range(due, n):
+            if pos < due and pos < n - 1:
+                continue
+            got = garch_t(y[: pos - first + 1])
+            if got is None:
+                rows.append((*key, pos, None, None, None, None, None))
+            else:
+                p, v = got
+                rows.append((*key, pos, math.sqrt(v), p["alpha[1]"], p["beta[1]"], p["nu"], p["iterations"]))
+                due = pos + every
+        return pd.DataFrame(rows, columns=names)
 
     keys = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in by)
-    return seen.select(*by, "refit", "i", "y").groupBy(*by, "refit").applyInPandas(run, f"{keys}, refit int, volatility double, alpha double, beta double, nu double")
+    return seen.groupBy(*by).applyInPandas(run, f"{keys}, refit int, volatility double, alpha double, beta double, nu double, iterations int")
 
 
 def garch_history(series: DataFrame, fitted: DataFrame, by: list[str], value: str = "y", span: int = 24) -> DataFrame:
-    """by, open_time, volatility, fitted: at each value the forecast of the last fit up to it; the EWMA before the first, or if it is 0."""
+    """by, open_time, volatility, fitted: at each value the forecast of the last fit up to it; the EWMA before the first, where a fit failed, or if it is 0."""
     points = indexed(series.withColumnRenamed(value, "y") if value != "y" else series, by)
     smooth = ewma(points, "y", "_v", span, by, emit_from=1)
     w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    at = points.join(fitted.select(*by, F.col("refit").alias("i"), F.col("volatility").alias("_g")), [*by, "i"], "left")
-    last = F.last(F.when(F.col("_g") > 0, F.col("_g")), ignorenulls=True).over(w)
-    out = at.withColumn("_g", last).join(smooth, [*by, "open_time"], "left")
+    tried = fitted.select(*by, F.col("refit").alias("i"), F.struct(F.when(F.col("volatility") > 0, F.col("volatility")).alias("v")).alias("_g"))
+    at = points.join(tried, [*by, "i"], "left").withColumn("_g", F.last("_g", ignorenulls=True).over(w)["v"])
+    out = at.join(smooth, [*by, "open_time"], "left")
     return out.select(*by, "open_time", F.coalesce("_g", F.sqrt("_v")).alias("volatility"), F.col("_g").isNotNull().alias("fitted"))

@@ -2,57 +2,36 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import regime, shock
+from tidegauge.operators import blocks
 from tidegauge.operators.features import AT, ewma
 
 
-def forecast_series(market: DataFrame, span: int = 24) -> DataFrame:
-    """forecast_vol: the EWMA volatility of the basket, carried over gaps, market_vol before the first."""
-    v = ewma(market, "basket_return", "_v", span, ["interval"], emit_from=1)
-    raw = R.forward_fill(F.sqrt("_v"), R.expanding("interval"))
-    return market.join(v, list(AT), "left").withColumn("forecast_vol", F.coalesce(raw, F.col("market_vol"))).drop("_v")
-
-
-def expanding_quantile(df: DataFrame, col: str, out: str, q: float, at_least: int, until: int = 0, windowed: bool = True) -> DataFrame:
-    """The linear quantile of all values up to the row (until=0) or before it (until=-1)."""
-    if windowed:
-        w = R.expanding("interval", until=until)
-        return df.withColumn(out, F.when(F.count(col).over(w) >= at_least, F.percentile(F.col(col), F.lit(q)).over(w)))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("open_time")
-        x = f[col].astype("float64").expanding(at_least).quantile(q)
-        return f[list(AT)].assign(**{out: (x.shift(-until) if until else x).to_numpy()})
-
-    schema = df.select(*AT).schema.add(out, "double")
-    got = df.select(*AT, col).groupBy("interval").applyInPandas(run, schema).withColumn(out, R.finite(F.col(out)))
-    return df.join(got, list(AT), "left")
+def forecast_series(market: DataFrame, span: int = 24, history: DataFrame | None = None) -> DataFrame:
+    """forecast_vol, carried over gaps, market_vol before the first: the volatility of `history` (interval, open_time, volatility, such as
+    lab.garch_history), or without one the EWMA volatility of the basket."""
+    if history is None:
+        history = ewma(market, "basket_return", "_v", span, ["interval"], emit_from=1).withColumn("volatility", F.sqrt("_v"))
+    joined = market.join(history.select(*AT, F.col("volatility").alias("_f")), list(AT), "left")
+    filled = blocks.running_last(joined, ["interval"], {"_f": F.col("_f")})
+    return filled.withColumn("forecast_vol", F.coalesce("_f", "market_vol")).drop("_f")
 
 
 def expanding_quantiles(df: DataFrame, limits: dict[str, tuple[str, float]], at_least: int, until: int = 0) -> DataFrame:
-    """Adds several expanding quantiles, name: (column, q), in one pass over each series, not quadratic in its length as window functions are."""
+    """Adds linear quantiles, name: (column, q), of all values up to the row (until=0) or before it (until=-1)."""
+    return blocks.expanding_quantiles(df, ["interval"], limits, at_least, until)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("open_time")
-        found = {out: f[c].astype("float64").expanding(at_least).quantile(q) for out, (c, q) in limits.items()}
-        return f[list(AT)].assign(**{out: (x.shift(-until) if until else x).to_numpy() for out, x in found.items()})
 
-    schema = df.select(*AT).schema
-    for out in limits:
-        schema = schema.add(out, "double")
-    cols = dict.fromkeys(c for c, _ in limits.values())
-    got = df.select(*AT, *cols).groupBy("interval").applyInPandas(run, schema)
-    return df.join(got.select(*AT, *(R.finite(F.col(out)).alias(out) for out in limits)), list(AT), "left")
+def expanding_quantile(df: DataFrame, col: str, out: str, q: float, at_least: int, until: int = 0) -> DataFrame:
+    return expanding_quantiles(df, {out: (col, q)}, at_least, until)
 
 
 def rolling_quantile(df: DataFrame, col: str, out: str, q: float, n: int, at_least: int) -> DataFrame:
-    w = R.trailing(n, "interval")
-    return df.withColumn(out, F.when(F.count(col).over(w) >= at_least, F.percentile(F.col(col), F.lit(q)).over(w)))
+    return blocks.sliding(df, ["interval"], col, n, at_least, quantiles={out: q})
 
 
 def regimes(frame: DataFrame, at_least: int = 30) -> DataFrame:
@@ -73,20 +52,22 @@ def regimes(frame: DataFrame, at_least: int = 30) -> DataFrame:
 
 def shocks(frame: DataFrame, returns: DataFrame, n: int = 24, severe: float = 3.0, moderate: float = 2.0, broad: float = 0.60) -> DataFrame:
     """Adds shock_score, rv_jump_ratio, shock_breadth and shock_type from basket_return, forecast_vol, avg_pairwise_corr, dispersion."""
-    by = R.ordered("interval")
-    own = R.ordered("interval", "symbol")
-    scale = F.lag(R.std(F.col("log_return"), R.trailing(n, "interval", "symbol"), R.least("basic", n))).over(own)
-    hit = F.coalesce((R.ratio(F.abs("log_return"), F.col("_scale")) > moderate).cast("double"), F.lit(0.0))
-    breadth = returns.withColumn("_scale", scale).groupBy(*AT).agg(F.avg(hit).alias("shock_breadth"))
     b = F.col("basket_return")
-    base = R.trailing(max(n, 30), "interval")
-    median = F.when(F.count("_rv").over(base) >= 6, F.percentile(F.col("_rv"), F.lit(0.5)).over(base))
-    out = (
-        frame.join(breadth, list(AT), "left")
-        .withColumn("shock_score", R.ratio(F.abs(b), F.lag("forecast_vol").over(by)))
-        .withColumn("_rv", R.std(b, R.trailing(6, "interval"), 3)).withColumn("_base", median)
-        .withColumn("rv_jump_ratio", R.ratio(F.col("_rv"), F.lag("_base").over(by)))
-    )
+
+    def hits(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        scale = F.lag(R.std(F.col("log_return"), R.trailing(n, *keys), R.least("basic", n))).over(R.ordered(*keys))
+        return rows.withColumn("_scale", scale).withColumn("_hit", F.coalesce((R.ratio(F.abs("log_return"), F.col("_scale")) > moderate).cast("double"), F.lit(0.0)))
+
+    breadth = blocks.windowed(returns, ["interval", "symbol"], n, hits).groupBy(*AT).agg(F.avg("_hit").alias("shock_breadth"))
+
+    def scores(keys: tuple[str, ...], rows: DataFrame) -> DataFrame:
+        score = R.ratio(F.abs(b), F.lag("forecast_vol").over(R.ordered(*keys)))
+        return rows.withColumns({"shock_score": score, "_rv": R.std(b, R.trailing(6, *keys), 3)})
+
+    placed = blocks.numbered(frame.join(breadth, list(AT), "left"), ["interval"])
+    out = blocks.sliding(blocks.windowed(placed, ["interval"], 6, scores), ["interval"], "_rv", max(n, 30), 6, quantiles={"_base": 0.5})
+    jump = lambda keys, rows: rows.withColumn("rv_jump_ratio", R.ratio(F.col("_rv"), F.lag("_base").over(R.ordered(*keys))))
+    out = blocks.windowed(out, ["interval"], 1, jump).drop(blocks.PLACE)
     out = expanding_quantiles(out, {"_limit": ("dispersion", 0.75)}, 10, until=-1)
     found = shock(F.col("shock_score"), F.col("rv_jump_ratio"), F.col("shock_breadth"), F.col("avg_pairwise_corr"), F.col("dispersion"), F.col("_limit"), severe, moderate, broad)
     return out.withColumn("shock_type", found).drop("_rv", "_base", "_limit")

@@ -19,10 +19,12 @@ SERIES, CANDLES, BOARD, TIMELINE, LOGS, HEAT = 160, 80, 200, 400, 100, 80
 
 
 def newest(df: DataFrame, n: int, by: tuple[str, ...] = (), time: str = "open_time") -> DataFrame:
-    """The last n rows, of each group if `by` is given. Of rows of one time any may be among them."""
+    """The last n rows, of each group if `by` is given; rows of one time are ordered by their other columns."""
+    rest = [c for c, kind in df.dtypes if c != time and "map<" not in kind and "variant" not in kind]
+    order = [F.desc(time), *(F.asc(c) for c in rest)]
     if not by:
-        return df.orderBy(F.desc(time)).limit(n)
-    w = Window.partitionBy(*by).orderBy(F.desc(time))
+        return df.orderBy(*order).limit(n)
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -63,11 +65,11 @@ def quality_status(issues: DataFrame) -> DataFrame:
     return issues.agg(status.alias("status"), (errors == 0).alias("is_valid"), F.count("*").alias("issue_count"))
 
 
-def method_steps(frame: DataFrame) -> DataFrame:
+def method_steps(frame: DataFrame, forecast: str = "EWMA of squared returns, for the next bar") -> DataFrame:
     """interval, step, stage, rule, open_time, value, label, detail: what the last bar's results rest on.
 
     frame: basket_return, market_vol, avg_pairwise_corr, pca1_share, forecast_vol, shock_score, regime. value is a stage's main number,
-    label its label, detail its other numbers as JSON. No stage sees anything later than open_time.
+    label its label, detail its other numbers as JSON; forecast tells what forecast_vol is. No stage sees anything later than open_time.
     """
     none = F.lit(None).cast("string")
 
@@ -78,7 +80,7 @@ def method_steps(frame: DataFrame) -> DataFrame:
     steps = F.array(
         step(1, "returns", "log of a close over the close before", F.col("basket_return")),
         step(2, "features", "windows that end with this bar", F.col("market_vol"), none, F.to_json(F.struct("avg_pairwise_corr", "pca1_share"))),
-        step(3, "forecast", "GARCH(1,1) with t errors, for the next bar", F.col("forecast_vol")),
+        step(3, "forecast", forecast, F.col("forecast_vol")),
         step(4, "shock", "size of the return over the forecast of the bar before", F.col("shock_score")),
         step(5, "regime", "limits are quantiles of all bars up to this one", None, F.col("regime")),
         step(6, "validation", "squared return against the forecast of the bar before", None, F.lit("updated")),

@@ -13,6 +13,7 @@ from tidegauge.operators import evaluation, features, lab, labels, quality
 from tidegauge.plans.base import BENCHMARK, CANDLES, EWMA, LINE, MARKET, RETURNS, W, daily, hourly, query, r, rounded, sql_std, win
 from tidegauge.sources import candles as C
 from tidegauge.sources import store
+from tidegauge.sources.scratch import settled
 
 T = ["open_time"]
 TS = ["open_time", "symbol"]
@@ -137,7 +138,7 @@ i AS (SELECT 'error' AS severity, 'unclosed' AS "check", CAST(NULL AS VARCHAR) A
 
 
 def _issues(spark, d):
-    bars = _broken(hourly(spark, d))
+    bars = settled(_broken(hourly(spark, d)))
     names = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW", "ABSENT"]
     found = quality.validate(bars, "1h", names)
     return found.withColumn("symbol", F.when(F.col("symbol") == "ABSENT", "ABSENT").otherwise(F.lower("symbol")))
@@ -214,7 +215,8 @@ def seasonal_difference(spark, d):
 
 
 def _returns(spark, d):
-    return features.log_returns(hourly(spark, d))
+    """Dense returns of hourly bars, written once a query: ticks are resampled once."""
+    return settled(features.log_returns(hourly(spark, d)))
 
 
 def _market(spark, d):
@@ -318,13 +320,10 @@ ps AS (SELECT open_time, round(last_value(CASE WHEN n >= 18 AND a + e > 0 THEN (
 
 @query("pca1_share_two_symbols", f"WITH {CANDLES}, {RETURNS}, {PCA_TWO} SELECT open_time, pca1_share FROM ps")
 def pca1_share_two_symbols(spark, d):
-    full = features.log_returns(hourly(spark, d)).where(F.col("symbol").isin("click", "view"))
+    full = _returns(spark, d).where(F.col("symbol").isin("click", "view"))
     return rounded(features.pca_share(full, W.medium), T, ["pca1_share"], 7)
 
 
-@query("pca1_share")
-def pca1_share(spark, d):
-    return rounded(features.pca_share(_returns(spark, d), W.long), T, ["pca1_share"], 7)
 
 
 @query("dispersion", f"WITH {CANDLES}, {RETURNS}, {MARKET}, v AS (SELECT *, {sql_std('log_return', W.short, 6, 'symbol')} AS s FROM rt), a AS (SELECT open_time, avg(s) AS s FROM v GROUP BY open_time) SELECT open_time, round(s - market_vol, 8) AS dispersion FROM mv JOIN a USING (open_time)")
@@ -341,7 +340,7 @@ tr AS (SELECT open_time, n, CASE WHEN n >= 8 THEN sxy / nullif(sxx, 0) END AS sl
 
 
 def _trend(spark, d, bars):
-    returns = features.log_returns(bars(spark, d))
+    returns = settled(features.log_returns(bars(spark, d)))
     return features.trend_block(features.volatility_block(features.basket(returns), W), W)
 
 
@@ -397,21 +396,58 @@ def rolling_quantile(spark, d):
     return rounded(labels.rolling_quantile(_market(spark, d), "market_vol", "q40", 0.4, 72, 10), T, ["q40"])
 
 
+SYMBOLS = ("click", "error", "purchase", "signup", "view")
+_CELLS = [(i, j) for i in range(5) for j in range(i, 5)]
+
+
+def _cell(i: int, j: int) -> str:
+    return f"m{min(i, j)}{max(i, j)}"
+
+
+def _pca_all() -> str:
+    """The share of all symbols in SQL: their covariance matrix is squared and scaled until its powers are those of the
+    largest eigenvalue alone; the error is below 2 ** -24 of it."""
+    wide = ", ".join(f"max(log_return) FILTER (symbol = '{s}') AS x{i}" for i, s in enumerate(SYMBOLS))
+    all_there = " AND ".join(f"x{i} IS NOT NULL" for i in range(5))
+    whole = ", ".join(f"CASE WHEN {all_there} THEN x{i} END AS x{i}" for i in range(5))
+    cov = ", ".join(f"covar_pop(x{i}, x{j}) {win(W.long)} AS {_cell(i, j)}" for i, j in _CELLS)
+    out = f"""pw AS (SELECT open_time, {whole} FROM (SELECT open_time, {wide} FROM rt GROUP BY open_time)),
+pm AS (SELECT open_time, count(x0) {win(W.long)} AS n, {cov} FROM pw),
+p0 AS (SELECT open_time, {', '.join(f'{_cell(i, j)} / nullif(' + ' + '.join(f'm{k}{k}' for k in range(5)) + f', 0) AS {_cell(i, j)}' for i, j in _CELLS)} FROM pm WHERE n >= {R.least('pair', W.long)}),
+q0 AS (SELECT * FROM p0)"""
+    for k in range(1, 25):
+        square = lambda i, j: " + ".join(f"{_cell(i, c)} * {_cell(c, j)}" for c in range(5))
+        trace = " + ".join(f"({square(i, i)})" for i in range(5))
+        out += f""",
+q{k} AS (SELECT open_time, {', '.join(f'({square(i, j)}) / nullif({trace}, 0) AS {_cell(i, j)}' for i, j in _CELLS)} FROM q{k - 1})"""
+    rayleigh = " + ".join(f"{2 if i != j else 1} * p0.{_cell(i, j)} * q24.{_cell(i, j)}" for i, j in _CELLS)
+    return out + f""",
+ps AS (SELECT b.open_time, round(last_value(v IGNORE NULLS) OVER (ORDER BY b.open_time), 6) AS pca1_share FROM b LEFT JOIN (SELECT p0.open_time, {rayleigh} AS v FROM p0 JOIN q24 USING (open_time)) USING (open_time))"""
+
+
+PCA_ALL = _pca_all()
+
+
+@query("pca1_share", f"WITH {CANDLES}, {RETURNS}, {PCA_ALL} SELECT open_time, pca1_share FROM ps")
+def pca1_share(spark, d):
+    return rounded(features.pca_share(_returns(spark, d), W.long), T, ["pca1_share"], 6)
+
+
 SPINE = f"""sv AS (SELECT open_time, avg(s) AS s FROM (SELECT *, {sql_std('log_return', W.short, 6, 'symbol')} AS s FROM rt) GROUP BY open_time),
 fr AS (SELECT mv.open_time, basket_return, round(market_vol, 9) AS market_vol, round(coalesce(last_value(sqrt(v) IGNORE NULLS) OVER (ORDER BY mv.open_time), market_vol), 9) AS forecast_vol,
  round(avg_pairwise_corr, 9) AS avg_pairwise_corr, round(s - market_vol, 9) AS dispersion, pca1_share FROM mv LEFT JOIN ew USING (open_time) JOIN ac USING (open_time) JOIN sv USING (open_time) LEFT JOIN ps USING (open_time))"""
 
 
 def _frame(spark, d):
-    """The columns that labels need, rounded so that equal inputs are compared with limits. The PCA share is that of two symbols, which SQL can follow."""
+    """The columns that labels need, rounded so that equal inputs are compared with limits, written once; and the returns."""
     returns = _returns(spark, d)
     market = labels.forecast_series(features.volatility_block(features.basket(returns), W))
     corr = features.average_correlation(returns, W.long)
     vols = features.asset_vols(returns, {"_s": W.short})
-    share = features.pca_share(returns.where(F.col("symbol").isin("click", "view")), W.medium)
+    share = features.pca_share(returns, W.long)
     joined = market.join(corr, list(features.AT)).join(vols, list(features.AT)).join(share, list(features.AT), "left").withColumn("dispersion", F.col("_s") - F.col("market_vol"))
     cols = ["market_vol", "forecast_vol", "avg_pairwise_corr", "dispersion"]
-    return joined.select("interval", "open_time", "basket_return", *(r(c, 9) for c in cols), r("pca1_share", 7)), returns
+    return settled(joined.select("interval", "open_time", "basket_return", *(r(c, 9) for c in cols), r("pca1_share", 6))), returns
 
 
 def _q(x: str, q: float) -> str:
@@ -424,7 +460,7 @@ rg AS (SELECT open_time, CASE WHEN a IS NULL OR m IS NULL OR ch IS NULL OR cl IS
  WHEN (coalesce(forecast_vol, 0) >= a OR coalesce(market_vol, 0) >= m) AND coalesce(avg_pairwise_corr, 0) >= ch AND coalesce(pca1_share, 0) >= ph THEN 'SYSTEMIC_RISK'
  WHEN (coalesce(forecast_vol, 0) >= a OR coalesce(market_vol, 0) >= m) AND coalesce(avg_pairwise_corr, 0) < ch AND coalesce(dispersion, 0) >= dh THEN 'IDIOSYNCRATIC_HIGH_VOL'
  WHEN coalesce(forecast_vol, 0) <= a AND coalesce(avg_pairwise_corr, 0) <= cl AND coalesce(pca1_share, 0) <= pl THEN 'ASSET_SPECIFIC' ELSE 'QUIET_CORRELATED' END AS regime FROM th)"""
-LABELS = f"{CANDLES}, {RETURNS}, {EWMA}, {MARKET}, {PAIRS}, {AVG_CORR}, {PCA_TWO}, {SPINE}"
+LABELS = f"{CANDLES}, {RETURNS}, {EWMA}, {MARKET}, {PAIRS}, {AVG_CORR}, {PCA_ALL}, {SPINE}"
 
 
 @query("regime_labels", f"WITH {LABELS}, {REGIMES} SELECT open_time, regime FROM rg")
@@ -471,8 +507,8 @@ ls AS (SELECT open_time, "return" AS ret, forecast, """ + ", ".join(
 ) + " FROM al)"
 
 
-def _pairs(spark, d):
-    frame, _ = _frame(spark, d)
+def _pairs(spark, d, frame=None):
+    frame = _frame(spark, d)[0] if frame is None else frame
     smooth = features.ewma(frame, "basket_return", "_v", W.short, ["interval"]).select(*features.AT, r(F.sqrt("_v"), 9, "ewma_vol"))
     return evaluation.aligned(frame.join(smooth, list(features.AT), "left"), {"forecast": "forecast_vol", "ewma": "ewma_vol", "naive": "market_vol"})
 
@@ -500,7 +536,8 @@ def calibration_deciles(spark, d):
 
 @query("vol_by_regime", f"""WITH {LABELS}, {REGIMES}, {ALIGNED} SELECT regime, round(stddev_samp("return"), 8) AS realized_vol, round(avg(abs("return")), 8) AS mean_abs_return, count(*) AS observations FROM al JOIN rg USING (open_time) GROUP BY regime""")
 def vol_by_regime(spark, d):
-    out = evaluation.vol_by_regime(_pairs(spark, d), labels.regimes(_frame(spark, d)[0]))
+    frame = _frame(spark, d)[0]
+    out = evaluation.vol_by_regime(_pairs(spark, d, frame), labels.regimes(frame))
     return out.select("regime", r("realized_vol"), r("mean_abs_return"), "observations")
 
 
@@ -575,12 +612,14 @@ def series_hash(spark, d):
 
 
 def _garch(spark, d):
-    """The frame with garch_vol, the history of GARCH forecasts, and ewma_vol; and the last fit's parameters."""
-    frame = _frame(spark, d)[0].persist()  # a row per bar, read by the fits, the history and the labels
-    fitted = lab.garch_fits(frame, ["interval"], "basket_return").persist()  # at most twelve rows, each a fit
+    """The frame on GARCH forecasts, with garch_vol, their history, and ewma_vol; the fits; and the returns. Labels rest on the history, as SQL can't."""
+    frame, returns = _frame(spark, d)
+    fitted = settled(lab.garch_fits(frame, ["interval"], "basket_return"))  # a row per fit
     smooth = features.ewma(frame, "basket_return", "_v", W.short, ["interval"]).select(*features.AT, F.sqrt("_v").alias("ewma_vol"))
-    history = lab.garch_history(frame, fitted, ["interval"], "basket_return").withColumnRenamed("volatility", "garch_vol")
-    return frame.join(smooth, list(features.AT), "left").join(history, list(features.AT), "left"), fitted
+    history = settled(lab.garch_history(frame, fitted, ["interval"], "basket_return"))
+    on_garch = labels.forecast_series(frame.drop("forecast_vol"), history=history)
+    joined = on_garch.join(smooth, list(features.AT), "left").join(history.withColumnRenamed("volatility", "garch_vol"), list(features.AT), "left")
+    return settled(joined), fitted, returns
 
 
 GARCH = {"garch": "garch_vol", "ewma": "ewma_vol", "naive": "market_vol"}
@@ -599,10 +638,10 @@ def walk_forward_garch(spark, d):
 
 @query("diagnostic_tests")
 def diagnostic_tests(spark, d):
-    frame, fitted = _garch(spark, d)
-    last = fitted.orderBy(F.desc("refit")).select("alpha", "beta", "nu").first()  # the parameters of one fit
+    frame, fitted, returns = _garch(spark, d)
+    last = fitted.where("volatility IS NOT NULL").orderBy(F.desc("refit")).select("alpha", "beta", "nu").first()  # the parameters of one fit
     params = {} if last is None else {"alpha[1]": last["alpha"], "beta[1]": last["beta"], "nu": last["nu"]}
-    labelled = labels.regimes(labels.shocks(frame.drop("garch_vol", "fitted"), _returns(spark, d))).select("interval", "regime", "shock_type")
+    labelled = labels.regimes(labels.shocks(frame.drop("garch_vol", "fitted"), returns)).select("interval", "regime", "shock_type")
     return evaluation.diagnostics(frame.select(*features.AT, "basket_return", *GARCH.values()), params, labelled=labelled)
 
 

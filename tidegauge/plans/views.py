@@ -9,6 +9,7 @@ from tidegauge.plans import market, models
 from tidegauge.plans.base import CANDLES, RETURNS, W, hourly, query, r
 from tidegauge.plans.market import ALIGNED, FORECASTS, LABELS, REGIMES, SHOCKS
 from tidegauge.plans.models import EVALUATION, FITS, STABILITY
+from tidegauge.sources.scratch import settled
 
 FORECAST_COLUMNS = {"forecast": "forecast_vol", "ewma": "ewma_vol", "naive": "market_vol"}
 SERIES = ("basket_return", "market_vol", "forecast_vol", "avg_pairwise_corr", "dispersion", "pca1_share", "log_price", "standardized_residual")
@@ -46,13 +47,18 @@ def data_quality_status(spark, d):
 
 
 @query("method_steps", f"""WITH {LABELS}, {REGIMES}, {SHOCKS}, n AS (SELECT st.*, regime FROM st JOIN rg USING (open_time) ORDER BY open_time DESC LIMIT 1)
-SELECT step, stage, open_time, round(value, 6) AS value, label FROM (
- SELECT 1 AS step, 'returns' AS stage, open_time, basket_return AS value, NULL AS label FROM n UNION ALL SELECT 2, 'features', open_time, market_vol, NULL FROM n
- UNION ALL SELECT 3, 'forecast', open_time, forecast_vol, NULL FROM n UNION ALL SELECT 4, 'shock', open_time, score, NULL FROM n
- UNION ALL SELECT 5, 'regime', open_time, NULL, regime FROM n UNION ALL SELECT 6, 'validation', open_time, NULL, 'updated' FROM n)""")
+SELECT step, stage, rule, open_time, round(value, 6) AS value, label, CASE WHEN step = 2 THEN round(avg_pairwise_corr, 7) END AS corr, CASE WHEN step = 2 THEN round(pca1_share, 6) END AS share FROM (
+ SELECT 1 AS step, 'returns' AS stage, 'log of a close over the close before' AS rule, basket_return AS value, NULL AS label, n.* FROM n
+ UNION ALL SELECT 2, 'features', 'windows that end with this bar', market_vol, NULL, n.* FROM n
+ UNION ALL SELECT 3, 'forecast', 'EWMA of squared returns, for the next bar', forecast_vol, NULL, n.* FROM n
+ UNION ALL SELECT 4, 'shock', 'size of the return over the forecast of the bar before', score, NULL, n.* FROM n
+ UNION ALL SELECT 5, 'regime', 'limits are quantiles of all bars up to this one', NULL, regime, n.* FROM n
+ UNION ALL SELECT 6, 'validation', 'squared return against the forecast of the bar before', NULL, 'updated', n.* FROM n)""")
 def method_steps(spark, d):
     frame, returns = market._frame(spark, d)
-    return views.method_steps(labels.regimes(labels.shocks(frame, returns))).select("step", "stage", "open_time", r("value", 6), "label")
+    detail = F.from_json("detail", "avg_pairwise_corr double, pca1_share double")
+    got = views.method_steps(labels.regimes(labels.shocks(frame, returns)))
+    return got.select("step", "stage", "rule", "open_time", r("value", 6), "label", r(detail["avg_pairwise_corr"], 7, "corr"), r(detail["pca1_share"], 6, "share"))
 
 
 @query("label_concentration", f"""WITH {LABELS}, {REGIMES}, {SHOCKS}, k AS (SELECT regime, count(*) AS n FROM rg WHERE regime IS NOT NULL GROUP BY regime)
@@ -108,11 +114,11 @@ def json_rows(spark, d):
 @query("snapshot_tables")
 def snapshot_tables(spark, d):
     """Every row of a snapshot as JSON beside its table's name."""
-    candles = hourly(spark, d)
-    frame, returns = market._frame(spark, d)
+    candles = settled(hourly(spark, d))
+    frame, _, returns = market._garch(spark, d)
     prices = features.basket(returns).select(*features.AT, "basket_price")
-    full = labels.regimes(labels.shocks(frame, returns)).join(prices, list(features.AT))
-    tables = views.snapshot(candles, full, "1h", losses=evaluation.losses(market._pairs(spark, d), FORECASTS)).tables
+    full = settled(labels.regimes(labels.shocks(frame, returns)).join(prices, list(features.AT)))
+    tables = views.snapshot(candles, full, "1h", losses=settled(evaluation.losses(market._pairs(spark, d, frame.drop("ewma_vol")), FORECASTS))).tables
     parts = [views.json_rows(df).select(F.lit(name).alias("name"), "value") for name, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidegauge.functions.intervals import interval_seconds
 from tidegauge.sources import store
@@ -101,33 +101,117 @@ def resample_stream(ticks: DataFrame, interval: str, lateness: str = "1 hour", t
     return out.select("symbol", F.lit(interval).alias("interval"), F.col("window.start").alias("open_time"), (F.col("window.end") - F.expr("interval 1 millisecond")).alias("close_time"), "open", "high", "low", "close", "volume", F.lit(True).alias("is_closed"))
 
 
+def over_windows(ticks: DataFrame, lateness: str, width: str | None = None, slide: str | None = None, gap: str | None = None, time: str = "ts", symbol: str = "symbol", price: str = "price", order: str = "id") -> DataFrame:
+    """symbol, start, end, open, high, low, close and ticks of tumbling (width), sliding (width, slide) or session (gap) windows, of a stream or a batch.
+
+    A stream gives a window when no tick within the lateness can change it; what comes later is dropped and counted (Status.late).
+    """
+    if (gap is None) == (width is None):
+        raise ValueError("give width, for tumbling or sliding windows, or gap, for sessions")
+    window = F.session_window(time, gap) if gap else F.window(time, width, slide or width)
+    at = F.struct(time, order)
+    out = ticks.withWatermark(time, lateness).groupBy(window.alias("w"), F.col(symbol).alias("symbol")).agg(
+        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.count("*").alias("ticks")
+    )
+    return out.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "ticks")
+
+
 def distinct_within(candles: DataFrame, lateness: str) -> DataFrame:
     """The first of each candle within the lateness; the time column must be a timestamp with zone."""
     return candles.withWatermark("open_time", lateness).dropDuplicatesWithinWatermark(["symbol", "interval", "open_time"])
 
 
-def running_ewma(returns: DataFrame, span: int, refit_every: int = 0) -> DataFrame:
-    """symbol, open_time, volatility, bars and refits due, per closed bar, from state that lasts across batches.
+class _Volatility(StatefulProcessor):
+    """Running EWMA volatility of one symbol, whose last bars may still be corrected.
+
+    State: base, what the bars before the horizon have come to, and recent, the bars since, which later rows may add to or replace. The
+    horizon is `lateness` seconds before the symbol's newest bar.
+    """
+
+    def __init__(self, span: int, lateness: int, silence: int, refit_every: int):
+        self.alpha, self.lateness, self.silence, self.refit_every = 2 / (span + 1), timedelta(seconds=lateness), silence, refit_every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.base = handle.getValueState("base", "v double, n long, at timestamp")
+        self.recent = handle.getListState("recent", "at timestamp, r double")
+        self.timer = handle.getValueState("timer", "due long")
+
+    def _next(self, v: float | None, n: int, r: float | None) -> tuple[float | None, int]:
+        if r is None or pd.isna(r):
+            return v, n
+        return (r * r if v is None else self.alpha * r * r + (1 - self.alpha) * v), n + 1
+
+    def _wake(self, timers) -> None:
+        if self.silence:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            due = timers.getCurrentProcessingTimeInMs() + 1000 * self.silence
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        v, n, horizon = self.base.get() if self.base.exists() else (None, 0, None)
+        bars = {pd.Timestamp(at): r for at, r in self.recent.get()} if self.recent.exists() else {}
+        known, came, out = set(bars), set(), []
+        for f in rows:
+            for at, r in f[["open_time", "log_return"]].itertuples(index=False):
+                at = pd.Timestamp(at)
+                if horizon is not None and at <= pd.Timestamp(horizon):
+                    out.append((key[0], at, None, None, False, "late"))
+                elif at not in bars or bars[at] != r:
+                    bars[at] = None if pd.isna(r) else float(r)
+                    came.add(at)
+        first, order = min(came, default=None), sorted(bars)
+        limit = order[-1] - self.lateness if order else None
+        w, m = v, n
+        for at in order:
+            w, m = self._next(w, m, bars[at])
+            if first is not None and at >= first and w is not None and bars[at] is not None:
+                out.append((key[0], at, w**0.5, m, bool(self.refit_every) and m % self.refit_every == 0, "revised" if at in known else "new"))
+        for at in order:
+            if at <= limit:
+                v, n = self._next(v, n, bars.pop(at))
+                horizon = at
+        if horizon is not None:
+            self.base.update((v, n, pd.Timestamp(horizon).to_pydatetime()))
+        if bars:
+            self.recent.put([(at.to_pydatetime(), bars[at]) for at in sorted(bars)])
+        else:
+            self.recent.clear()
+        self._wake(timerValues)
+        yield _volatility_frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.base, self.recent, self.timer):
+            state.clear()
+        yield _volatility_frame([(key[0], None, None, None, False, "silent")])
+
+    def close(self) -> None:
+        pass
+
+
+VOLATILITY = "symbol string, open_time timestamp, volatility double, bars long, refit_due boolean, kind string"
+
+
+def _volatility_frame(rows: list[tuple]) -> pd.DataFrame:
+    f = pd.DataFrame(rows, columns=["symbol", "open_time", "volatility", "bars", "refit_due", "kind"])
+    return f.astype({"open_time": "datetime64[ns]", "volatility": "float64", "bars": "Int64"})
+
+
+#: The state store that keyed state with timers needs.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def running_ewma(returns: DataFrame, span: int, refit_every: int = 0, lateness: int = 0, silence: int = 0) -> DataFrame:
+    """symbol, open_time, volatility, bars so far, refit_due and kind for closed bars, from state that lasts across batches and restarts.
 
-    returns: a stream of symbol, open_time and log_return, in time order for each symbol within a batch.
+    returns: a stream of symbol, open_time and log_return. A bar that comes late or again within `lateness` seconds of its symbol's newest one is put
+    in its place: it and the bars after it are emitted anew, kind "new" or "revised". Older ones are "late" and change nothing. A symbol that is
+    silent for `silence` seconds (0: never) is forgotten, which a row of kind "silent" tells. The session needs the setting ROCKS.
     """
-    a = 2 / (span + 1)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        v, n = state.get if state.exists else (None, 0)
-        out = []
-        for f in sorted((f for f in frames if len(f)), key=lambda f: f["open_time"].min()):
-            for t, x in f.sort_values("open_time")[["open_time", "log_return"]].itertuples(index=False):
-                if pd.notna(x):
-                    v = x * x if v is None else a * x * x + (1 - a) * v
-                    n += 1
-                    out.append((key[0], t, v**0.5, n, bool(refit_every) and n % refit_every == 0))
-        if v is not None:
-            state.update((v, n))
-        yield pd.DataFrame(out, columns=["symbol", "open_time", "volatility", "bars", "refit_due"])
-
-    return returns.groupBy("symbol").applyInPandasWithState(
-        run, "symbol string, open_time timestamp, volatility double, bars long, refit_due boolean", "v double, n long", "append", GroupStateTimeout.NoTimeout
+    return returns.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=_Volatility(span, lateness, silence, refit_every), outputStructType=VOLATILITY, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
@@ -138,6 +222,7 @@ class Status(StreamingQueryListener):
         self.running = mode
         self.mode: dict[str, str] = {}
         self.rows: dict[str, int] = {}
+        self.late: dict[str, int] = {}  # rows that came after their windows had been given out
 
     def onQueryStarted(self, event) -> None:
         self.mode[str(event.id)] = "BOOTSTRAP"
@@ -146,6 +231,7 @@ class Status(StreamingQueryListener):
         key = str(event.progress.id)
         self.mode[key] = self.running
         self.rows[key] = self.rows.get(key, 0) + (event.progress.numInputRows or 0)
+        self.late[key] = self.late.get(key, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
 
     def onQueryIdle(self, event) -> None:
         pass
