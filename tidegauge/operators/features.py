@@ -17,6 +17,7 @@ from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import log_price, parkinson
 from tidegauge.operators import blocks
 from tidegauge.sources.candles import closed_only
+from tidegauge.sources.scratch import settled
 
 AT = ("interval", "open_time")
 FEATURES = (
@@ -56,10 +57,15 @@ def close_matrix(candles: DataFrame, symbols: list[str]) -> DataFrame:
     return dense_closes(candles).groupBy(*AT).pivot("symbol", symbols).agg(F.first("close"))
 
 
-def log_returns(candles: DataFrame) -> DataFrame:
+def returns_of(closes: DataFrame) -> DataFrame:
+    """Adds log_price and log_return to dense closes."""
     w = R.ordered("interval", "symbol")
     price = log_price(F.col("close"))
-    return dense_closes(candles).withColumn("log_price", price).withColumn("log_return", F.col("log_price") - F.lag("log_price").over(w))
+    return closes.withColumn("log_price", price).withColumn("log_return", F.col("log_price") - F.lag("log_price").over(w))
+
+
+def log_returns(candles: DataFrame) -> DataFrame:
+    return returns_of(dense_closes(candles))
 
 
 def basket(returns: DataFrame) -> DataFrame:
@@ -226,9 +232,10 @@ def trend_block(market: DataFrame, w: Windows) -> DataFrame:
 
 
 def feature_bundle(candles: DataFrame, benchmark: str, w: Windows = Windows(), stride: int | None = None) -> FeatureBundle:
-    """All features on the spine of bar times."""
-    returns = log_returns(candles)
-    market = trend_block(volatility_block(blocks.numbered(basket(returns), ["interval"]), w), w)
+    """All features on the spine of bar times. Returns and the market's series are written once, as every part reads them."""
+    closes = settled(dense_closes(candles))
+    returns = settled(returns_of(closes))
+    market = settled(trend_block(volatility_block(blocks.numbered(basket(returns), ["interval"]), w), w))
     vols = asset_vols(returns, {"avg_asset_vol_short": w.short, "avg_asset_vol_medium": w.medium, "avg_asset_vol_long": w.long})
     smooth = ewma(market, "basket_return", "_v", w.short, ["interval"]).withColumn("ewma_vol", F.sqrt("_v")).drop("_v")
     betas = beta(returns, benchmark, w.medium).groupBy(*AT).agg(F.avg("beta").alias("avg_btc_beta"))
@@ -236,4 +243,4 @@ def feature_bundle(candles: DataFrame, benchmark: str, w: Windows = Windows(), s
     for part in parts:
         market = market.join(part, list(AT), "left")
     market = market.withColumn("dispersion", F.col("avg_asset_vol_short") - F.col("market_vol"))
-    return FeatureBundle(dense_closes(candles), returns, market.select(*AT, *FEATURES))
+    return FeatureBundle(closes, returns, market.select(*AT, *FEATURES))

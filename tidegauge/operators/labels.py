@@ -9,6 +9,7 @@ from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import regime, shock
 from tidegauge.operators import blocks
 from tidegauge.operators.features import AT, ewma
+from tidegauge.sources.scratch import settled
 
 
 def forecast_series(market: DataFrame, span: int = 24, history: DataFrame | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def shocks(frame: DataFrame, returns: DataFrame, n: int = 24, severe: float = 3.
         score = R.ratio(F.abs(b), F.lag("forecast_vol").over(R.ordered(*keys)))
         return rows.withColumns({"shock_score": score, "_rv": R.std(b, R.trailing(6, *keys), 3)})
 
-    placed = blocks.numbered(frame.join(breadth, list(AT), "left"), ["interval"])
+    placed = settled(blocks.numbered(frame.join(breadth, list(AT), "left"), ["interval"]))
     out = blocks.sliding(blocks.windowed(placed, ["interval"], 6, scores), ["interval"], "_rv", max(n, 30), 6, quantiles={"_base": 0.5})
     jump = lambda keys, rows: rows.withColumn("rv_jump_ratio", R.ratio(F.col("_rv"), F.lag("_base").over(R.ordered(*keys))))
     out = blocks.windowed(out, ["interval"], 1, jump).drop(blocks.PLACE)
