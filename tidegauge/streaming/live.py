@@ -208,10 +208,10 @@ def running_ewma(returns: DataFrame, span: int, refit_every: int = 0, lateness:
 
     returns: a stream of symbol, open_time and log_return. A bar that comes late or again within `lateness` seconds of its symbol's newest one is put
     in its place: it and the bars after it are emitted anew, kind "new" or "revised". Older ones are "late" and change nothing. A symbol that is
-    silent for `silence` seconds (0: never) is forgotten, which a row of kind "silent" tells. The session needs the setting ROCKS.
+    silent for `silence` seconds (0: never) is forgotten, which a row of kind "silent" tells; a query with such timers runs until it is stopped. The session needs the setting ROCKS.
     """
     return returns.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=_Volatility(span, lateness, silence, refit_every), outputStructType=VOLATILITY, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_Volatility(span, lateness, silence, refit_every), outputStructType=VOLATILITY, outputMode="Append", timeMode="ProcessingTime" if silence else "None"
     )
 
 
