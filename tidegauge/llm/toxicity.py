@@ -1,9 +1,9 @@
 """Toxicity scores: misspelled lexicon terms by automaton, weighed by the words around them.
 
-Training. From a bounded sample of labelled rows (SAMPLE of them, the smallest by a hash of their id) Spark counts in how many toxic and
+Training. From a bounded sample of labelled rows (SAMPLE of them, the smallest by a hash of their id, with one text each) Spark counts in how many toxic and
 clean texts each word of 3 to 40 letters, and each word beginning (written with *), occurs. Those in a share of at least LEAST_SHARE of
 the toxic texts, and far commoner there than in clean ones, are the lexicon; nothing else limits it. Spark then counts the words around
-its hits: those that tell toxic from clean texts with hits, a verb of saying, say, or a word of address, get a weight of their own.
+its hits: those of at most 40 characters that tell toxic from clean texts with hits, a verb of saying, say, or a word of address, get a weight of their own.
 The hits in the sample give each row a few features, on which the driver fits a logistic regression.
 
 Scoring. The lexicon is a trie; Levenshtein automata of all its terms run over it at once: a state is a set of (trie node,
@@ -12,7 +12,7 @@ of a text is looked up in a memo, or run through the automaton once. A hit insid
 context score is its weight times what the words around it weigh. Every whole text is scored; nothing but the text is an input.
 
 Defined results: null and empty texts have the score of a text without hits; a null label is no label, and of several labels of a doc_id the
-greatest counts; with labels of one kind only, or without any, all scores are 0; repeated rows score alike; an empty table gives no rows;
+greatest counts; with labels of one kind only, or without any, all scores are 0; of rows that repeat a doc_id the text with the smallest hash is learned from; repeated rows score alike; an empty table gives no rows;
 extra columns stay (in filter_toxic) or are not carried.
 """
 
@@ -72,6 +72,7 @@ class Lexicon:
         self.weights = weights
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.beginning: list[str | None] = [None]  # a node may end a term and a beginning
         self.most = [0]
         for term in sorted(weights):
             at, k = 0, edits(term)
@@ -81,10 +82,11 @@ class Lexicon:
                     self.children[at][c] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.beginning.append(None)
                     self.most.append(0)
                 at = self.children[at][c]
                 self.most[at] = max(self.most[at], k)
-            self.term[at] = term if self.term[at] is None or self.term[at].endswith("*") else self.term[at]
+            (self.beginning if term.endswith("*") else self.term)[at] = term
         self._fresh()
 
     def _fresh(self) -> None:
@@ -108,8 +110,8 @@ class Lexicon:
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(key)
-            exact = (self.term[node] for node, e in key if e == 0)
-            self.begun.append(next((self.weights[t] for t in exact if t and t.endswith("*")), None))
+            exact = (self.beginning[node] for node, e in key if e == 0)
+            self.begun.append(next((self.weights[t] for t in exact if t), None))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -126,24 +128,24 @@ class Lexicon:
         return self._state(reached)
 
     def look(self, word: str) -> tuple[float, float] | None:
-        """(weight if spelled right, weight if misspelled) of the best term the word matches."""
+        """(weight if spelled right, weight if misspelled) of the best term the word matches, be it as a whole or by its beginning."""
         if len(self.states) > STATES:
             self._fresh()
-        at = self.start
+        at, right = self.start, None
         for c in word:
             to = self.next.get((at, c))
             if to is None:
                 to = self.next[at, c] = self._step(at, c)
             at = to
             if not self.states[at]:
-                return None
+                break
             if (begun := self.begun[at]) is not None:
-                return (begun, 0.0)
-        best = min(
-            ((e, -self.weights[t]) for node, e in self.states[at] if (t := self.term[node]) and not t.endswith("*") and e <= edits(t)),
-            default=None,
-        )
-        return None if best is None else (-best[1], 0.0) if best[0] == 0 else (0.0, -best[1])
+                right = begun if right is None else max(right, begun)
+        ends = [(e, self.weights[t]) for node, e in self.states[at] if (t := self.term[node]) and e <= edits(t)]
+        exact = [w for e, w in ends if e == 0] + ([] if right is None else [right])
+        if exact:
+            return (max(exact), 0.0)
+        return None if not ends else (0.0, -min((e, -w) for e, w in ends)[1])
 
 
 class Memo(dict):
@@ -205,14 +207,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic and text of at most `rows` labelled rows outside the held-out fifth."""
+    """doc_id, toxic and text of at most `rows` labelled rows outside the held-out fifth, one for each doc_id."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return texts(docs).join(F.broadcast(known), "doc_id")  # `rows` bounds what is broadcast
+    found = texts(docs).join(F.broadcast(known), "doc_id")  # `rows` bounds what is broadcast
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text")))  # aggregated before the shuffle, however often a doc_id occurs
+    return found.groupBy("doc_id", "toxic").agg(one.alias("one")).select("doc_id", "toxic", "one.text")
 
 
 def lexicon(rows: DataFrame) -> dict[str, float]:
