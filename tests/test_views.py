@@ -109,6 +109,18 @@ def test_snapshot_is_bounded_and_json(frame, make_candles):
     assert [steps[s]["value"] for s in ("shock", "regime")] == [89.0, None] and steps["regime"]["label"] == "CALM" and len(steps) == 6
 
 
+@pytest.mark.parametrize("name, value", [("symbols", [" "]), ("interval", "7m"), ("analysis_period", "ever"), ("forecast_horizon_bars", 0), ("search_mode", "slow"), ("target_view", 3), ("pca_window", "30"), ("symbols", 5)])
+def test_an_error_names_the_setting(name, value):
+    with pytest.raises(ValueError, match=f"^{name}: "):
+        settings.Settings(**{name: value})
+
+
+def test_settings_are_normalised():
+    got = settings.Settings(symbols=[" abc ", ""], interval="1H", search_mode=" Two-Stage", candidate_model_groups=[], refit_stride_bars=-3)
+    assert got.symbols == ("ABC",) and got.interval == "1h" and got.search_mode == "two_stage" and got.refit_stride_bars == 1
+    assert got.candidate_model_groups == settings.GROUPS
+
+
 def test_settings_from_a_file(tmp_path):
     file = tmp_path / "s.toml"
     assert settings.load(file) == settings.Settings()
