@@ -145,6 +145,11 @@ def mean_model(model: str, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.zeros(len(y)), y, 1
 
 
+def shifted(model: str, n: int) -> bool:
+    """Whether residuals are the values less a constant. They have the values' variance, and by taking it from these models tie to the last bit."""
+    return model in ("constant_mean", "stl_trend") or (model == "ar_2" and n <= 4)
+
+
 def variance(model: str, e: np.ndarray) -> np.ndarray:
     n = e.shape[1]
     if n < 2:
@@ -189,7 +194,7 @@ def fit(model: str, y: np.ndarray) -> dict[str, np.ndarray | int]:
         none = np.full(m, np.nan)
         return {"ok": np.zeros(m, bool), "k": 0, "n": 1, "ll": none, "mean": np.zeros(m), "variance": np.full(m, EPS)}
     forecast, e, k = mean_model(model, y)
-    v = variance(model, e)
+    v = variance(model, y if shifted(model, y.shape[1]) else e)
     return {"ok": np.ones(m, bool), "k": max(k, PARAMETERS.get(model, k)), "n": max(1, e.shape[1]), "ll": log_likelihood(model, e, v), "mean": forecast, "variance": v}
 
 
