@@ -57,3 +57,7 @@ def by_candidate(rows, *order):
 
 def test_timeline_ranks_equal_losses_alike(lines, ranks):
     assert by_candidate(lines, "origin") == ranks
+
+
+def test_heatmap_ranks_equal_losses_alike(lines, ranks):
+    assert by_candidate(lab.rank_heatmap(lines, ["symbol"]), "realization_time") == ranks
