@@ -66,3 +66,10 @@ def test_heatmap_ranks_equal_losses_alike(lines, ranks):
 def test_stability_of_equal_losses(lines, ranks):
     got = {x["candidate"]: x["rank_stability"] for x in lab.rank_stability(lines, ["symbol"]).collect()}
     assert got == pytest.approx({c: 1 / (1 + np.abs(np.diff(r)).mean()) for c, r in ranks.items()}, abs=1e-12)
+
+
+def test_simulation_steps_rank_equal_losses_alike(returns, ranks):
+    steps = simulation.steps(returns, CHOSEN, T, H, STRIDE)
+    assert by_candidate(steps, "origin") == ranks
+    pairs = steps.where(F.col("candidate").isin(NAIVE, CONSTANT)).groupBy("origin").agg(F.countDistinct("rmse_loss").alias("n"))
+    assert pairs.where("n <> 1").count() == 0
