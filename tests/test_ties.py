@@ -73,3 +73,8 @@ def test_simulation_steps_rank_equal_losses_alike(returns, ranks):
     assert by_candidate(steps, "origin") == ranks
     pairs = steps.where(F.col("candidate").isin(NAIVE, CONSTANT)).groupBy("origin").agg(F.countDistinct("rmse_loss").alias("n"))
     assert pairs.where("n <> 1").count() == 0
+
+
+def test_evaluation_of_equal_losses(returns, ranks):
+    got = {x["candidate"]: x["rank_stability"] for x in simulation.model_evaluation(simulation.steps(returns, CHOSEN, T, H, STRIDE)).collect()}
+    assert got == pytest.approx({c: 1 / (1 + np.std(r)) for c, r in ranks.items()}, abs=1e-12)
