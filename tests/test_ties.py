@@ -78,3 +78,23 @@ def test_simulation_steps_rank_equal_losses_alike(returns, ranks):
 def test_evaluation_of_equal_losses(returns, ranks):
     got = {x["candidate"]: x["rank_stability"] for x in simulation.model_evaluation(simulation.steps(returns, CHOSEN, T, H, STRIDE)).collect()}
     assert got == pytest.approx({c: 1 / (1 + np.std(r)) for c, r in ranks.items()}, abs=1e-12)
+
+
+@pytest.fixture(scope="module")
+def board(spark):
+    """Three candidates; the means of the first two are the same values added up in two orders."""
+    forth, back = ((0.1 + 0.2) + 0.3) / 3, ((0.3 + 0.2) + 0.1) / 3
+    assert forth != back
+    rows = [
+        ("BASKET", NAIVE, "naive_mean", True, 3.0, 3.0, 3.0, max(forth, back), max(forth, back), max(forth, back)),
+        ("BASKET", CONSTANT, "constant_mean", True, 3.0, 3.0, 3.0, min(forth, back), min(forth, back), min(forth, back)),
+        ("BASKET", "realized_vol:log_return", "realized_vol", True, 4.0, 4.0, 4.0, 0.5, None, 0.5),
+    ]
+    names = "symbol string, candidate string, model_id string, converged boolean, aic double, bic double, hqic double, avg_qlike double, avg_rmse double, avg_mae double"
+    stage, stability = spark.createDataFrame(rows, names), spark.createDataFrame([("BASKET", r[1], 0.5) for r in rows], "symbol string, candidate string, rank_stability double")
+    return lab.leaderboard(stage, stability, ["symbol"], lab.specs_frame(spark, CHOSEN))
+
+
+def test_leaderboard_ranks_equal_means_alike(board):
+    got = {x["candidate"]: (x["rank"], x["composite_rank_score"]) for x in board.collect()}
+    assert got == {NAIVE: (1, 8.0), CONSTANT: (2, 8.0), "realized_vol:log_return": (3, 2 + 2 + 2 + 2 * 2 + 3 + 2 + 1)}

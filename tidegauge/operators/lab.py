@@ -330,10 +330,20 @@ def dense_rank_or_last(metric: str, by: list[str], ascending: bool = True) -> Co
     return F.when(F.col(metric).isNotNull(), rank).otherwise(F.count("*").over(Window.partitionBy(*by)))
 
 
+def levelled(rows: DataFrame, metric: str, by: list[str]) -> DataFrame:
+    """Equal values added up in different orders differ in their last bits: means within 1e-12 of the next smaller one become the least of them."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(metric))
+    apart = F.col(metric) - F.lag(metric).over(w) > 1e-12 * F.abs(metric)
+    out = rows.withColumn("_level", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("_level", F.sum("_level").over(w))
+    return out.withColumn(metric, F.min(metric).over(Window.partitionBy(*by, "_level"))).drop("_level")
+
+
 def leaderboard(stage: DataFrame, stability: DataFrame | None, by: list[str], ordinals: DataFrame) -> DataFrame:
     """Composite score and rank of each candidate; ties keep the candidates' order."""
     out = stage.join(stability, [*by, "candidate"], "left") if stability is not None else stage.withColumn("rank_stability", F.lit(None).cast("double"))
     out = out.join(F.broadcast(ordinals.select("candidate", "ordinal")), "candidate").withColumn("rank_stability", F.coalesce("rank_stability", F.lit(0.0)))
+    for metric in ("avg_qlike", "avg_rmse", "avg_mae"):
+        out = levelled(out, metric, by)
     score = F.when(F.col("converged"), 0).otherwise(F.count("*").over(Window.partitionBy(*by)))
     for metric, weight in (("aic", 1), ("bic", 1), ("hqic", 1), ("avg_qlike", 2), ("avg_rmse", 1), ("avg_mae", 1)):
         score = score + weight * dense_rank_or_last(metric, by)
