@@ -98,3 +98,8 @@ def board(spark):
 def test_leaderboard_ranks_equal_means_alike(board):
     got = {x["candidate"]: (x["rank"], x["composite_rank_score"]) for x in board.collect()}
     assert got == {NAIVE: (1, 8.0), CONSTANT: (2, 8.0), "realized_vol:log_return": (3, 2 + 2 + 2 + 2 * 2 + 3 + 2 + 1)}
+
+
+def test_uncertainty_of_equal_means_is_high(board):
+    (got,) = lab.model_uncertainty(board, ["symbol"]).collect()
+    assert (got["candidate"], got["gap"], got["uncertainty"]) == (NAIVE, 0.0, "high")
