@@ -2,7 +2,8 @@
 
 Toxic documents go; lines that occur earlier go; of each group of documents whose five-word shingles are alike by 0.8 or
 more the smallest doc_id stays (found by SimHash at a measured recall, each link verified, see nearcopies.py); personal data gets pseudonyms; what is left is packed. A document that lost all its lines stays as an empty text until the
-third stage, where all empty texts are one group.
+third stage, where all empty texts are one group. Stages with Python workers lower the session's rows per Arrow batch, and leave it so, as their
+results are computed later.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import linededup, nearcopies, packing, pii, toxicity
-from tidegauge.llm.common import settle, table
+from tidegauge.llm.common import settle, small_batches, table
 from tidegauge.llm.queries import pii_key
 
 #: Word shingles of the near-duplicate stage, and their Jaccard similarity from which documents are near copies.
@@ -26,14 +27,17 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.filter_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _like(docs, linededup.remove_lines(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return nearcopies.first_of_group(docs, SHINGLE, ALIKE)
 
 
@@ -42,6 +46,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: The characters with Unicode's White_Space property, as a regex class body.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
+#: Rows of a batch that a Python worker gets in the pipeline.
+BATCH = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,5 +85,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH rows go to a Python worker at once, from now on: texts are long, and both sides hold a batch several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:  # not positive: without limit
+        spark.conf.set(key, str(BATCH))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
