@@ -112,6 +112,12 @@ def ma(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean + THETA * before, e
 
 
+def line(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centred time, slopes) of least-squares lines."""
+    t = np.arange(y.shape[1]) - (y.shape[1] - 1) / 2
+    return t, y @ t / (t @ t)
+
+
 def mean_model(model: str, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(forecast, residuals, parameters) of a candidate's mean."""
     n = y.shape[1]
@@ -130,8 +136,7 @@ def mean_model(model: str, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         f, e, _ = ar(np.diff(y, axis=1), 1)
         return y[:, -1] + f, e, 4
     if model == "rolling_ols_trend":
-        t = np.arange(n) - (n - 1) / 2
-        slope = y @ t / (t @ t)
+        t, slope = line(y)
         return mean + slope * (n - (n - 1) / 2), y - mean[:, None] - slope[:, None] * t, 3
     if model == "seasonal_ar_1":
         if n <= PERIOD + 4:
@@ -150,6 +155,14 @@ def shifted(model: str, n: int) -> bool:
     return model in ("constant_mean", "stl_trend") or (model == "ar_2" and n <= 4)
 
 
+def trend_variance(y: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Variance about a line: the values' variance less what the slope explains, so that a slope of zero but for rounding ties with the mean
+    to the last bit. Where the slope explains most, the difference would lose digits and the residuals' variance is taken."""
+    t, slope = line(y)
+    whole, explained = y.var(axis=1, ddof=1), slope * slope * (t @ t) / (y.shape[1] - 1)
+    return np.where(explained < whole / 2, whole - explained, e.var(axis=1, ddof=1))
+
+
 def variance(model: str, e: np.ndarray) -> np.ndarray:
     n = e.shape[1]
     if n < 2:
@@ -194,7 +207,7 @@ def fit(model: str, y: np.ndarray) -> dict[str, np.ndarray | int]:
         none = np.full(m, np.nan)
         return {"ok": np.zeros(m, bool), "k": 0, "n": 1, "ll": none, "mean": np.zeros(m), "variance": np.full(m, EPS)}
     forecast, e, k = mean_model(model, y)
-    v = variance(model, y if shifted(model, y.shape[1]) else e)
+    v = trend_variance(y, e) if model == "rolling_ols_trend" else variance(model, y if shifted(model, y.shape[1]) else e)
     return {"ok": np.ones(m, bool), "k": max(k, PARAMETERS.get(model, k)), "n": max(1, e.shape[1]), "ll": log_likelihood(model, e, v), "mean": forecast, "variance": v}
 
 
