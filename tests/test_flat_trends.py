@@ -85,3 +85,12 @@ def test_variance_of_a_steep_line_is_that_of_its_residuals():
 def test_evaluation_with_a_flat_trend(returns, ranks):
     got = {x["candidate"]: x["rank_stability"] for x in simulation.model_evaluation(simulation.steps(returns, CHOSEN, T, H, STRIDE)).collect()}
     assert got == pytest.approx({c: 1 / (1 + np.std(r)) for c, r in ranks.items()}, abs=1e-12)
+
+
+def test_uncertainty_of_a_flat_trend(spark):
+    """No window has a slope, so the constant mean and the trend differ in three criteria only; by rounding the line of every other window would rank alone."""
+    two = [s for s in CHOSEN if s.candidate in (CONSTANT, TREND)]
+    rows = fitted(frame(spark, mirrored(7, [k > 0 for k in range(9)])), two)
+    board = lab.leaderboard(lab.evaluate(rows, ["symbol"]), lab.rank_stability(lab.timeline(rows, ["symbol"]), ["symbol"]), ["symbol"], lab.specs_frame(spark, two))
+    (got,) = lab.model_uncertainty(board, ["symbol"]).collect()
+    assert (got["candidate"], got["gap"], got["uncertainty"]) == (CONSTANT, 3.0, "moderate")
