@@ -94,3 +94,7 @@ def test_uncertainty_of_a_flat_trend(spark):
     board = lab.leaderboard(lab.evaluate(rows, ["symbol"]), lab.rank_stability(lab.timeline(rows, ["symbol"]), ["symbol"]), ["symbol"], lab.specs_frame(spark, two))
     (got,) = lab.model_uncertainty(board, ["symbol"]).collect()
     assert (got["candidate"], got["gap"], got["uncertainty"]) == (CONSTANT, 3.0, "moderate")
+
+
+def test_heatmap_ranks_a_flat_trend_with_the_means(lines, ranks):
+    assert by_candidate(lab.rank_heatmap(lines, ["symbol"]), "realization_time") == ranks
