@@ -98,3 +98,8 @@ def test_uncertainty_of_a_flat_trend(spark):
 
 def test_heatmap_ranks_a_flat_trend_with_the_means(lines, ranks):
     assert by_candidate(lab.rank_heatmap(lines, ["symbol"]), "realization_time") == ranks
+
+
+def test_stability_with_a_flat_trend(lines, ranks):
+    got = {x["candidate"]: x["rank_stability"] for x in lab.rank_stability(lines, ["symbol"]).collect()}
+    assert got == pytest.approx({c: 1 / (1 + np.abs(np.diff(r)).mean()) for c, r in ranks.items()}, abs=1e-12)
