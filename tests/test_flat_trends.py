@@ -103,3 +103,12 @@ def test_heatmap_ranks_a_flat_trend_with_the_means(lines, ranks):
 def test_stability_with_a_flat_trend(lines, ranks):
     got = {x["candidate"]: x["rank_stability"] for x in lab.rank_stability(lines, ["symbol"]).collect()}
     assert got == pytest.approx({c: 1 / (1 + np.abs(np.diff(r)).mean()) for c, r in ranks.items()}, abs=1e-12)
+
+
+def test_simulation_steps_rank_a_flat_trend_with_the_means(returns, values, ranks):
+    steps = simulation.steps(returns, CHOSEN, T, H, STRIDE)
+    assert by_candidate(steps, "origin") == ranks
+    at, seen = windows(values)
+    flat = {int(i) for i, w in zip(at, seen) if (w == w[::-1]).all()}
+    losses = {(x["origin"], x["candidate"]): x["rmse_loss"] for x in steps.collect()}
+    assert len(flat) == 16 and all(losses[i, TREND] == losses[i, NAIVE] for i in flat)
