@@ -35,3 +35,7 @@ def differences(spark, events, name):
 
 def test_model_uncertainty(spark, events):
     assert differences(spark, events, "model_uncertainty") == (set(), set(), 1)
+
+
+def test_rank_heatmap(spark, events):
+    assert differences(spark, events, "rank_heatmap") == (set(), set(), 160)
