@@ -39,3 +39,7 @@ def test_model_uncertainty(spark, events):
 
 def test_rank_heatmap(spark, events):
     assert differences(spark, events, "rank_heatmap") == (set(), set(), 160)
+
+
+def test_rank_stability(spark, events):
+    assert differences(spark, events, "rank_stability") == (set(), set(), 4)
