@@ -43,3 +43,7 @@ def test_rank_heatmap(spark, events):
 
 def test_rank_stability(spark, events):
     assert differences(spark, events, "rank_stability") == (set(), set(), 4)
+
+
+def test_simulation_steps(spark, events):
+    assert differences(spark, events, "simulation_steps") == (set(), set(), 160)
